@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import encode_bpe
 from .common import table
+from .decontaminate import find_leaks
+from .html_extract import extract_pages
 from .token_files import token_files
 from .url_filter import RULES, SOFT, STRICT, filter_urls
 
@@ -16,6 +18,10 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_bpe(table(spark, sf_dir, "documents"), with_ids=False)
 
 
+def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"))
 
@@ -24,6 +30,10 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def _url_sql() -> str:
     rules = sorted(RULES, key=lambda r: -len(r[0]))
 
