@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship_package
+
 #: Rows that Spark hands to a Python worker at once; with texts of some KB a batch stays at a few MB.
 BATCH_ROWS = 256
 #: Bytes of text that the numpy kernels take at once (a longer text is taken alone).
@@ -23,7 +25,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bounds the Arrow batches of later Python stages in this session, and so the memory of a worker."""
+    """Readies a session for Python stages: workers can import this package, and Arrow batches (so, a worker's memory) are bounded."""
+    ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
