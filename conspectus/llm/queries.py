@@ -10,10 +10,15 @@ from .bpe import encode_bpe
 from .common import table
 from .decontaminate import find_leaks
 from .html_extract import extract_pages
+from .merkle import edited_fingerprints
 from .token_files import token_files
 from .url_filter import RULES, SOFT, STRICT, filter_urls
 
 
+def op4_merkle_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_bpe(table(spark, sf_dir, "documents"), with_ids=False)
 
