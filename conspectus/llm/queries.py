@@ -10,6 +10,7 @@ from .bpe import encode_bpe
 from .common import table
 from .decontaminate import find_leaks
 from .html_extract import extract_pages
+from .language_id import language_id
 from .merkle import edited_fingerprints
 from .token_files import token_files
 from .url_filter import RULES, SOFT, STRICT, filter_urls
@@ -23,6 +24,10 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_bpe(table(spark, sf_dir, "documents"), with_ids=False)
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(table(spark, sf_dir, "documents"))
+
+
 def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages"))
 
