@@ -13,6 +13,7 @@ from .html_extract import extract_pages
 from .language_id import language_id
 from .merkle import edited_fingerprints
 from .minhash import near_duplicates
+from .substring_dedup import passage_clusters, repeated_passages
 from .token_files import token_files
 from .url_filter import RULES, SOFT, STRICT, filter_urls
 
@@ -21,6 +22,10 @@ def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passage_clusters(repeated_passages(table(spark, sf_dir, "documents")))
+
+
 def op4_merkle_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(table(spark, sf_dir, "documents"))
 
