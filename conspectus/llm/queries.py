@@ -11,6 +11,8 @@ from .common import table
 from .decontaminate import find_leaks
 from .html_extract import extract_pages
 from .language_id import language_id
+from .licenses import oracle as _license_sql
+from .licenses import scan_licenses
 from .merkle import edited_fingerprints
 from .minhash import near_duplicates
 from .substring_dedup import passage_clusters, repeated_passages
@@ -18,6 +20,10 @@ from .token_files import token_files
 from .url_filter import RULES, SOFT, STRICT, filter_urls
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -81,4 +87,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_url_filter": _url_sql()}
+    return {"op1_license_scan": _license_sql(), "op9_url_filter": _url_sql()}
