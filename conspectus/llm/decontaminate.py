@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import letter_table, mix, row_slices, small_batches, text_buffer, words_of
+from .common import if_small, letter_table, materialise, mix, row_slices, small_batches, text_buffer, words_of
 
 #: Kept (1) and ignored (0) positions of the seeds. Of 8 words in a row, any single one may differ.
 MASKS = ("11111", "110111", "1101011", "11001011")
@@ -162,5 +162,5 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how: object) -> DataFrame:
     """The documents that hold no benchmark item; rows without an id stay."""
-    leaks = find_leaks(docs, benchmark, id_col, text_col, **how).select(id_col).distinct()
+    leaks = if_small(materialise(find_leaks(docs, benchmark, id_col, text_col, **how).select(id_col).distinct()))
     return docs.join(leaks, id_col, "left_anti").select(docs.columns)
