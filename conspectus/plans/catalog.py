@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+from . import kernels
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(kernels.QUERIES)
+ORACLE: dict[str, str] = dict(kernels.ORACLE)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
