@@ -161,36 +161,38 @@ def verify(pairs: DataFrame, items: DataFrame, b: Banding) -> DataFrame:
 
 
 def _compare_blocks(rest: DataFrame, b: Banding) -> DataFrame:
-    """Pairs (a, b) of rest (key, i, j, block, id, comp, n, sig) of different components whose sizes and signatures allow the similarity."""
+    """Pairs (a, b) of rest (key, i, j, block, id, comp, n, sig, keys) of different components whose sizes and signatures allow the similarity."""
     least = (b.at / b.of - b.slack) * b.minima
 
     def pairs(rows: list[tuple]) -> Iterator[tuple[int, int]]:
         own, ids, comp, n = (np.array([r[k] for r in rows]) for k in (1, 2, 3, 4))
         sig = np.frombuffer(b"".join(r[5] for r in rows), np.uint16).reshape(len(rows), b.minima)
-        i, j = rows[0][0][1:]
+        keys = np.array([r[6] for r in rows])
+        key, i, j = rows[0][0]
         for k in range(len(rows)):
             may = (comp != comp[k]) & (ids > ids[k]) & (np.minimum(n, n[k]) * b.of >= np.maximum(n, n[k]) * b.at)
             if i != j:
                 may &= own != own[k]
             may = np.flatnonzero(may)
             if len(may):
-                same = np.count_nonzero(sig[may] == sig[k], axis=1)
-                for q in may[same >= least].tolist():
+                may = may[np.count_nonzero(sig[may] == sig[k], axis=1) >= least]
+                met = keys[may] == keys[k]  # a pair that meets in several bands is written in the first of them
+                for q in may[keys[k][met.argmax(axis=1)] == key].tolist():
                     yield int(ids[k]), int(ids[q])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
             for batch in batches:
-                c = [batch.column(k).to_pylist() for k in range(8)]
+                c = [batch.column(k).to_pylist() for k in range(9)]
                 for key, i, j, *others in zip(*c, strict=True):
                     yield (key, i, j), *others
 
         for _, group in groupby(rows(), key=lambda r: r[0]):
-            found = sorted(set(pairs(list(group))))
+            found = list(pairs(list(group)))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    dealt = rest.select("key", "i", "j", "block", "id", "comp", "n", "sig").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    dealt = rest.select("key", "i", "j", "block", "id", "comp", "n", "sig", "keys").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     return dealt.mapInArrow(run, "a bigint, b bigint")
 
 
@@ -212,9 +214,9 @@ def near_components(items: DataFrame, b: Banding = DOCUMENTS) -> tuple[DataFrame
     # Second round: what is still divided in a bucket.
     placed = buckets.join(first, "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
     divided = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo != hi AND m > 2").select("key", F.ceil(F.col("m") / BLOCK_ROWS).cast("int").alias("blocks"))
-    rest = placed.join(divided, "key").join(one.select("id", "n", "sig"), "id")
+    rest = placed.join(divided, "key").join(one.select("id", "n", "sig", "keys"), "id")
     rest = rest.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rest = rest.select("key", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "id", "comp", "n", "sig")
+    rest = rest.select("key", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "id", "comp", "n", "sig", "keys")
     more = materialise(_compare_blocks(rest, b).distinct().join(star, ["a", "b"], "left_anti"))
     if more.head(1):
         links = links.unionAll(verify(more, items, b))
