@@ -12,6 +12,7 @@ import json
 import os
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ MAGIC = 0x31423853
 #: Ids after which a segment is closed (a longer document stands alone).
 SEGMENT_IDS = 1 << 18
 #: Distinct pieces, and words, of a generation of what a worker remembers.
-KEPT = 250_000
+KEPT = 400_000
 
 _FIELDS = "part int, seq int, n_docs int, n_ids bigint, start_in_part bigint, payload binary"
 
@@ -95,6 +96,12 @@ class Pieces:
         return b"".join(found)
 
 
+@lru_cache(maxsize=2)
+def pieces_of(path: str) -> Pieces:
+    """One for a worker process, whose tasks follow each other: what it remembers serves them all."""
+    return Pieces(path)
+
+
 def pack(keys: list[int | None], ids: list[bytes]) -> tuple[bytes, int]:
     """A segment of documents, and its number of ids."""
     lengths = np.array([len(x) // 4 for x in ids], np.uint32)
@@ -131,7 +138,7 @@ def write_tokens(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, part, seq, start = Pieces(path), TaskContext.get().partitionId(), 0, 0
+        pieces, part, seq, start = pieces_of(path), TaskContext.get().partitionId(), 0, 0
         keys: list[int | None] = []
         held: list[bytes] = []
         size = 0
