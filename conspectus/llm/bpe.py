@@ -14,6 +14,7 @@ import hashlib
 import re
 import struct
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -139,6 +140,12 @@ class Coder:
         return self.flat[np.repeat(self.starts[ids] - ends + lengths, lengths) + np.arange(ends[-1])].tobytes()
 
 
+@lru_cache(maxsize=2)
+def coder_of(ranks: str, split: str) -> Coder:
+    """One for a worker process, whose tasks follow each other: what it remembers serves them all."""
+    return Coder(ranks, split)
+
+
 def encode_bpe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None, name: str = NAME, split: str | None = None, with_ids: bool = True) -> DataFrame:
     """Rows (id, n_tokens, [ids array<int>,] ids_sha256, decoded_sha256) of every whole text; no shuffle."""
     small_batches(docs.sparkSession)
@@ -146,7 +153,7 @@ def encode_bpe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     of_id = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(ranks, split)
+        coder = coder_of(ranks, split)
         for batch in batches:
             n, ids, of_ids, decoded = [], [], [], []
             for text in batch.column(1):
