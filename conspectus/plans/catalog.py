@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import kernels
+from . import domain, kernels
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(kernels.QUERIES)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**kernels.QUERIES, **domain.queries()}
 ORACLE: dict[str, str] = dict(kernels.ORACLE)
 
 
