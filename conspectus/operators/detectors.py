@@ -277,3 +277,25 @@ ALL = (dependency_usage, error_handling, export_patterns, file_structure, import
 def detect(files: DataFrame) -> DataFrame:
     """Findings of all detectors."""
     return reduce(DataFrame.unionByName, [f(files) for f in ALL])
+
+
+def wrapper_facades(files: DataFrame, edges: DataFrame) -> DataFrame:
+    """D1-X: packages that one file wraps for the others (edges: importer, target).
+
+    Of the files that import an external package, which must be two at least, the wrapper is the one that most other files
+    import (ties: the smallest path), if those are more than the package's other importers. It follows; each other importer does not.
+    """
+    uses = files.select(F.col("path").alias("importer"), F.explode("dependencies_used").alias("x")).select(F.col("x.package").alias("package"), "importer", F.col("x.line").alias("line")).groupBy("package", "importer").agg(F.min("line").alias("line"))
+    consumers = edges.select("importer", "target").distinct().groupBy(F.col("target").alias("importer")).agg(F.count("*").alias("consumers"))
+    n = uses.groupBy("package").agg(F.count("*").alias("importers")).where("importers >= 2")
+    ranked = uses.join(n, "package").join(consumers, "importer").withColumn("k", F.row_number().over(Window.partitionBy("package").orderBy(F.desc("consumers"), "importer")))
+    best = ranked.where("k = 1 AND consumers > importers - 1").select("package", F.col("importer").alias("wrapper"))
+    rows = uses.join(best, "package")
+    return rows.select(F.col("importer").alias("path"), F.lit("dependency_usage").alias("detector"), F.lit("convention").alias("nature"), F.lit("wrapper").alias("kind"), F.concat(F.lit("Use "), "wrapper", F.lit(" for "), "package", F.lit(" operations")).alias("description"), (F.col("importer") == F.col("wrapper")).alias("follows"), F.col("line").cast("int").alias("line"), F.lit("import_line").alias("anchor"))
+
+
+def drop_internal(findings: DataFrame, internal: DataFrame) -> DataFrame:
+    """heuristic findings about the project's own packages (package) go."""
+    subject = F.regexp_extract("description", r": ([^:/.\s]+)[^:]*$", 1)
+    hit = findings.where("kind = 'heuristic'").withColumn("package", subject).join(internal.select("package").distinct(), "package", "left_semi").drop("package")
+    return findings.join(hit.select("path", "description").distinct(), ["path", "description"], "left_anti").select(findings.columns)

@@ -125,3 +125,20 @@ def test_streams(spark, tmp_path):
     q = watch.bulk_triggers(stream).writeStream.format("memory").queryName("bulk").option("checkpointLocation", f"{tmp_path}/c2").trigger(availableNow=True).start()
     q.awaitTermination()
     assert [r.n for r in spark.sql("select * from bulk").collect()] == [21]
+
+
+def test_wrappers(spark):
+    files = spark.createDataFrame([("w.ts", [("axios", "axios", 1)]), ("a.ts", [("axios", "axios", 2)]), ("b.ts", []), ("c.ts", [])], "path string, dependencies_used array<struct<package:string,import_path:string,line:int>>")
+    edges = spark.createDataFrame([("b.ts", "w.ts"), ("c.ts", "w.ts"), ("b.ts", "a.ts")], "importer string, target string")
+    assert {(r.path, r.description, r.follows) for r in detectors.wrapper_facades(files, edges).collect()} == {("w.ts", "Use w.ts for axios operations", True), ("a.ts", "Use w.ts for axios operations", False)}
+
+
+def test_scope_and_envelope():
+    from conspectus.plans.envelope import Envelope, resolve_scope
+
+    mounts = ["libs/a", "libs/a/b", "x/a"]
+    assert resolve_scope(mounts, file_path="libs/a/b/f.py") == "libs/a/b" and resolve_scope(mounts, scope="b") == "libs/a/b" and resolve_scope(mounts) == ""
+    for bad in ({"scope": "a"}, {"scope": "z"}, {"file_path": "../x"}):
+        with pytest.raises(ValueError):
+            resolve_scope(mounts, **bad)
+    assert '"status": "error"' in Envelope.failure("t", "r", "NOT_FOUND", "no").to_json()
