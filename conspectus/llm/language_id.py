@@ -181,9 +181,15 @@ def held_out(id_column: Column) -> Column:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES, **how: object) -> Network:
-    """Trains on the rows of smallest hash among those with a text and a language that are not held out (a top-k, so bounded)."""
+    """Trains on the rows of smallest hash among those with a text and a language that are not held out.
+
+    The rows are counted first, and those of larger hashes than about twice the sample needs are left out before the
+    top-k, so that all tasks together send the driver two samples at most, however many tasks there are.
+    """
     text = docs[text_col].cast("string")
     rows = docs.where(text.isNotNull() & docs[lang_col].isNotNull() & ~held_out(docs[id_col])).select(F.xxhash64(docs[id_col].cast("string"), F.lit(SEED)).alias("h"), docs[id_col].alias("id"), F.substring(text, 1, sample_bytes).alias("text"), docs[lang_col].cast("string").alias("lang"))
+    share = min(1.0, 2 * sample_rows / max(1, rows.count()))
+    rows = rows.where(F.col("h") <= min(2**63 - 1, int(-(2**63) + 2**64 * share)))
     found = rows.orderBy("h", "id", "text", "lang").limit(sample_rows).collect()
     return train([r.text for r in found], [r.lang for r in found], **how)
 
