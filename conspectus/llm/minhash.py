@@ -201,13 +201,14 @@ def near_components(items: DataFrame, b: Banding = DOCUMENTS) -> tuple[DataFrame
     sig = materialise(signatures(items, b))
     sized = sig.where("n > 0 AND id IS NOT NULL")
     # Equal sets: one class each, its smallest id stands for it.
-    classes = sized.groupBy("h1", "h2", "n").agg(F.min("id").alias("b"), F.max("id").alias("top")).where("b != top").select("h1", "h2", "n", "b")
+    # (Tables of shared keys are materialised before they are joined back, so that adaptive execution can split a key that very many rows share.)
+    classes = materialise(sized.groupBy("h1", "h2", "n").agg(F.min("id").alias("b"), F.max("id").alias("top")).where("b != top").select("h1", "h2", "n", "b"))
     copies = materialise(sized.select("id", "h1", "h2", "n").join(classes, ["h1", "h2", "n"]).where("id != b").select(F.col("id").alias("a"), "b").distinct())
     one = sized.join(if_small(copies.select(F.col("a").alias("id"))), "id", "left_anti")
     # First round: each bucket's members with its smallest id.
     keyed = one.select("id", F.explode("keys").alias("key"))
     met = keyed.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("top")).where("pivot != top").select("key", "pivot")
-    buckets = materialise(keyed.join(met, "key"))
+    buckets = materialise(keyed.join(materialise(met), "key"))
     star = materialise(buckets.where("id != pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct())
     links = materialise(verify(star, items, b))
     first = components(links)
