@@ -2,7 +2,7 @@
 
 Texts are cut into windows of WINDOW bytes. In each window one gated unit layer reads forwards and one backwards; at
 every byte a softmax over both states gives the languages' probabilities, and a document's are the mean over all bytes
-of the whole text. Training is by backpropagation through time (Adam) on windows of a bounded, hashed sample of
+of the whole text, weighted by how sure they are. Training is by backpropagation through time (Adam) on windows of a bounded, hashed sample of
 labelled rows, on the driver; the weights (a few KB) go to the workers. The answer is `und`, with score 0, for null texts and
 texts without a letter. Predictions depend on the text alone, so repeated rows agree; other columns are not read.
 """
@@ -163,13 +163,17 @@ def train(texts: list[str], labels: list[str], steps: int = STEPS, hidden: int =
 
 
 def pooled(net: Network, raw: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """Mean probabilities (rows, languages) over all bytes of each row."""
+    """Mean probabilities (rows, languages) over all bytes of each row, each weighted by how far its best one is above a half.
+
+    Bytes that tell little (marks, digits, a phrase of one text repeated without end) so don't drown those that tell much.
+    """
     codes, inside, row = windows(raw, offs)
     n = len(offs) - 1
     total = np.zeros((n, len(net.langs)))
     for a in range(0, len(row), 4096):
         p = net.probabilities(codes[:, a : a + 4096])
-        own = np.einsum("tln,tn->nl", p, inside[:, a : a + 4096].astype(np.float32))
+        sure = np.maximum(p.max(axis=1) - np.float32(0.5), np.float32(0.001)) ** 2
+        own = np.einsum("tln,tn->nl", p, sure * inside[:, a : a + 4096])
         np.add.at(total, row[a : a + 4096], own)
     sums = total.sum(axis=1, keepdims=True)
     return total / np.where(sums > 0, sums, 1)
