@@ -8,8 +8,9 @@ Null and empty texts have the end id only; rows that repeat an id stand side by
 
 from __future__ import annotations
 
-import json
 import os
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -21,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import simple8b
+from .bpe import byte_characters
 from .common import Memo, new_folder, small_batches
 from .tokenizers_files import vocabulary
 
@@ -29,64 +31,60 @@ END_ID = 1
 MAGIC = 0x31423853
 #: Ids after which a segment is closed (a longer document stands alone).
 SEGMENT_IDS = 1 << 18
-#: Distinct pieces, and words, of a generation of what a worker remembers.
-KEPT = 400_000
+#: Distinct pieces of a generation of what a worker remembers.
+KEPT = 500_000
 
 _FIELDS = "part int, seq int, n_docs int, n_ids bigint, start_in_part bigint, payload binary"
 
 
+#: A full stop or comma that is not a pre-token of its own, as a mark stands before it.
+_JOINED = re.compile(r"(?:[^\w ]|_)[.,](?: |$)")
+
+
 class Pieces:
     """Encodes texts by pieces between spaces and line ends, which no token spans.
 
-    A piece that is a word of Latin letters, with or without a full stop or comma after it, is two pre-tokens at most
-    and is remembered in lower case; new words go to the library in one string, as each ends with a word-end token.
+    In texts of Latin-1 characters, which lower-casing and normalisation treat one by one, case is folded and full stops
+    and commas are parted from the words before them at once, so that fewer pieces are distinct. A new piece of letters
+    only is one pre-token and goes straight to the library's model; any other goes through the whole tokenizer.
     """
 
     def __init__(self, path: str, kept: int = KEPT) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
-        suffix = json.loads(self.model.to_str())["model"].get("end_of_word_suffix")
-        vocabulary = self.model.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[k for t, k in vocabulary.items() if suffix and t.endswith(suffix)]] = True
-        self.by_word = bool(suffix)
-        self.known, self.words = Memo(kept), Memo(kept)
-
-    def _learn_words(self, words: list[str]) -> None:
-        for at in range(0, len(words), 512):
-            some = words[at : at + 512]
-            ids = np.array(self.model.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            starts = [0, *stops[:-1].tolist()]
-            for w, i, j in zip(some, starts, stops.tolist(), strict=True):
-                self.words.young[w] = ids[i:j].tobytes()
+        self.whole = Tokenizer.from_file(path)
+        self.whole.encode_special_tokens = True
+        self.model = self.whole.model
+        self.to_chars = dict(enumerate(byte_characters()))
+        self.known = Memo(kept)
 
     def _learn(self, pieces: list[str]) -> None:
-        plain, odd = [], []
+        known, odd = self.known.young, []
         for p in pieces:
-            stop = p[-1] if p and p[-1] in ".," else ""
-            word = p[: len(p) - len(stop)]
-            if not p:
-                self.known.young[p] = b""
-            elif self.by_word and word.isalpha() and max(word) < "\u0100":
-                plain.append((p, word.lower(), stop))
-            else:
+            if p.isalpha() and (p.isascii() or max(p) < "\u0100"):
+                w = p.lower()
+                if not w.isascii():
+                    w = w.encode().decode("latin-1").translate(self.to_chars)
+                known[p] = struct.pack(f"<{len(ids)}I", *ids) if (ids := [t.id for t in self.model.tokenize(w)]) else b""
+            elif p:
                 odd.append(p)
-        words = self.words.young
-        words[""] = b""
-        self._learn_words(self.words.missing(list({w for _, word, stop in plain for w in (word, stop) if w not in words})))
-        for p, word, stop in plain:
-            self.known.young[p] = words[word] + words[stop]
-        for p, x in zip(odd, self.model.encode_batch_fast(odd, add_special_tokens=False) if odd else (), strict=True):
-            self.known.young[p] = np.array(x.ids, "<u4").tobytes()
-        self.words.age()
+            else:
+                known[p] = b""
+        for p, x in zip(odd, self.whole.encode_batch_fast(odd, add_special_tokens=False) if odd else (), strict=True):
+            known[p] = struct.pack(f"<{len(x.ids)}I", *x.ids)
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        pieces = text.replace("\n", " ").split(" ")
+        line = text.replace("\n", " ")
+        try:
+            line.encode("latin-1")
+            latin = not _JOINED.search(line)
+        except UnicodeEncodeError:
+            latin = False
+        if latin:
+            line = line.lower().replace(". ", " . ").replace(", ", " , ")
+        pieces = line.split(" ")
         known = self.known.young
         found = list(map(known.get, pieces))
         if None in found:
