@@ -84,6 +84,23 @@ def test_repeated_passages(docs):
     assert substring_dedup.repeated_passages(empty(docs)).count() == 0
 
 
+def test_repeats_of_frequent_lines(spark):
+    line = prose(60, 30)
+    rows = [(k, f"{prose(100 + k, 40)} {line} {prose(200 + k // 2, 22)} {prose(300 + k, 30)}") for k in range(40)]
+    rows += [(50, f"{line} {prose(400, 30)} {line} {prose(401, 30)}"), (51, f"{prose(402, 9)} {line} {prose(401, 30)}"), (52, f"{prose(403, 9)} {line} {prose(401, 30)}")]
+    held, want = {}, set()
+    for i, text in rows:
+        w = text.split()
+        runs = [tuple(w[k : k + 50]) for k in range(len(w) - 49)]
+        want |= {(i, k) for k, x in enumerate(runs) if held.get(x, i) != i}
+        for x in runs:
+            held.setdefault(x, i)
+    found = set()
+    for r in substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect():
+        found |= {(r.doc_id, k) for k in range(r.start_word, r.start_word + r.n_words - 49)}
+    assert len({i for i, _ in want}) == 22 and want == found
+
+
 def test_merkle(docs):
     own = docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
     rows = sorted(((r.doc_id, r.text or "") for r in own.collect()))
