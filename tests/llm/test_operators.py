@@ -101,6 +101,24 @@ def test_repeats_of_frequent_lines(spark):
     assert len({i for i, _ in want}) == 22 and want == found
 
 
+def test_passages_with_edits():
+    r = np.random.default_rng(3)
+    fresh = lambda n: r.integers(0, 2**32, n, dtype=np.uint32)
+    for n in (50, 60, 80, 98):
+        for _ in range(50):
+            p, at = fresh(n), int(r.integers(15, n - 15))
+            longer = np.concatenate([p[:at], fresh(1), p[at:]])
+            for x, y in ((p, longer), (longer, p)):
+                a, b = np.concatenate([fresh(7), x, fresh(9)]), np.concatenate([fresh(20), y, fresh(5)])
+                shift = [7 - 20 if at * 2 >= n else 7 - 20 + len(x) - len(y)]
+                assert substring_dedup.shared_passages(a, b, shift) == [(7, 7 + len(x), 20)]
+    p = fresh(240)
+    q = p.copy()
+    q[[40, 200]] = fresh(2)
+    q[80:160:6] = fresh(14)  # a densely edited part between two near copies
+    assert substring_dedup.shared_passages(p, q, [0]) == [(0, 80, 0), (159, 240, 159)]
+
+
 def test_merkle(docs):
     own = docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
     rows = sorted(((r.doc_id, r.text or "") for r in own.collect()))
