@@ -101,6 +101,26 @@ def test_repeats_of_frequent_lines(spark):
     assert len({i for i, _ in want}) == 22 and want == found
 
 
+def test_bands_of_edited_paragraphs():
+    r = random.Random(70)
+    met = 0
+    for k in range(400):
+        n = r.choice((50, 60, 80, 98))
+        w = [f"p{k}-{i}" for i in range(n)]
+        x, at = list(w), r.randrange(n)
+        x[at : at + r.choice((0, 1))] = ["new"] * r.choice((1, 1, 2)) if n > 60 else ["new"]
+        if n > 90:
+            x[(at + n // 2) % n] = "other"
+        a, b = (set(shingles(" ".join(t))) for t in (w, x))
+        if len(a & b) < 0.8 * len(a | b):
+            continue
+        raw = [f"{prose(k, 9)} {' '.join(w)}".encode(), f"{prose(-k, 30)} {' '.join(x)} end".encode()]
+        key, row, _ = substring_dedup.bands_of(np.frombuffer(b"".join(raw), np.uint8), np.array([0, len(raw[0]), len(raw[0] + raw[1])]))
+        assert set(key[row == 0]) & set(key[row == 1])
+        met += 1
+    assert met > 250
+
+
 def test_passages_with_edits():
     r = np.random.default_rng(3)
     fresh = lambda n: r.integers(0, 2**32, n, dtype=np.uint32)
