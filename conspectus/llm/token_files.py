@@ -46,7 +46,8 @@ class Pieces:
 
     In texts of Latin-1 characters, which lower-casing and normalisation treat one by one, case is folded and full stops
     and commas are parted from the words before them at once, so that fewer pieces are distinct. A new piece of letters
-    only is one pre-token and goes straight to the library's model; any other goes through the whole tokenizer.
+    only is one pre-token and goes straight to the library's model; any other goes through the whole tokenizer. So does a
+    whole text that holds an added token's string, in any case, as the library looks for those before all else.
     """
 
     def __init__(self, path: str, kept: int = KEPT) -> None:
@@ -54,7 +55,7 @@ class Pieces:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        self.added = [t.content.lower() for t in self.whole.get_added_tokens_decoder().values()]
         self.model = self.whole.model
         self.to_chars = dict(enumerate(byte_characters()))
         self.known = Memo(kept)
@@ -76,6 +77,10 @@ class Pieces:
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
+        folded = text.lower()
+        if any(t in folded for t in self.added):
+            ids = self.whole.encode(text, add_special_tokens=False).ids
+            return struct.pack(f"<{len(ids)}I", *ids)
         line = text.replace("\n", " ")
         try:
             line.encode("latin-1")

@@ -267,6 +267,19 @@ def test_pieces_equal_the_library():
         assert own.encode(text) == np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
 
 
+def test_added_tokens_equal_the_library():
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(P.path(token_files.NAME))
+    own = token_files.Pieces(P.path(token_files.NAME), 50)
+    assert own.encode("a <|endoftext|> b") == np.array([320, 49407, 321], "<u4").tobytes()
+    r = random.Random(3)
+    for _ in range(2000):
+        text = "".join(r.choice(["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "|>", "endoftext", "a", "Bc.", " ", " ", "\n", "É", "日"]) for _ in range(r.randint(0, 9)))
+        assert own.encode(text) == np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
+
+
 def test_urls(spark):
     want = {
         "https://www.Example.com/en/1?x": ("www.example.com", "/en/1", "www.example.com/en/", "allow"),
