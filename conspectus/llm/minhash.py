@@ -2,7 +2,7 @@
 
 Texts with equal sets of shingles are one class, found by a hash of the set. Classes that agree in a band of minima meet
 in a bucket. In a first round each bucket links its members to its smallest id only. Pairs are checked by their
-signatures, then by their full sets. Buckets that the components found so far still leave divided are compared in full
+full sets. Buckets that the components found so far still leave divided are compared in full
 in a second round, in blocks of BLOCK_ROWS by BLOCK_ROWS members, so that no bucket has to fit in a task and pairs that
 are connected anyway are not looked at. So no candidate is dropped, and no bucket's pairs are written out.
 Null and empty texts, and those without a word, have an empty set and are linked with nothing; rows that repeat an id
@@ -28,14 +28,14 @@ BLOCK_ROWS = 256
 
 @dataclass(frozen=True)
 class Banding:
-    """`bands` bands of `rows` minima; a pair counts from the Jaccard index at / of on. slack: how far the signatures' estimate may be below it."""
+    """`bands` bands of `rows` minima; a pair counts from the Jaccard index at / of on. slack: how far the signatures' estimate may be below it in the second round."""
 
     rows: int = 7
     bands: int = 36
     at: int = 85
     of: int = 100
     shingle: int = 5
-    slack: float = 0.09
+    slack: float = 0.15
 
     @property
     def minima(self) -> int:
@@ -48,6 +48,8 @@ class Banding:
 
 #: At 0.85 a pair is missed with probability 1e-6.
 DOCUMENTS = Banding()
+#: The pipeline's stage takes pairs from 0.8 on; there a pair is missed with probability 1e-6.
+STAGE = Banding(rows=6, bands=46, at=80)
 
 
 def _constants(b: Banding) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -118,40 +120,36 @@ def signatures(items: DataFrame, b: Banding) -> DataFrame:
 
 
 def _full_sets(items: DataFrame, b: Banding) -> DataFrame:
-    """Rows (id, sig, full): signature and all shingle hashes, sorted."""
+    """Rows (id, full): all shingle hashes, sorted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        constants, lut = _constants(b), space_table()
+        lut = space_table()
         for batch in batches:
             raw, offs = text_buffer(batch.column(1))
             for i, j in row_slices(np.diff(offs)):
                 x, bounds = sets_of(raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i], b, lut)
-                low = iter(signatures_of(x, bounds, b, constants).astype(np.uint16))
-                pieces = [x[p:q].tobytes() for p, q in zip(bounds[:-1], bounds[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([next(low).tobytes() if p else b"" for p in pieces], pa.binary()), pa.array(pieces, pa.binary())], ["id", "sig", "full"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([x[p:q].tobytes() for p, q in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())], ["id", "full"])
 
-    return items.mapInArrow(run, "id bigint, sig binary, full binary")
+    return items.mapInArrow(run, "id bigint, full binary")
 
 
 def verify(pairs: DataFrame, items: DataFrame, b: Banding) -> DataFrame:
-    """Those of the pairs (a, b; materialised) whose signatures, then full sets, reach the similarity."""
+    """Those of the pairs (a, b; materialised) whose full sets reach the similarity."""
     ids = materialise(pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).distinct())
     small_batches(items.sparkSession)
     full = _full_sets(items.join(if_small(ids), "id", "left_semi"), b)
     small_batches(items.sparkSession, 64)
-    side = lambda k: full.select(F.col("id").alias(k), F.col("sig").alias(f"sig_{k}"), F.col("full").alias(f"full_{k}"))
-    joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sig_a", "sig_b", "full_a", "full_b")
-    least = (b.at / b.of - b.slack) * b.minima
+    side = lambda k: full.select(F.col("id").alias(k), F.col("full").alias(f"full_{k}"))
+    joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "full_a", "full_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for k in range(batch.num_rows):
-                p, q = (np.frombuffer(batch.column(c)[k].as_buffer(), np.uint16) for c in (2, 3))
-                if len(p) != len(q) or not len(p) or np.count_nonzero(p == q) < least:
+                p, q = (np.frombuffer(batch.column(c)[k].as_buffer(), np.uint64) for c in (2, 3))
+                if b.of * min(len(p), len(q)) < b.at * max(len(p), len(q), 1):
                     keep.append(False)
                     continue
-                p, q = (np.frombuffer(batch.column(c)[k].as_buffer(), np.uint64) for c in (4, 5))
                 both = np.sort(np.concatenate([p, q]))
                 same = int(np.count_nonzero(both[1:] == both[:-1]))
                 keep.append(b.of * same >= b.at * (len(both) - same))

@@ -9,7 +9,7 @@ from conspectus.llm.bpe import encode_bpe
 from conspectus.llm.common import if_small, materialise, new_folder, table
 from conspectus.llm.decontaminate import drop_leaks
 from conspectus.llm.language_id import UNKNOWN, fit, identify
-from conspectus.llm.minhash import drop_near_duplicates
+from conspectus.llm.minhash import STAGE, drop_near_duplicates
 from conspectus.llm.substring_dedup import cut_passages, repeated_passages
 
 #: Documents whose language is told with less than this are rejected; four languages at random have 0.25.
@@ -25,7 +25,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the smallest id stays."""
-    return drop_near_duplicates(docs)
+    return drop_near_duplicates(docs, b=STAGE)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

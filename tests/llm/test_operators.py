@@ -73,6 +73,25 @@ def test_band_settings():
     assert minhash.DOCUMENTS.miss(0.85) < 2e-6
 
 
+def test_stage_takes_pairs_from_eighty_on(spark):
+    from math import comb
+
+    import corpus_pipeline
+
+    assert minhash.STAGE.miss(0.8) < 2e-6
+    for b in (minhash.DOCUMENTS, minhash.STAGE):
+        s, n = b.at / b.of, b.minima
+        assert sum(comb(n, k) * s**k * (1 - s) ** (n - k) for k in range(n) if k < (s - b.slack) * n) < 1e-6
+    rows = []
+    for k in range(30):
+        w = prose(500 + k, 104).split()  # 100 shingles; 2 words changed: 90 of 110, or 0.818
+        x = list(w)
+        x[30], x[70] = "changed", "other"
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(x))]
+    left = corpus_pipeline.drop_copies(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), "")
+    assert sorted(r.doc_id for r in left.collect()) == list(range(0, 60, 2))
+
+
 def test_repeated_passages(docs):
     found = {(r.doc_id, r.kept_doc_id): r for r in substring_dedup.repeated_passages(docs).collect()}
     assert found[9, 8].n_words == 64 and found[9, 8].start_word == 35 and found[9, 8].kept_start_word == 40
