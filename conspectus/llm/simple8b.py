@@ -19,9 +19,14 @@ BLOCK = 256
 
 def _bits(values: np.ndarray) -> np.ndarray:
     """Number of bits of each value."""
+    if not len(values) or values.max() < 1 << 16:
+        return _SHORT[values.astype(np.uint16)]
     high = (values >> np.uint64(32)).astype(np.float64)
     low = np.frexp((values & np.uint64(0xFFFFFFFF)).astype(np.float64))[1]
-    return np.where(high > 0, np.frexp(high)[1] + 32, low).astype(np.int32)
+    return np.where(high > 0, np.frexp(high)[1] + 32, low).astype(np.uint8)
+
+
+_SHORT = np.frexp(np.arange(1 << 16, dtype=np.float64))[1].astype(np.uint8)
 
 
 def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -34,52 +39,54 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(values)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint32)
-    blocks = -(-n // BLOCK)
-    padded = np.zeros(blocks * BLOCK + COUNTS[0], np.uint64)
+    # A row for each block, with zeros behind it, so that what reaches the block's end fits.
+    blocks, row = -(-n // BLOCK), BLOCK + int(COUNTS[0])
+    padded = np.zeros(blocks * BLOCK, np.uint64)
     padded[:n] = values
-    bits = np.zeros(blocks * BLOCK, np.int32)
-    bits[:n] = _bits(values)
-    position = np.arange(blocks * BLOCK, dtype=np.int32)
-    end = np.minimum((position // BLOCK + 1) * BLOCK, n).astype(np.int32)
-    # For each position, the first one at or after it whose value is too wide for a selector.
-    selector = np.full(blocks * BLOCK, ESCAPE)
+    held = np.zeros((blocks, row), np.uint64)
+    held[:, :BLOCK] = padded.reshape(blocks, BLOCK)
+    widest = np.zeros((blocks, row), np.uint8)
+    widest[:, :BLOCK] = _bits(padded).reshape(blocks, BLOCK)
+    # For each position the widest of the next values, of as many as each selector takes in turn, up to where no place is left
+    # that would take more values by it (those that reach their block's end by a wider selector already would not).
+    selector, taken = np.full((blocks, BLOCK), ESCAPE, np.uint8), 1
+    last = n - (blocks - 1) * BLOCK
     for s in range(ESCAPE - 1, -1, -1):
-        fits = bits <= WIDTHS[s]
-        if not fits.any():
+        before, more = taken, int(COUNTS[s]) - taken
+        widest, taken = np.maximum(widest[:, :-more], widest[:, more:]), int(COUNTS[s])
+        fits = widest[:, :BLOCK] <= WIDTHS[s]
+        selector[fits] = s
+        if s < ESCAPE - 1 and not (fits[:-1, : max(0, BLOCK - before)].any() or fits[-1, : max(0, last - before)].any()):
             break
-        stop = np.minimum.accumulate(np.where(fits, np.int32(blocks * BLOCK), position)[::-1])[::-1]
-        selector[stop >= np.minimum(position + np.int32(COUNTS[s]), end)] = s
     # All blocks take their next word at once.
-    at = np.arange(blocks) * BLOCK
-    limit = np.minimum(at + BLOCK, n)
+    held, selector = held.ravel(), selector.ravel()
     which = np.arange(blocks)
+    at, limit = np.zeros(blocks, np.int64), np.minimum(BLOCK, n - which * BLOCK)
     of_block, of_at, of_selector = [], [], []
     while len(which):
-        s = selector[at]
+        s = selector[which * BLOCK + at]
         of_block.append(which)
         of_at.append(at)
         of_selector.append(s)
         at = at + COUNTS[s]
         on = at < limit
         at, limit, which = at[on], limit[on], which[on]
-    first, sel = np.concatenate(of_at), np.concatenate(of_selector)
-    order = np.argsort(first, kind="stable")
-    first, sel, block = first[order], sel[order], np.concatenate(of_block)[order]
+    block, first, sel = np.concatenate(of_block), np.concatenate(of_at), np.concatenate(of_selector)
+    order = np.argsort(block, kind="stable")
+    block, sel, first = block[order], sel[order], (block * row + first)[order]
     size = 1 + (sel == ESCAPE)
     place = np.cumsum(size) - size
     words = np.zeros(int(size.sum()), np.uint64)
     words[place] = sel.astype(np.uint64) << np.uint64(WIDEST)
     for s in range(2, ESCAPE):
         own = np.flatnonzero(sel == s)
-        if not len(own):
-            continue
-        start, limit = first[own], np.minimum((first[own] // BLOCK + 1) * BLOCK, n)
-        word = words[place[own]]
-        for k in range(COUNTS[s]):
-            word |= np.where(start + k < limit, padded[start + k], np.uint64(0)) << np.uint64(k * WIDTHS[s])
-        words[place[own]] = word
+        if len(own):
+            start, word = first[own], words[place[own]]
+            for k in range(COUNTS[s]):
+                word |= held[start + k] << np.uint64(k * WIDTHS[s])
+            words[place[own]] = word
     escaped = np.flatnonzero(sel == ESCAPE)
-    words[place[escaped] + 1] = padded[first[escaped]]
+    words[place[escaped] + 1] = held[first[escaped]]
     offsets = place[np.searchsorted(block, np.arange(blocks))]
     return words, offsets.astype(np.uint32)
 
