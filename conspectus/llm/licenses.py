@@ -1,14 +1,17 @@
 """License scans: MinHash bands over overlapping text windows retrieve templates, exact shingle containment verifies them.
 
 Words are runs of letters and digits, lower-cased. A window is WINDOW shingles of five words in a row (eight words), and
-its keys are the minima of its shingles under MINIMA hashes; neighbouring windows share most of them. A window that
-lies in an unchanged stretch of eight words of a template is equal to one of the template's windows, so both keys
-collide with probability 1; a text that contains 80 % of a template's shingles has such a stretch. A notice of fewer
-than eight words is retrieved by windows of a single shingle, one of fewer than five words (one shingle) by lines that
-consist of just those words. A retrieved pair counts if the text contains AT of OF of the template's shingles.
-Null and empty texts match nothing; rows that repeat an id are one document; very long texts are one array of words.
-DataFrame functions only; the documents are scanned twice (the second time those with candidates) and never shuffled,
-as long as the candidates' ids are few.
+its keys are the minima of its shingles under MINIMA hashes; neighbouring windows share most of them. A window that lies
+in an unchanged stretch of eight words of a template is equal to one of the template's windows, so both keys collide with
+probability 1. Of n shingles a text that is to count lacks n / 5 at most, which part the others into n / 5 + 1 stretches;
+the longest has WINDOW shingles unless the template is short, and for those where it may not, the windows are single
+shingles. So every pair that counts is retrieved. A template of fewer than five words is one shingle, which is looked for
+at each place of a text where one such template's first word stands. A retrieved pair counts if the text contains AT of
+OF of the template's shingles.
+Null and empty texts match nothing; rows that repeat an id are one document; rows without an id match nothing; very
+long texts are one array of words; an empty table gives no rows. Only the id and the text are read, so that other
+columns, of any name, change nothing. DataFrame functions only; the documents are scanned twice (the second time those
+with candidates) and never shuffled, as long as the candidates' ids are few.
 """
 
 from __future__ import annotations
@@ -20,8 +23,6 @@ from .common import if_small, materialise
 
 SHINGLE, WINDOW, MINIMA = 5, 4, 2
 AT, OF = 80, 100
-#: Characters of a line of one to four words, at most.
-LINE = 80
 #: Up to so many keys of templates, a text's keys are intersected with them before they become rows.
 LITERALS = 20_000
 
@@ -63,10 +64,12 @@ def shingles(w: Column) -> Column:
     return F.when(F.size(w) > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - SHINGLE, F.lit(0))), lambda i: _run(w, i))).otherwise(F.array().cast("array<bigint>"))
 
 
-def short_lines(text: Column) -> Column:
-    """Hashes of the lines of one to four words."""
-    lines = F.transform(F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda s: F.length(s).between(1, LINE)), words)
-    return F.transform(F.filter(lines, lambda w: F.size(w).between(1, SHINGLE - 1)), lambda w: _run(w, 0))
+def short_runs(w: Column, short: dict[int, list[str]]) -> Column:
+    """Hashes of the runs of n words that start with a given word, for each n below SHINGLE and its first words."""
+    none = F.array().cast("array<bigint>")
+    run = lambda n: lambda i: F.xxhash64(*[F.get(w, i + k) if k < n else F.lit(None).cast("string") for k in range(SHINGLE)])
+    places = lambda n, first: F.filter(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.get(w, i).isin(*first))
+    return F.concat(none, *[F.when(F.size(w) >= n, F.transform(places(n, first), run(n))).otherwise(none) for n, first in sorted(short.items())])
 
 
 def minima(x: Column) -> Column:
@@ -86,41 +89,44 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """Rows (id, license, n_shared, n_shingles, containment): the templates that a document contains."""
     spark = docs.sparkSession
     rows = spark.createDataFrame(sorted((TEMPLATES if templates is None else templates).items()), "license string, text string").select("license", words(F.col("text")).alias("w"))
-    known = materialise(rows.select("license", shingles(F.col("w")).alias("x")).where(F.size("x") > 0))
-    by_key = materialise(known.select("license", F.explode(F.when(F.size("x") < WINDOW, F.col("x")).otherwise(minima(F.col("x")))).alias("key")).distinct())
+    known = materialise(rows.select("license", "w", shingles(F.col("w")).alias("x")).where(F.size("x") > 0))
+    lacks = F.floor(F.size("x") * (OF - AT) / OF)
+    longest = F.ceil((F.size("x") - lacks) / (lacks + 1))
+    by_key = materialise(known.select("license", F.explode(F.when(longest < WINDOW, F.col("x")).otherwise(minima(F.col("x")))).alias("key")).distinct())
+    short: dict[int, list[str]] = {}
+    for r in known.select(F.size("w").alias("n"), F.get("w", F.lit(0)).alias("first")).where(F.col("n") < SHINGLE).distinct().orderBy("n", "first").collect():
+        short.setdefault(r.n, []).append(r.first)
     by_shingle = materialise(known.select("license", F.size(F.array_distinct("x")).alias("n_shingles"), F.explode(F.array_distinct("x")).alias("v")))
-    own = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
-    split = _once(own, w=words(F.col("text")), lines=short_lines(F.col("text")))
-    x = _once(split, x=F.when(F.size("w") >= SHINGLE, shingles(F.col("w"))).otherwise(F.array().cast("array<bigint>")), lines=F.col("lines"))
-    keys = F.concat("x", "lines", minima(F.col("x")))
+    own = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).where("id IS NOT NULL")
+    split = _once(own, w=words(F.col("text")))
+    x = _once(split, x=F.when(F.size("w") >= SHINGLE, shingles(F.col("w"))).otherwise(F.array().cast("array<bigint>")), short=short_runs(F.col("w"), short))
+    keys = F.concat("x", "short", minima(F.col("x")))
     some = [r.key for r in by_key.select("key").distinct().limit(LITERALS + 1).collect()]
     if len(some) <= LITERALS:
         keys = F.array_intersect(keys, F.lit(sorted(some)) if some else F.array().cast("array<bigint>"))
     found = materialise(x.select("id", keys.alias("keys")).where(F.size("keys") > 0).select("id", F.explode("keys").alias("key")).join(if_small(by_key), "key").select("id", "license").distinct())
     ids = found.select("id").distinct()
     again = x.join(if_small(materialise(ids)), "id", "left_semi") if found.head(1) else x.where(F.lit(False))
-    shared = again.select("id", F.explode(F.array_distinct(F.concat("x", "lines"))).alias("v")).join(if_small(by_shingle), "v")
+    shared = again.select("id", F.explode(F.array_distinct(F.concat("x", "short"))).alias("v")).join(if_small(by_shingle), "v")
     counted = shared.groupBy("id", "license", "n_shingles").agg(F.count_distinct("v").alias("n_shared"))
     verified = counted.where(F.col("n_shared") * OF >= F.col("n_shingles") * AT).join(found, ["id", "license"], "left_semi")
     return verified.select(F.col("id").alias(id_col), "license", F.col("n_shared").cast("bigint"), F.col("n_shingles").cast("bigint"), F.round(F.col("n_shared") / F.col("n_shingles"), 6).alias("containment"))
 
 
 def oracle() -> str:
-    """The same containment by SQL over all shingles of all documents (texts of fewer than five words by their lines only)."""
+    """The same containment by SQL over all shingles of all documents, and over all runs as long as a template of fewer than five words."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     rows = ", ".join(f"({quote(k)}, {quote(v)})" for k, v in TEMPLATES.items())
     cut = lambda c: f"list_filter(regexp_split_to_array(lower(coalesce({c}, '')), '{PARTS}'), lambda w: w <> '')"
-    runs = lambda c: f"list_transform(range(1, len({c}) - 3), lambda i: array_to_string(list_slice({c}, i, i + 4), ' '))"
+    runs = lambda c, n: f"list_transform(range(1, len({c}) - {n - 2}), lambda i: array_to_string(list_slice({c}, i, i + {n - 1}), ' '))"
+    short = "".join(f" UNION SELECT doc_id, s FROM (SELECT doc_id, unnest({runs('w', n)}) AS s FROM dw WHERE len(w) >= {n}) WHERE s IN (SELECT s FROM ts)" for n in range(1, SHINGLE))
     return f"""
 WITH t(license, text) AS (VALUES {rows}),
 tw AS (SELECT license, {cut('text')} AS w FROM t),
-ts AS (SELECT DISTINCT license, unnest(CASE WHEN len(w) >= 5 THEN {runs('w')} ELSE [array_to_string(w, ' ')] END) AS s FROM tw),
+ts AS (SELECT DISTINCT license, unnest(CASE WHEN len(w) >= 5 THEN {runs('w', 5)} ELSE [array_to_string(w, ' ')] END) AS s FROM tw),
 tn AS (SELECT license, count(*) AS n FROM ts GROUP BY license),
 dw AS (SELECT doc_id, {cut('text')} AS w FROM documents),
-lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents),
-lw AS (SELECT doc_id, {cut('l')} AS w FROM lines WHERE length(l) BETWEEN 1 AND {LINE}),
-ds AS (SELECT doc_id, unnest({runs('w')}) AS s FROM dw WHERE len(w) >= 5
-       UNION SELECT doc_id, array_to_string(w, ' ') FROM lw WHERE len(w) BETWEEN 1 AND 4)
+ds AS (SELECT doc_id, unnest({runs('w', 5)}) AS s FROM dw WHERE len(w) >= 5{short})
 SELECT ds.doc_id, ts.license, count(DISTINCT ds.s) AS n_shared, tn.n AS n_shingles, round(count(DISTINCT ds.s) / tn.n, 6) AS containment
 FROM ds JOIN ts ON ds.s = ts.s JOIN tn ON tn.license = ts.license
 GROUP BY ds.doc_id, ts.license, tn.n HAVING count(DISTINCT ds.s) * {OF} >= tn.n * {AT}"""
