@@ -2,20 +2,34 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 
+from pyspark import SparkContext
 from pyspark.sql import SparkSession
 
 
+def own_folder(sc: SparkContext) -> str:
+    """A folder for checkpoints where spark.checkpoint.dir is unset; only one JVM can do with a local one, and it goes with it."""
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    folder = tempfile.mkdtemp(prefix="conspectus-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def ship_package(spark: SparkSession) -> None:
     """Makes this package importable in the Python workers of all executors, once per application."""
     sc = spark.sparkContext
     if getattr(sc, "_conspectus_shipped", False):
         return
     top = os.path.dirname(os.path.abspath(__file__))
-    path = os.path.join(tempfile.mkdtemp(), "conspectus.zip")
+    folder = tempfile.mkdtemp()  # read by the driver alone, which hands it to executors until it ends
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = os.path.join(folder, "conspectus.zip")
     with zipfile.ZipFile(path, "w") as z:
         for folder, _, names in os.walk(top):
             for name in names:
