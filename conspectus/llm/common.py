@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship_package
+from ..session import own_folder, ship_package
 
 #: Rows that Spark hands to a Python worker at once; with texts of some KB a batch stays at a few MB.
 BATCH_ROWS = 256
@@ -31,14 +31,14 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir; in one JVM (tests), where it is unset, one of our own."""
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir", None)
     if not root:
         held = sc._jsc.sc().getCheckpointDir()
         if held.isDefined():
             return held.get()
-        root = f"/tmp/conspectus-{sc.applicationId}"
+        root = own_folder(sc)
         sc.setCheckpointDir(root)
     return root
 
@@ -54,6 +54,12 @@ def new_folder(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    """Deletes what new_folder named, in whatever store it is."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df (narrow, already materialised) with a broadcast hint if it is counted to be small; otherwise as it is."""
     return F.broadcast(df) if df.count() <= rows else df

@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import if_small, materialise
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Rows (id, component) for each node that has an edge to another one; component is the smallest id reachable.
 
-    Each step is a minimum by node (combined on the map side) joined back to the edges, so that a node with very many
-    neighbours is split by the adaptive skew join; every round is kept in the shared folder and ends the lineage.
+    Each step is a minimum by node (combined on the map side) joined back to the edges. The minima are materialised before
+    that: few of them are broadcast, and otherwise both sides are dealt anew, so that the adaptive join can split a node
+    with very many neighbours. Every round is kept in the shared folder and ends the lineage.
     Edges from a node to itself, repeated edges and nulls are ignored; without edges the result is empty.
     """
     now = materialise(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("u") != F.col("v"))).distinct())
@@ -24,10 +25,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         mark = tuple(found)
         both = now.select(F.col("u").alias("x"), F.col("v").alias("y")).unionAll(now.select(F.col("v").alias("x"), F.col("u").alias("y")))
         least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
-        large = both.join(least, "x").where("y > x AND y != m").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(if_small(materialise(least)), "x").where("y > x AND y != m").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct()
         large = materialise(large)
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(low.select("u", F.col("m").alias("v"))).distinct()
+        low = materialise(large.groupBy("u").agg(F.min("v").alias("m")))
+        small = large.join(if_small(low), "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(low.select("u", F.col("m").alias("v"))).distinct()
         now = materialise(small)
     roots = now.groupBy("u").agg(F.min("v").alias("v"))
     return roots.select(F.col("u").alias("id"), F.col("v").alias("component")).unionAll(roots.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
