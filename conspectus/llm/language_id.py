@@ -2,9 +2,13 @@
 
 Texts are cut into windows of WINDOW bytes. In each window one gated unit layer reads forwards and one backwards; at
 every byte a softmax over both states gives the languages' probabilities, and a document's are the mean over all bytes
-of the whole text, weighted by how sure they are. Training is by backpropagation through time (Adam) on windows of a bounded, hashed sample of
-labelled rows, on the driver; the weights (a few KB) go to the workers. The answer is `und`, with score 0, for null texts and
-texts without a letter. Predictions depend on the text alone, so repeated rows agree; other columns are not read.
+of the whole text, weighted by how sure they are. Training is by backpropagation through time (Adam) on a bounded, hashed
+sample of labelled rows, as many of each language, on the driver; of a long text in it pieces from all over are read. The
+weights (a few KB) go to the workers. The answer is `und`, with score 0, for null texts and texts without a letter. Very
+long texts are read window by window, in blocks. Predictions depend on the text alone, so repeated rows agree; among
+languages of equal probability the first in the alphabet is told; rows that repeat an id and a language are one row of the
+sample. Only id, text and language are read, so other columns, of any name, change nothing. An empty table gives no rows,
+and without any labelled row every answer is `und`.
 """
 
 from __future__ import annotations
@@ -15,7 +19,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import row_slices, small_batches, text_buffer
@@ -23,8 +27,10 @@ from .common import row_slices, small_batches, text_buffer
 #: Bytes of a window, at inference and in training.
 WINDOW = 64
 HIDDEN = 8
-#: Bounds of the training sample: rows in all (chosen by a hash of their ids), and bytes of each row that are used.
-SAMPLE_ROWS, SAMPLE_BYTES = 3000, 1024
+#: Bounds of the training sample: rows in all (chosen by a hash of their ids, as many of each language), and languages (the most frequent).
+SAMPLE_ROWS, MOST_LANGUAGES = 3000, 500
+#: A text in the sample of more characters than PIECES * PIECE gives so many pieces of so many characters, from hashed places all over it.
+PIECES, PIECE = 16, 64
 STEPS, ROWS_PER_STEP, RATE, SEED = 400, 192, 0.02, 7
 UNKNOWN = "und"
 
@@ -124,16 +130,19 @@ class Network:
         return loss, g
 
 
-def windows(raw: np.ndarray, offs: np.ndarray, width: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Codes (time, windows), mask of those that are text, and the row of each window. Every byte is in one window."""
+def starts_of(offs: np.ndarray, width: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """First byte and row of each window. Every byte is in one window."""
     sizes = np.diff(offs)
     many = -(-sizes // width)
     row = np.repeat(np.arange(len(sizes)), many)
-    start = offs[:-1][row] + (np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)) * width
+    return offs[:-1][row] + (np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)) * width, row
+
+
+def windows(raw: np.ndarray, start: np.ndarray, end: np.ndarray, width: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """Codes (time, windows) of the windows from start on, and mask of those before end."""
     at = start[None, :] + np.arange(width)[:, None]
-    inside = at < offs[1:][row][None, :]
-    padded = np.concatenate([raw, np.zeros(width, np.uint8)])
-    return np.where(inside, padded[np.minimum(at, len(raw))], 32).astype(np.intp), inside, row
+    inside = at < end[None, :]
+    return np.where(inside, raw[np.minimum(at, len(raw) - 1)], 32).astype(np.intp), inside
 
 
 def train(texts: list[str], labels: list[str], steps: int = STEPS, hidden: int = HIDDEN, seed: int = SEED) -> Network:
@@ -142,7 +151,10 @@ def train(texts: list[str], labels: list[str], steps: int = STEPS, hidden: int =
     if len(net.langs) < 2 or not texts:
         return net
     raw, offs = text_buffer(pa.array(texts, pa.string()))
-    codes, inside, row = windows(raw, offs)
+    start, row = starts_of(offs)
+    if not len(row):
+        return net
+    codes, inside = windows(raw, start, offs[1:][row])
     which = np.array([net.langs.index(x) for x in labels])[row]
     rng = np.random.default_rng(seed)
     by_label = [np.flatnonzero(which == k) for k in range(len(net.langs))]
@@ -167,14 +179,15 @@ def pooled(net: Network, raw: np.ndarray, offs: np.ndarray) -> np.ndarray:
 
     Bytes that tell little (marks, digits, a phrase of one text repeated without end) so don't drown those that tell much.
     """
-    codes, inside, row = windows(raw, offs)
+    starts, row = starts_of(offs)
     n = len(offs) - 1
     total = np.zeros((n, len(net.langs)))
     for a in range(0, len(row), 4096):
-        p = net.probabilities(codes[:, a : a + 4096])
+        own = row[a : a + 4096]
+        codes, inside = windows(raw, starts[a : a + 4096], offs[1:][own])
+        p = net.probabilities(codes)
         sure = np.maximum(p.max(axis=1) - np.float32(0.5), np.float32(0.001)) ** 2
-        own = np.einsum("tln,tn->nl", p, sure * inside[:, a : a + 4096])
-        np.add.at(total, row[a : a + 4096], own)
+        np.add.at(total, own, np.einsum("tln,tn->nl", p, sure * inside))
     sums = total.sum(axis=1, keepdims=True)
     return total / np.where(sums > 0, sums, 1)
 
@@ -184,18 +197,45 @@ def held_out(id_column: Column) -> Column:
     return F.crc32(F.coalesce(id_column.cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES, **how: object) -> Network:
-    """Trains on the rows of smallest hash among those with a text and a language that are not held out.
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS, most_languages: int = MOST_LANGUAGES, **how: object) -> Network:
+    """Trains on the rows of smallest hash of each language, among those with a text that are not held out.
 
-    The rows are counted first, and those of larger hashes than about twice the sample needs are left out before the
-    top-k, so that all tasks together send the driver two samples at most, however many tasks there are.
+    Rows are counted by language first, and those of larger hashes than about twice a language's share needs are left out
+    before the rank; a row's pieces are cut by its executor. So one shuffle of two samples, and one sample to the driver,
+    however long tables and texts are.
     """
     text = docs[text_col].cast("string")
-    rows = docs.where(text.isNotNull() & docs[lang_col].isNotNull() & ~held_out(docs[id_col])).select(F.xxhash64(docs[id_col].cast("string"), F.lit(SEED)).alias("h"), docs[id_col].alias("id"), F.substring(text, 1, sample_bytes).alias("text"), docs[lang_col].cast("string").alias("lang"))
-    share = min(1.0, 2 * sample_rows / max(1, rows.count()))
-    rows = rows.where(F.col("h") <= min(2**63 - 1, int(-(2**63) + 2**64 * share)))
-    found = rows.orderBy("h", "id", "text", "lang").limit(sample_rows).collect()
-    return train([r.text for r in found], [r.lang for r in found], **how)
+    of_lang = docs.select(docs[id_col].cast("string").alias("id"), text.alias("text"), docs[lang_col].cast("string").alias("lang")).where(text.isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("id")))
+    counts = of_lang.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()
+    if not counts:
+        return train([], [], **how)
+    each = max(1, sample_rows // len(counts))
+    most = [(r.lang, min(2**63 - 1, int(-(2**63) + 2**64 * min(1.0, 2 * each / r.n)))) for r in counts]
+    limits = F.broadcast(docs.sparkSession.createDataFrame(most, "lang string, most bigint"))
+    rows = of_lang.withColumn("h", F.xxhash64("id", F.lit(SEED))).join(limits, "lang").where("h <= most")
+    size = F.char_length("text")
+    place = lambda i: F.pmod(F.xxhash64("h", i), size - PIECE + 1).cast("int") + 1
+    pieces = F.when(size <= PIECES * PIECE, F.array("text")).otherwise(F.transform(F.sequence(F.lit(1), F.lit(PIECES)), lambda i: F.substr("text", place(i), F.lit(PIECE))))
+    once = rows.select("lang", "h", pieces.alias("pieces")).groupBy("lang", "h").agg(F.min("pieces").alias("pieces"))
+    first = once.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("k") <= each)
+    found = first.select("lang", "h", "pieces").collect()
+    found = sorted((r.h, r.lang, piece) for r in found for piece in r.pieces)
+    return train([t for _, _, t in found], [x for _, x, _ in found], **how)
+
+
+def told(net: Network, text: pa.Array) -> tuple[list[str], list[float]]:
+    """Language and score of each text."""
+    letter = pc.fill_null(pc.match_substring_regex(text, r"\pL"), False).to_pylist()
+    lang, score = [], []
+    raw, offs = text_buffer(text)
+    if not net.langs:
+        return [UNKNOWN] * len(text), [0.0] * len(text)
+    for i, j in row_slices(np.diff(offs)):
+        p = pooled(net, raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+        best = p.argmax(axis=1)
+        lang += [net.langs[k] if ok else UNKNOWN for k, ok in zip(best, letter[i:j], strict=True)]
+        score += [float(min(max(x[k], 0.0), 1.0)) if ok else 0.0 for x, k, ok in zip(p, best, letter[i:j], strict=True)]
+    return lang, score
 
 
 def identify(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -205,23 +245,26 @@ def identify(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text = batch.column(1)
-            raw, offs = text_buffer(text)
-            lang, score = [], []
-            letter = pc.fill_null(pc.match_substring_regex(text, r"\pL"), False).to_pylist()
-            for i, j in row_slices(np.diff(offs)):
-                p = pooled(net, raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-                best = p.argmax(axis=1)
-                lang += [net.langs[k] if ok else UNKNOWN for k, ok in zip(best, letter[i:j], strict=True)]
-                score += [float(min(max(x[k], 0.0), 1.0)) if ok else 0.0 for x, k, ok in zip(p, best, letter[i:j], strict=True)]
+            lang, score = told(net, batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["id", "lang_pred", "score"])
 
-    if not net.langs:
-        return docs.select(docs[id_col], F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
     found = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
     return found.mapInArrow(run, f"id {of_id}, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
+def keep_known(docs: DataFrame, net: Network, least: float, text_col: str = "text") -> DataFrame:
+    """The documents whose language is told, with a score of `least` or more; each row is judged by its own text, whatever its id."""
+    small_batches(docs.sparkSession)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lang, score = told(net, batch.column(at).cast(pa.string()))
+            yield batch.filter(pa.array([x != UNKNOWN and s >= least for x, s in zip(lang, score, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **how: object) -> DataFrame:
     """Rows (id, held_out, lang_pred, score): fitted on the rows that are not held out, applied to every row."""
     found = identify(docs, fit(docs, id_col, text_col, lang_col, **how), id_col, text_col)
