@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from conspectus.llm.bpe import encode_bpe
-from conspectus.llm.common import if_small, materialise, new_folder, table
+from conspectus.llm.common import drop_folder, new_folder, table
 from conspectus.llm.decontaminate import drop_leaks
-from conspectus.llm.language_id import UNKNOWN, fit, identify
+from conspectus.llm.language_id import fit, keep_known
 from conspectus.llm.minhash import STAGE, drop_near_duplicates
 from conspectus.llm.substring_dedup import cut_passages, repeated_passages
 
@@ -17,10 +17,8 @@ LEAST_SCORE = 0.4
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or of no clear language, go; rows without an id stay."""
-    judged = identify(docs, fit(docs))
-    gone = judged.where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < LEAST_SCORE)).select("doc_id").distinct()
-    return docs.join(if_small(materialise(gone)), "doc_id", "left_anti").select(docs.columns)
+    """Documents without a letter, or of no clear language, go; each row by its own text."""
+    return keep_known(docs, fit(docs), LEAST_SCORE)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +33,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go; each row by its own text."""
     return drop_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -57,9 +55,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         folder = new_folder(spark, name)
         stage(spark, docs, sf_dir).write.parquet(folder)
         docs = spark.read.parquet(folder)
+        if before:
+            drop_folder(spark, before)
+        before = folder
     return docs
