@@ -17,7 +17,7 @@ from .merkle import edited_fingerprints
 from .minhash import near_duplicates
 from .substring_dedup import passage_clusters, repeated_passages
 from .token_files import token_files
-from .url_filter import RULES, SOFT, STRICT, filter_urls
+from .url_filter import RULES, SOFT, STRICT, THIRDS, filter_urls
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,17 +68,18 @@ def _url_sql() -> str:
         return f"(host = '{host}' OR host LIKE '%.{host}') AND starts_with(path, '/{path}')"
 
     case = lambda of: "CASE " + " ".join(f"WHEN {fits(r[0])} THEN '{r[of]}'" for r in rules) + " END"
-    bounded = lambda t: f"regexp_matches(host || lower(path), '(^|[^a-z0-9])({t})([^a-z0-9]|$)')"
+    low = "translate(coalesce(url, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    bounded = lambda t: f"regexp_matches(low, '(^|[^a-z0-9])({t})([^a-z0-9]|$)')"
     soft = " + ".join(f"CASE WHEN {bounded(t)} THEN {w} ELSE 0 END" for t, w in SOFT.items())
     return f"""
 WITH parts AS (
-  SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+  SELECT page_id, {low} AS low, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
 ), split AS (
-  SELECT page_id, translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  SELECT page_id, low, translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          regexp_extract(regexp_replace(coalesce(rest, ''), '^[^/?#]*', ''), '^/[^?#]*') AS path FROM parts
 )
 SELECT page_id, host, path, {case(0)} AS rule,
-       coalesce({case(1)}, CASE WHEN {bounded('|'.join(STRICT))} OR {soft} >= 1 THEN 'block' ELSE 'allow' END) AS verdict
+       coalesce({case(1)}, CASE WHEN {bounded('|'.join(STRICT))} OR {soft} >= {THIRDS} THEN 'block' ELSE 'allow' END) AS verdict
 FROM split"""
 
 

@@ -1,8 +1,12 @@
 """URL filters: rules on hosts and paths first, then a weighted vocabulary found by an Aho-Corasick automaton.
 
-A term counts where both its ends are boundaries (the next character is no ASCII letter or digit). One strict term, or
-distinct soft terms whose weights add up to 1, reject the url.
-Nulls and urls without "://" have an empty host and path, no rule and are allowed; repeated rows are judged each by itself.
+The vocabulary is looked for in the whole url, query and fragment included, with A-Z lower-cased. A term counts where
+both its ends are boundaries (the next character is no ASCII letter or digit). One strict term, or distinct soft terms
+whose weights add up to 1, reject the url: a telling term weighs two thirds and needs one more of any kind, a common one
+a third and needs two.
+Nulls, empty urls and those without "://" have an empty host and path and no rule; the vocabulary judges what text there
+is, very long ones in one pass. Repeated rows are judged each by itself, an empty table gives no rows, and only the id and
+the url are read, so that other columns, of any name, change nothing.
 """
 
 from __future__ import annotations
@@ -15,13 +19,19 @@ from pyspark.sql import DataFrame
 from .common import small_batches
 
 #: One hit rejects.
-STRICT = ("adult", "casino", "escort", "gambling", "malware", "phishing", "porn", "spam", "viagra", "warez", "xxx")
-#: Weights of soft terms; 1 or more in distinct terms rejects.
-SOFT = {
-    "ads": 0.5, "bet": 0.5, "bets": 0.5, "bonus": 0.5, "cheap": 0.5, "click": 0.5, "crack": 0.5, "dating": 0.5, "deal": 0.5, "free": 0.5,
-    "jackpot": 0.5, "keygen": 0.5, "loan": 0.5, "lottery": 0.5, "pill": 0.5, "pills": 0.5, "poker": 0.5, "prize": 0.5, "promo": 0.5,
-    "sex": 0.5, "slots": 0.5, "torrent": 0.5, "track": 0.5, "tracker": 0.5, "win": 0.5, "winner": 0.5,
-}
+STRICT = """adult bdsm blackjack camgirl camgirls casino casinos cialis escort escorts gambling gangbang hardcore hentai hookup
+hookups keygen levitra malware milf nsfw nude nudes onlyfans phishing porn porno pornhub pornos roulette scam scams sexcam
+sportsbook spam tramadol viagra warez webcamsex xanax xvideos xxx""".split()
+#: Terms that tell much, and those that are common in other urls as well.
+TELLING = """baccarat bet bets betting bingo bookie cheats crack cracked cracks dating drugs erotic fetish jackpot lottery lotto
+nulled payday pharmacy pill pills poker sex sexy singles slot slots steroids stream-free torrent torrents unblocked winner
+winners""".split()
+COMMON = """ad ads affiliate affiliates bonus bonuses cash cheap cheapest click clickbait coupon coupons credit deal deals discount
+download earn exclusive fast forex free gift gifts girls hot instant jackpots loan loans lucky money offer offers online
+popup prize prizes profit promo promos quick replica rich survey surveys track tracker tracking trial vip win""".split()
+#: Weights of soft terms, in thirds; THIRDS of them in distinct terms reject.
+THIRDS = 3
+SOFT = dict.fromkeys(COMMON, 1) | dict.fromkeys(TELLING, 2)
 #: Rules of host/path and verdict.
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
 
@@ -62,48 +72,48 @@ class Rules:
 
 
 class Vocabulary:
-    def __init__(self, strict: Iterable[str], soft: dict[str, float]) -> None:
+    def __init__(self, strict: Iterable[str], soft: dict[str, int], reject_at: int) -> None:
         import ahocorasick
 
         self.find = ahocorasick.Automaton()
-        for term, weight in {**soft, **dict.fromkeys(strict, 1.0)}.items():
+        for term, weight in {**soft, **dict.fromkeys(strict, reject_at)}.items():
             self.find.add_word(term, (term, weight))
         if len(self.find):
             self.find.make_automaton()
 
-    def hits(self, text: str) -> dict[str, float]:
+    def hits(self, text: str) -> dict[str, int]:
         """Weights of the distinct terms that stand between boundaries."""
-        found: dict[str, float] = {}
+        found: dict[str, int] = {}
         if not len(self.find):
             return found
         for end, (term, weight) in self.find.iter(text):
             start = end - len(term)
-            around = text[max(start, 0) : start + 1] * (start >= 0), text[end + 1 : end + 2]
+            around = text[max(start, 0) : start + 1], text[end + 1 : end + 2]
             if not any(c.isascii() and c.isalnum() for c in around):
                 found[term] = weight
         return found
 
 
-def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: Iterable[tuple[str, str]] = RULES, strict: Iterable[str] = STRICT, soft: dict[str, float] | None = None, reject_at: float = 1.0) -> DataFrame:
+def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: Iterable[tuple[str, str]] = RULES, strict: Iterable[str] = STRICT, soft: dict[str, int] | None = None, reject_at: int = THIRDS) -> DataFrame:
     """Rows (id, host, path, rule, verdict, terms, weight); a narrow scan of two columns, no shuffle."""
     small_batches(pages.sparkSession, 2048)
     rules, strict, soft = tuple(rules), tuple(strict), dict(SOFT if soft is None else soft)
     of_id = pages.schema[id_col].dataType.simpleString()
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_rule, words = Rules(rules), Vocabulary(strict, soft)
+        by_rule, words = Rules(rules), Vocabulary(strict, soft, reject_at)
         for batch in batches:
             out: dict[str, list] = {k: [] for k in ("host", "path", "rule", "verdict", "terms", "weight")}
             for url in batch.column(1).to_pylist():
                 host, path = split_url(url)
                 fits = by_rule.of(host, path)
-                hits = words.hits(f"{host}{path.lower()}")
-                weight = float(sum(hits.values()))
+                hits = words.hits((url or "").translate(_LOWER))
+                weight = sum(hits.values())
                 row = host, path, fits and fits[0], fits[1] if fits else "block" if weight >= reject_at else "allow", sorted(hits), weight
                 for k, v in zip(out, row, strict=True):
                     out[k].append(v)
-            types = (pa.string(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.float64())
+            types = (pa.string(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, t) for v, t in zip(out.values(), types, strict=True))], ["id", *out])
 
     found = pages.select(pages[id_col].alias("id"), pages[url_col].cast("string").alias("url"))
-    return found.mapInArrow(judge, f"id {of_id}, host string, path string, rule string, verdict string, terms array<string>, weight double").withColumnRenamed("id", id_col)
+    return found.mapInArrow(judge, f"id {of_id}, host string, path string, rule string, verdict string, terms array<string>, weight bigint").withColumnRenamed("id", id_col)
