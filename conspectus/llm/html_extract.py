@@ -2,26 +2,31 @@
 
 A tolerant scan builds the tree. Paragraph-like elements earn points for length and commas and pass them to their
 ancestors, the parent in full, the grandparent by half, three more by less; an element's points are discounted by its
-link density. The element with most points is the container; an enclosing article or main element takes its place;
-siblings that score or read like it are kept. Menus, headers, footers, sidebars, notices, adverts, forms, scripts,
-styles and reader comments go, by element or by the words of their class, id and role.
-Null and empty html give an empty text; very long and deeply nested pages take one linear pass; repeated rows are
-extracted each by itself; other columns of the input are not read.
+link density. The element with most points is the container; an enclosing article or main element takes its place if
+what else it holds reads like text; siblings that score or read like it are kept. Menus, headers, footers, sidebars,
+notices, adverts, forms, scripts, styles and reader comments go, by element or by the words of their class, id and role;
+words that an article may be about go only beside words that say nothing else.
+Null and empty html give an empty text; very long and deeply nested pages take one linear pass; of elements with equal
+points the first counts; repeated rows are extracted each by itself; an empty table gives no rows. Only the id, the url
+and the html are read, so that other columns, of any name, change nothing.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import small_batches
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)[^>]*\Z", re.S)
-_MARK = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_NAME, _SPACE, _ATTRIBUTE, _BARE = (re.compile(x) for x in (r"[a-zA-Z][^\s/>]*", r"[\s/]*", r"(=?[^\s/>=]*)(\s*=\s*)?", r"[^\s>]*"))
+_COMMENT_END = re.compile(r"--!?>")
+_HUMP = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
+_READ = frozenset("class id role hidden aria-hidden style".split())
 
 #: HTML's elements without content, those whose content is no markup, and those that start a block.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -36,16 +41,30 @@ _P_ENDS = BLOCK - {"br", "body", "html", "option", "td", "th", "tr", "tbody", "t
 _SCORED = frozenset("p pre blockquote td dd".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
-#: Words of class, id or role that mark other things than main text (whole words, or starts of words with a star).
-UNLIKELY = """ad ads adbox adslot advert* sponsor* promo* banner* sidebar* side-bar rail menu* nav navbar navigation topnav breadcrumb* pagination pager
-footer* header masthead topbar comment* disqus respond replies reply cookie* consent gdpr notice* alert* notification* popup* modal* overlay
-newsletter* subscri* signup sign-up login share* sharing social* related* recommend* popular trending widget* toolbar skip-link copyright
-contentinfo complementary search* form tags taglist hidden""".split()
-_WHOLE = frozenset(w for w in UNLIKELY if not w.endswith("*"))
-_STARTS = tuple(w[:-1] for w in UNLIKELY if w.endswith("*"))
+#: Words of class, id or role that mark other things than main text wherever they stand (a star: starts of words).
+UNLIKELY = """ads adbox adslot advert* sponsor* sidebar* navbar navigation* topnav breadcrumb* pagination pager footer* masthead topbar
+comment* disqus respond replies consent gdpr newsletter* subscri* signup login widget* toolbar contentinfo complementary popup* modal*
+overlay* lightbox taglist""".split()
+#: Words that do so only by themselves or beside plain words, as an article may be about them.
+DOUBTFUL = """ad alert* banner* cookie* copyright form header* hidden menu* nav notice* notification* popular promo* rail recommend* related*
+reply search* share* sharing skip social* tags trending""".split()
+#: Words that say nothing of what an element is about.
+PLAIN = frozenset("""area bar block body bottom box button buttons center col column contained container content contents desktop fixed global
+group heading icon icons info inner item items left link links list lists main message mobile msg outer page panel post posts primary right row
+secondary section side site small sticky text title toggle top wrap wrapper""".split())
+#: Beside these, a header is the article's own.
+OWN = frozenset("article entry hentry post story".split())
 LIKELY = frozenset("article articlebody body content entry hentry main maincontent page post story text".split())
 
 
+def _among(words: list[str]) -> Callable[[str], bool]:
+    whole, starts = frozenset(w for w in words if w[-1] != "*"), tuple(w[:-1] for w in words if w[-1] == "*")
+    return lambda part: part in whole or part.startswith(starts)
+
+
+_unlikely, _doubtful = _among(UNLIKELY), _among(DOUBTFUL)
+
+
 class Node:
     __slots__ = ("tag", "parent", "skip", "likely", "length", "links", "commas", "points", "comment")
 
@@ -55,91 +74,138 @@ class Node:
         self.points = 0.0
 
 
-def _traits(tag: str, attributes: str) -> tuple[bool, bool, bool]:
+@lru_cache(maxsize=4096)
+def _named(name: str) -> tuple[bool, bool, bool]:
+    """Whether a class, id or role speaks for other things than main text, for main text, of reader comments."""
+    parts = [p for p in re.split(r"[-_:]+", _HUMP.sub("-", name).lower()) if p]
+    if any(map(_unlikely, parts)):
+        return True, False, any(p.startswith(("comment", "disqus", "respond", "repl")) for p in parts)
+    doubt = [p for p in parts if _doubtful(p)]
+    others = [p for p in parts if p not in doubt]
+    if doubt and all(p in PLAIN or p.isdigit() or len(p) < 3 for p in others) and not (OWN.intersection(others) and all(p.startswith("header") for p in doubt)):
+        return True, False, any(p == "reply" for p in doubt)
+    return False, not LIKELY.isdisjoint(parts), False
+
+
+def _traits(tag: str, attributes: dict[str, str]) -> tuple[bool, bool, bool]:
     """Whether an element is to be dropped, whether its names speak for main text, whether they speak of reader comments."""
-    skip = tag in DROPPED
-    likely = tag in ("article", "main")
-    comment = False
-    if "=" in attributes or "hidden" in attributes:
-        for m in _MARK.finditer(attributes):
-            name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-            if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-                skip = True
-            elif name in ("class", "id", "role"):
-                for word in value.split():
-                    parts = {word, *re.split(r"[-_:]+", word)}
-                    if parts & _WHOLE or any(p.startswith(_STARTS) for p in parts):
-                        skip = True
-                        comment |= any(p.startswith(("comment", "disqus", "respond", "repl")) for p in parts)
-                    elif parts & LIKELY:
-                        likely = True
+    skip, likely, comment = tag in DROPPED, tag in ("article", "main"), False
+    for name, value in attributes.items():
+        if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
+            skip = True
+        elif name in ("class", "id", "role"):
+            for word in value.split():
+                unlikely, speaks, of_comments = _named(word)
+                skip, likely, comment = skip | unlikely, likely | speaks, comment | of_comments
     if tag in ("html", "body", "main") or tag == "article" and not comment:
         skip = False
     return skip, likely, comment
 
 
+def _attributes(page: str, at: int, last: dict[str, int]) -> tuple[dict[str, str], int, bool]:
+    """Attributes of a tag from `at` (after its name) on, the place after it, and whether it closes itself.
+
+    A quote that is not closed, or by one that no space, slash or end of tag follows, while an end of tag stands between
+    them, opens nothing: the tag ends there. last: the last place of each quote, so that no search goes to the end in vain.
+    """
+    found: dict[str, str] = {}
+    n = len(page)
+    while True:
+        at = _SPACE.match(page, at).end()
+        if at >= n:
+            return found, n, False
+        if page[at] == ">":
+            return found, at + 1, page[at - 1] == "/"
+        m = _ATTRIBUTE.match(page, at)
+        name, at, value = m[1].lower(), m.end(), ""
+        if m[2] is not None and at < n:
+            if page[at] in "\"'":
+                end = page.find(page[at], at + 1) if at < last[page[at]] else -1
+                stop = page.find(">", at + 1, end if end >= 0 else n)
+                if end < 0 or stop >= 0 and not (page[end + 1 : end + 2] in ("", "/", ">") or page[end + 1].isspace()):
+                    if stop < 0:
+                        return found, n, False
+                    found.setdefault(name, page[at + 1 : stop])
+                    return found, stop + 1, False
+                value, at = page[at + 1 : end], end + 1
+            else:
+                m = _BARE.match(page, at)
+                value, at = m[0], m.end()
+        if name in _READ:
+            found.setdefault(name, value)
+
+
 def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
-    """Nodes (each after its parent) and pieces of text by node; a piece "\\n" stands where a block starts or ends."""
+    """Nodes (each after its parent) and pieces of text by node; a piece "\n" stands where a block starts or ends.
+
+    One pass: of the open elements, the places of each name and of those that bound a search are kept in lists, so that
+    nothing is searched for on the stack.
+    """
     nodes = [Node("", -1, False, False, False)]
     pieces: list[tuple[int, str]] = []
-    stack = [0]
-    at, n = 0, len(page)
+    stack, scopes = [0], [0]
+    places: dict[str, list[int]] = {}
+    last = {q: page.rfind(q) for q in "\"'"}
+    at, said, n = 0, 0, len(page)
 
     def close(depth: int) -> None:
-        del stack[depth:]
-        pieces.append((stack[-1], "\n"))
+        while len(stack) > depth:
+            places[nodes[stack.pop()].tag].pop()
+        while scopes[-1] >= depth:
+            scopes.pop()
 
-    while at < n:
-        m = _TOKEN.search(page, at)
-        if m is None:
-            pieces.append((stack[-1], page[at:]))
-            break
-        if m.start() > at:
-            pieces.append((stack[-1], page[at : m.start()]))
-        at = m.end()
-        if m[0].startswith("<![CDATA["):
-            continue
-        tag = (m[2] or "").lower()
-        if not tag:
+    while True:
+        at = page.find("<", at)
+        kind = page[at + 1 : at + 2] if at >= 0 else ""
+        if at >= 0 and not (kind in ("!", "?", "/") or kind.isascii() and kind.isalpha()):
+            at += 1
             continue
-        if m[1]:
-            for depth in range(len(stack) - 1, 0, -1):
-                open_tag = nodes[stack[depth]].tag
-                if open_tag == tag:
-                    if tag in BLOCK:
-                        close(depth)
-                    else:
-                        del stack[depth:]
-                    break
-                if tag not in BLOCK and open_tag in _SCOPE:
-                    break
+        if (at if at >= 0 else n) > said:
+            pieces.append((stack[-1], page[said : at if at >= 0 else n]))
+        if at < 0:
+            break
+        if kind == "!" and page.startswith("<!--", at):
+            if page.startswith((">", "->"), at + 4):
+                end = page.find(">", at + 4) + 1
             else:
+                m = _COMMENT_END.search(page, at + 4)
+                end = m.end() if m else n
+        elif kind in ("!", "?"):
+            mark = "]]>" if page.startswith("<![CDATA[", at) else ">"
+            end = page.find(mark, at)
+            end = end + len(mark) if end >= 0 else n
+        elif kind == "/":
+            m = _NAME.match(page, at + 2)
+            end = page.find(">", at) + 1 or n
+            if m:
+                tag = m[0].lower()
+                depth = (places.get(tag) or [0])[-1]
+                if depth and (tag in BLOCK or depth >= scopes[-1]):
+                    close(depth)
                 if tag in BLOCK:
                     pieces.append((stack[-1], "\n"))
-            continue
-        if tag in _P_ENDS or tag in _ENDS:
+        else:
+            m = _NAME.match(page, at + 1)
+            tag = m[0].lower()
+            attributes, end, closed = ({}, m.end() + 1, False) if page[m.end() : m.end() + 1] == ">" else _attributes(page, m.end(), last)
             ends = _ENDS.get(tag, ()) + (("p",) if tag in _P_ENDS else ())
-            for depth in range(len(stack) - 1, 0, -1):
-                open_tag = nodes[stack[depth]].tag
-                if open_tag in ends:
-                    close(depth)
-                    break
-                if open_tag in _SCOPE:
-                    break
-        if tag in BLOCK:
-            pieces.append((stack[-1], "\n"))
-        if tag in VOID:
-            continue
-        if tag in RAW and not m[3].rstrip().endswith("/"):
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(page, at)
-            at = end.end() if end else n
-            continue
-        skip, likely, comment = _traits(tag, m[3])
-        if tag == "header":
-            skip = True
-        nodes.append(Node(tag, stack[-1], skip, likely, comment))
-        if not m[3].endswith("/") or tag in BLOCK:
-            stack.append(len(nodes) - 1)
+            depth = max(((places.get(t) or [0])[-1] for t in ends), default=0)
+            if depth and depth >= scopes[-1]:
+                close(depth)
+            if tag in BLOCK:
+                pieces.append((stack[-1], "\n"))
+            if tag in RAW and not closed:
+                m = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(page, end)
+                end = m.end() if m else n
+            elif tag not in VOID and tag not in RAW:
+                skip, likely, comment = _traits(tag, attributes)
+                nodes.append(Node(tag, stack[-1], skip or tag == "header", likely, comment))
+                if not closed or tag in BLOCK:
+                    places.setdefault(tag, []).append(len(stack))
+                    if tag in _SCOPE:
+                        scopes.append(len(stack))
+                    stack.append(len(nodes) - 1)
+        at = said = end
     return nodes, pieces
 
 
@@ -159,7 +225,7 @@ def extract(page: str | None) -> str:
     """The main text: white space in a block is one space, blocks are joined by one space."""
     if not page:
         return ""
-    nodes, pieces = parse(page.replace("\0", ""))
+    nodes, pieces = parse(page)
     if len(nodes) == 1 and not any(t.strip() for _, t in pieces):
         return ""
     dropped = _held(nodes, pieces)
@@ -212,13 +278,17 @@ def extract(page: str | None) -> str:
             best, most = k, now
     if best < 0:  # no paragraph: what an article or main element holds, or all that is not dropped
         best = next((k for k, x in enumerate(nodes) if x.tag in ("article", "main") and not dropped[k] and x.length), 0)
-    up = best
+    # An article or main element around the best one takes its place if what else it holds reads like text too: half of it
+    # is no links, and for a main element, which may hold anything, if paragraphs gave it a fifth of the best one's points.
+    up, own = best, nodes[best]
     while up > 0:
-        if nodes[up].tag in ("article", "main"):
+        x = nodes[up]
+        more, links = x.length - own.length, x.links - own.links
+        if x.tag in ("article", "main") and not dropped[up] and links <= more / 2 and (x.tag == "article" or up == best or score(x) >= 0.2 * most):
             best = up
-            if nodes[up].tag == "article":
+            if x.tag == "article":
                 break
-        up = nodes[up].parent
+        up = x.parent
     chosen = {best}
     if best > 0 and nodes[best].tag not in ("body", "html"):
         least = max(10.0, 0.2 * most)
