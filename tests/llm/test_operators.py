@@ -293,6 +293,64 @@ def test_html(page, text):
     assert html_extract.extract(page) == text
 
 
+PROBES = [
+    (f"<body><article><h1>H</h1><p data-x=it's>{BODY}</article><footer>f</footer>", f"H {TEXT}"),
+    (f'<body><div class=content><p title="foo>First words.{BODY}<a href="x">y</a>{BODY}</div>', f"First words. {TEXT} y {TEXT}"),
+    (f'<div class="content"><p title="a > b" data-y=\'<p class="z">\'>{BODY}</div>', TEXT),
+    (f"<body><div class='cookie-recipe'><h2>Cookies</h2>{BODY}</div><div class=cookie-banner><p>We use cookies, as all do.</p></div>", f"Cookies {TEXT}"),
+    (f"<article><section class='menu-history'>{BODY}</section>{BODY}<div class='main-menu'><p>Home, news, more</p></div></article>", f"{TEXT} {TEXT}"),
+    (f"<article><div class='article-header'><h1>Head</h1></div><p>a\0b</p>{BODY}<div class=sharePanel><p>Share this, please</p></div></article>", f"Head a\0b {TEXT}"),
+    (f"<main><div class=content>{BODY}{BODY}</div><div>{'<a href=x>one link, and another</a> ' * 40}</div></main>", f"{TEXT} {TEXT}"),
+    (f"<!--<p>x --><article>{BODY}<!-- <p>y</p> --!>{BODY}</article>", f"{TEXT} {TEXT}"),
+    (f"<article>{BODY}<p>1 < 2 &lt; 3 &amp;amp; &#x41;&nbsp;&copy;</p></article>", f"{TEXT} 1 < 2 < 3 &amp; A ©"),
+    (f"<article>{BODY}<p>cut <b", f"{TEXT} cut"),
+]
+
+
+@pytest.mark.parametrize("k", range(len(PROBES)))
+def test_html_by_the_rules(k):
+    page, text = PROBES[k]
+    assert html_extract.extract(page) == text
+
+
+def test_html_takes_linear_time():
+    import time
+
+    took = []
+    for n in (4000, 32000):
+        began = time.process_time()
+        for page in ("<b>" * n + "</i>" * n, "<i><div>" + "<b>" * n + "</i>" * n, '<p title="foo>' * n, "<a x='>" * n + '"', "<" * n, "<!--" * n, "<li>" * n + "</p>" * n):
+            html_extract.extract(page)
+        took.append(time.process_time() - began)
+    assert took[1] < 30 * took[0]
+
+
+def test_html_of_generated_pages():
+    """Articles among page parts, in several layouts, against the text that was put in."""
+    import html as H
+
+    r = random.Random(31)
+    sentence = lambda: " ".join(r.choice(["one", "two,", "thrée", "a & b", "x < y", "“so”", "long-ish", "words,"]) for _ in range(r.randint(8, 30))) + "."
+    parts = ["<nav><ul><li><a href=/a>Home</a><li><a href=/b>News</a></ul></nav>", "<div class='sidebar left'><p>About us, and more, and so on, for long enough to count.</p></div>", "<footer><p>© 2020, all of us, everywhere.</p></footer>", "<div id=newsletter-signup><form><p>Mail, please, and your name as well.</p></form></div>", "<aside><p>Related, but not the same, and long enough to count for something.</p></aside>", "<script>var a = '<p>no</p>';</script>", "<div class=advert-box><p>Buy, buy, buy this now, it is cheap, and good, and new.</p></div>", "<section id=comments><p>First! I think so, too, and more, and more, and more of it.</p></section>"]
+    for _ in range(150):
+        blocks = [sentence() for _ in range(r.randint(3, 9))]
+        inner = "".join(f"<p>{H.escape(b) if r.random() < 0.7 else H.escape(b).replace(' ', chr(10) + '  ', 2)}" + r.choice(["</p>", ""]) for b in blocks)
+        around = [r.choice(parts) for _ in range(r.randint(0, 5))]
+        cut = r.randint(0, len(around))
+        frame = r.choice(["<article>{}</article>", "<div class=post-content>{}</div>", "<main><div>{}</div></main>", "<div id=wrap><div class=entry>{}</div></div>"])
+        page = f"<html><head><title>t</title></head><body>{''.join(around[:cut])}{frame.format(inner)}{''.join(around[cut:])}</body></html>"
+        assert html_extract.extract(page) == " ".join(blocks), page
+
+
+def test_extract_pages(spark):
+    rows = [(1, "u", f"<article>{BODY}</article>", "t"), (1, "u", f"<article>{BODY}</article>", "t"), (2, None, None, "t"), (None, "v", "", None), (3, "w", "<article>" + BODY * 3000 + "</article>", "t")]
+    pages = spark.createDataFrame([(*x, 7) for x in rows], "page_id int, url string, html string, text string, n_chars int")
+    found = sorted(map(tuple, html_extract.extract_pages(pages).collect()), key=str)
+    long = " ".join([TEXT] * 3000)
+    assert found == sorted([(1, "u", TEXT, len(TEXT)), (1, "u", TEXT, len(TEXT)), (2, None, "", 0), (None, "v", "", 0), (3, "w", long, len(long))], key=str)
+    assert html_extract.extract_pages(pages.where("page_id > 9")).count() == 0
+
+
 def test_simple8b_round_trip():
     rng = np.random.default_rng(0)
     for k in range(60):
