@@ -65,6 +65,14 @@ def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, or one with underscores behind it, that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 class Memo:
     """What a worker remembers of keys: two generations of at most `most` each, so that what recurs stays and memory is bounded."""
 
