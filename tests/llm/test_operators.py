@@ -120,6 +120,37 @@ def test_repeats_of_frequent_lines(spark):
     assert len({i for i, _ in want}) == 22 and want == found
 
 
+def test_passages_in_far_cells_and_parts():
+    """Passages beside and across the borders of cells, several on one diagonal, are all found; bands are the same in parts of any size."""
+    r = np.random.default_rng(11)
+    fresh = lambda n: r.integers(0, 2**32, n, dtype=np.uint32)
+    a, b = fresh(5000), fresh(5000)
+    for at in (0, 460, 1020, 2030, 4950):
+        b[at : at + 50] = a[at : at + 50]
+    places = [(0, c) for c in (0, 1, 2, 3, 4, 9)]
+    assert substring_dedup.shared_passages(a, b, places) == [(k, k + 50, k) for k in (0, 460, 1020, 2030, 4950)]
+    copy = np.concatenate([fresh(3), a])
+    assert substring_dedup.shared_passages(a, copy, [(-3, 4)]) == [(0, 5000, 3)]
+    text = " ".join(f"w{k}" for k in r.integers(0, 3000, 4000))
+    raw, offs = np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)])
+    whole = substring_dedup.bands_of(raw, offs)
+    for part in (64, 1 << 10):
+        assert {*zip(*(c.tolist() for c in substring_dedup.bands_of(raw, offs, part=part)), strict=True)} == {*zip(*(c.tolist() for c in whole), strict=True)}
+
+
+def test_passages_of_far_ids_and_namesakes(spark):
+    """Ids that leave no room for places beside them, and a row that shares its id with another."""
+    passage = prose(70, 64)
+    far = 2**62
+    rows = [(-far, f"{prose(71, 30)} {passage}"), (far, f"{passage} {prose(72, 30)}"), (far, prose(73, 200)), (5, f"{prose(74, 9)} {passage}"), (None, passage)]
+    df = spark.createDataFrame([(*x, 1, 2) for x in rows], "doc_id bigint, text string, cut_id int, cut_spans int")
+    passages = substring_dedup.repeated_passages(df)
+    assert {(r.doc_id, r.start_word, r.n_words, r.kept_doc_id, r.kept_start_word) for r in passages.collect()} >= {(5, 9, 64, -far, 30), (far, 0, 64, -far, 30)}
+    left = substring_dedup.cut_passages(df, passages)
+    assert left.columns == df.columns
+    assert sorted((str(r.doc_id), r.text) for r in left.collect()) == sorted((str(i), t.replace(passage, "")) if i in (far, 5) else (str(i), t) for i, t in rows)
+
+
 def test_bands_of_edited_paragraphs():
     r = random.Random(70)
     met = 0
@@ -149,13 +180,13 @@ def test_passages_with_edits():
             longer = np.concatenate([p[:at], fresh(1), p[at:]])
             for x, y in ((p, longer), (longer, p)):
                 a, b = np.concatenate([fresh(7), x, fresh(9)]), np.concatenate([fresh(20), y, fresh(5)])
-                shift = [7 - 20 if at * 2 >= n else 7 - 20 + len(x) - len(y)]
+                shift = [(7 - 20 if at * 2 >= n else 7 - 20 + len(x) - len(y), 0)]
                 assert substring_dedup.shared_passages(a, b, shift) == [(7, 7 + len(x), 20)]
     p = fresh(240)
     q = p.copy()
     q[[40, 200]] = fresh(2)
     q[80:160:6] = fresh(14)  # a densely edited part between two near copies
-    assert substring_dedup.shared_passages(p, q, [0]) == [(0, 80, 0), (159, 240, 159)]
+    assert substring_dedup.shared_passages(p, q, [(0, 0)]) == [(0, 80, 0), (159, 240, 159)]
 
 
 def test_merkle(docs):
