@@ -30,12 +30,13 @@ def dependents(edges: DataFrame, sources: DataFrame, depth: int = 3) -> DataFram
     """All nodes that reach a source against the edges (importer, target) in at most `depth` steps.
 
     Rows (source, node, depth, via): the fewest steps, and the chain of nodes between, the smallest one (joined by " > ")
-    among those of that length. Each level is one join of the frontier with the edges and one anti join with what is
-    seen; it is kept, so that the lineage does not grow. A source is never its own dependent.
+    among those of that length. The edges are kept once; each level is one join of the frontier with them and one anti
+    join with the levels before, and only the level is kept, so that neither lineage nor writing grows. A source is never
+    its own dependent.
     """
     if not 1 <= depth <= MAX_DEPTH:
         raise ValueError(f"depth must be 1 to {MAX_DEPTH}")
-    e = edges.where("importer != target").select("importer", "target").distinct()
+    e = keep(edges.where("importer != target").select("importer", "target").distinct())
     seen = keep(sources.select(F.col("node").alias("source"), "node").distinct().select("source", "node", F.lit(0).alias("depth"), F.lit("").alias("via")))
     frontier = seen
     for level in range(1, depth + 1):
@@ -44,7 +45,7 @@ def dependents(edges: DataFrame, sources: DataFrame, depth: int = 3) -> DataFram
         frontier = keep(step.join(seen.select("source", "node"), ["source", "node"], "left_anti").select("source", "node", F.lit(level).alias("depth"), "via"))
         if frontier.isEmpty():
             break
-        seen = keep(seen.unionByName(frontier))
+        seen = seen.unionByName(frontier)
     return seen.where("depth > 0")
 
 

@@ -72,11 +72,30 @@ def first_candidate(rows: DataFrame, key: str, candidates: str, known: DataFrame
     return rows.join(hit, key, "left")
 
 
-def interval_overlap(a: DataFrame, b: DataFrame, on: list[str], a_span: tuple[str, str], b_span: tuple[str, str]) -> DataFrame:
-    """Pairs with equal keys whose half-open spans overlap; hashed on the keys, the ranges are a residual condition."""
-    x, y = a.alias("a"), b.alias("b")
-    keys = reduce(lambda p, q: p & q, [F.col(f"a.{k}") == F.col(f"b.{k}") for k in on])
-    return x.join(y, keys & (F.col(f"a.{a_span[0]}") < F.col(f"b.{b_span[1]}")) & (F.col(f"b.{b_span[0]}") < F.col(f"a.{a_span[1]}")))
+#: A side that is counted to have at most so many narrow rows is broadcast.
+FEW_ROWS = 200_000
+
+
+def if_few(df: DataFrame, rows: int = FEW_ROWS) -> DataFrame:
+    """df, cheap to compute twice, with a broadcast hint if it is counted to be short; beyond that the join is shuffled."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def interval_overlap(a: DataFrame, b: DataFrame, on: list[str], a_span: tuple[str, str], b_span: tuple[str, str], width: int | None = None) -> DataFrame:
+    """Pairs with equal keys whose half-open spans (of whole numbers, not empty) overlap.
+
+    Spans are cut into bins of `width` (twice the mean span, where it is not given) and joined by key and bin, so that a key
+    with very many spans is dealt to many tasks; a pair counts in the bin in which its later span starts.
+    """
+    if width is None:
+        mean = a.agg(F.avg(F.col(a_span[1]) - F.col(a_span[0]))).first()[0]
+        width = max(1, int(2 * (mean or 1)))
+    cell = lambda c: F.floor(c / F.lit(width)).cast("bigint")
+    cut = lambda df, span: df.withColumn("_bin", F.explode(F.sequence(cell(F.col(span[0])), cell(F.col(span[1]) - 1))))
+    x, y = cut(a, a_span).alias("a"), cut(b, b_span).alias("b")
+    keys = reduce(lambda p, q: p & q, [F.col(f"a.{k}") == F.col(f"b.{k}") for k in [*on, "_bin"]])
+    later = F.greatest(F.col(f"a.{a_span[0]}"), F.col(f"b.{b_span[0]}"))
+    return x.join(y, keys & (F.col(f"a.{a_span[0]}") < F.col(f"b.{b_span[1]}")) & (F.col(f"b.{b_span[0]}") < F.col(f"a.{a_span[1]}")) & (cell(later) == F.col("a._bin")))
 
 
 def tree_diff(old: DataFrame, new: DataFrame, key: str, version: str) -> DataFrame:
@@ -87,14 +106,31 @@ def tree_diff(old: DataFrame, new: DataFrame, key: str, version: str) -> DataFra
 
 
 def jaccard_join(a: DataFrame, b: DataFrame, a_key: str, b_key: str, a_tokens: str, b_tokens: str, least: float) -> DataFrame:
-    """Pairs whose token sets have a Jaccard index of `least`: an equi join on tokens, counted, with no cross product.
+    """Pairs whose token sets have a Jaccard index of `least`, by a join on prefixes.
 
-    Tokens must be distinct in each row. The rarer side's tokens meet the other's only where they are equal.
+    Tokens must be distinct in each row, and keys distinct in each side. A pair that counts shares least * n tokens of
+    either set, so one at least among the n - least * n + 1 that are rarest in b: only those are joined. Tokens that b
+    lacks are the rarest of all and fill a's prefixes, so that frequent words rarely meet. Sizes that cannot reach the
+    index are left out before, and the pairs that meet are verified on their whole sets.
     """
-    x = a.select(a_key, F.size(a_tokens).alias("n_a"), F.explode(a_tokens).alias("token"))
-    y = b.select(b_key, F.size(b_tokens).alias("n_b"), F.explode(b_tokens).alias("token"))
-    both = x.join(y, "token").groupBy(a_key, b_key, "n_a", "n_b").agg(F.count("*").alias("common"))
-    return both.withColumn("similarity", F.col("common") / (F.col("n_a") + F.col("n_b") - F.col("common"))).where(F.col("similarity") >= least).select(a_key, b_key, "common", "similarity")
+    rarity = b.select(F.explode(b_tokens).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+    sizes = b.where(F.size(b_tokens) > 0).agg(F.min(F.size(b_tokens)), F.max(F.size(b_tokens))).first()
+    if sizes[0] is None:
+        sizes = 0, 0
+    may = a.where((F.size(a_tokens) * least <= sizes[1]) & (F.size(a_tokens) >= sizes[0] * least))
+
+    def prefixes(df: DataFrame, key: str, tokens: str) -> DataFrame:
+        rows = df.select(key, F.size(tokens).alias("n"), F.explode(tokens).alias("token")).join(if_few(rarity), "token")
+        w = Window.partitionBy(key)
+        held = rows.withColumn("held", F.count("*").over(w)).withColumn("k", F.row_number().over(w.orderBy("df", "token")))
+        return held.where(F.col("k") <= F.col("held") - F.ceil(F.col("n") * least - 1e-9) + 1).select(key, F.col("n").alias(f"n_{key}"), "token")
+
+    x, y = prefixes(may, a_key, a_tokens), prefixes(b, b_key, b_tokens)
+    near = (F.col(f"n_{a_key}") * least <= F.col(f"n_{b_key}")) & (F.col(f"n_{b_key}") * least <= F.col(f"n_{a_key}"))
+    met = x.join(y, "token").where(near).select(a_key, b_key).distinct()
+    own, theirs = may.select(a_key, F.col(a_tokens).alias("_a")), b.select(b_key, F.col(b_tokens).alias("_b"))
+    both = met.join(theirs, b_key).join(own, a_key).withColumn("common", F.size(F.array_intersect("_a", "_b")).cast("bigint"))
+    return both.withColumn("similarity", F.col("common") / (F.size("_a") + F.size("_b") - F.col("common"))).where(F.col("similarity") >= least).select(a_key, b_key, "common", "similarity")
 
 
 def keyed_upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -136,5 +172,12 @@ def one_run(df: DataFrame, by: list[str], pos: str, hit: Column) -> DataFrame:
 
 
 def trailing_count(df: DataFrame, by: list[str], seconds: Column, width: int) -> DataFrame:
-    """Rows of the same group in the trailing window, this one included."""
-    return df.withColumn("trailing", F.count("*").over(Window.partitionBy(*by).orderBy(seconds).rangeBetween(-width, 0)))
+    """Rows of the same group in the trailing window, this one included.
+
+    Time is cut into cells of the window's width; a row also goes to the next cell, where it only counts, so that a window
+    needs the rows of one cell and a large group is dealt to many tasks.
+    """
+    cut = df.withColumn("_s", seconds.cast("bigint")).withColumn("_own", F.explode(F.array(F.lit(True), F.lit(False))))
+    cut = cut.withColumn("_cell", F.floor(F.col("_s") / F.lit(max(width, 1))) + F.when(F.col("_own"), 0).otherwise(1))
+    side = Window.partitionBy(*by, "_cell").orderBy("_s").rangeBetween(-width, 0)
+    return cut.withColumn("trailing", F.count("*").over(side)).where("_own").drop("_s", "_own", "_cell")
