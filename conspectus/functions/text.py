@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Words that carry no topic, for the keyword sets of documents and of descriptions.
-STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "the", "this", "to", "use", "used", "uses", "using", "with")
-
+from . import dictionaries as D
 
 def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -118,7 +116,7 @@ def callee_matches(callee: Column | str, name: Column | str) -> Column:
     return (c == n) | c.endswith(F.concat(F.lit("::"), n)) | c.endswith(F.concat(F.lit("."), n))
 
 
-def keywords(d: Column | str, stop: tuple[str, ...] = STOP_WORDS) -> Column:
+def keywords(d: Column | str, stop: tuple[str, ...] = D.TOPIC_STOP_WORDS) -> Column:
     """Distinct words of two characters or more that are no stop words, in order."""
     words = F.filter(F.split(F.lower(_c(d)), r"[^\p{L}\p{N}_-]+"), lambda w: F.length(w) >= 2)
     return F.array_except(words, F.array(*map(F.lit, stop)))

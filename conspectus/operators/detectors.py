@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import dictionaries as D
 from ..functions import text as T
 
 #: Languages as descriptions name them, and the cases they expect.
@@ -19,30 +20,57 @@ FUNCTION_CASE = {"rust": "snake_case", "python": "snake_case", "typescript": "ca
 FILE_CASE = {"rust": "snake_case", "python": "snake_case", "typescript": "kebab-case", "javascript": "kebab-case"}
 SPECIAL_STEMS = ("mod", "lib", "main", "index", "__init__", "__main__", "conftest", "setup", "build")
 
-#: Domains of well-known packages.
-DOMAINS = {
-    "HTTP": ("reqwest", "hyper", "axios", "node_fetch", "requests", "httpx", "aiohttp", "urllib3"),
-    "web framework": ("axum", "actix_web", "rocket", "express", "fastify", "koa", "next", "flask", "django", "fastapi"),
-    "logging": ("tracing", "log", "slog", "env_logger", "winston", "pino", "bunyan", "loguru", "structlog", "logging"),
-    "testing": ("jest", "vitest", "mocha", "chai", "pytest", "unittest", "proptest", "rstest"),
-    "validation": ("validator", "zod", "joi", "yup", "pydantic", "marshmallow"),
-    "serialization": ("serde", "serde_json", "toml", "orjson", "msgpack"),
-    "database": ("sqlx", "diesel", "rusqlite", "sqlalchemy", "psycopg2", "mongoose", "prisma", "knex", "pg"),
-    "CLI": ("clap", "structopt", "commander", "yargs", "click", "typer", "argparse"),
-    "async runtime": ("tokio", "async_std", "asyncio", "trio"),
-    "crypto": ("ring", "sha2", "bcrypt", "cryptography", "hashlib"),
-    "utilities": ("lodash", "itertools", "rayon", "chrono", "moment", "numpy", "pandas"),
-}
-LOGGING = DOMAINS["logging"]
+#: Logging libraries by package, and those that log structures.
+LOGGERS = {
+    "tracing": "tracing tracing_subscriber tracing_log tracing_appender tracing_futures tracing_opentelemetry", "log": "log env_logger pretty_env_logger flexi_logger simple_logger fern",
+    "slog": "slog slog_async slog_term slog_json slog_scope", "winston": "winston winston_daily_rotate_file winston_transport", "pino": "pino pino_pretty pino_http", "bunyan": "bunyan",
+    "log4js": "log4js", "logging (stdlib)": "logging", "loguru": "loguru", "structlog": "structlog",
+}
 STRUCTURED = ("tracing", "slog", "pino", "bunyan", "structlog")
-#: Directories by kind.
-TYPE_DIRS = ("models", "controllers", "services", "views", "routes", "handlers", "middleware", "repositories", "utils", "helpers", "components", "hooks")
-LAYER_DIRS = ("domain", "infrastructure", "application", "presentation", "adapters", "ports", "core")
-TEST_DIRS = ("tests", "test", "__tests__", "spec", "specs")
-CONFIG_DIRS = ("config", "configs", "configuration", "settings")
-#: Modules of the standard libraries that import order asks for.
-PYTHON_STD = ("abc", "argparse", "ast", "asyncio", "base64", "collections", "contextlib", "copy", "csv", "dataclasses", "datetime", "enum", "functools", "glob", "hashlib", "heapq", "importlib", "inspect", "io", "itertools", "json", "logging", "math", "os", "pathlib", "pickle", "random", "re", "shutil", "signal", "socket", "sqlite3", "string", "struct", "subprocess", "sys", "tempfile", "threading", "time", "traceback", "types", "typing", "unittest", "urllib", "uuid", "warnings", "zipfile")
-NODE_STD = ("assert", "buffer", "child_process", "cluster", "crypto", "dns", "events", "fs", "http", "http2", "https", "net", "os", "path", "process", "querystring", "readline", "stream", "timers", "tls", "url", "util", "v8", "vm", "worker_threads", "zlib")
+#: What names of unknown logging packages hold, and names of log levels.
+LOGGING_HINTS = ("log", "logger", "logging", "trace", "tracing", "observ")
+LEVELS = ("info", "debug", "warn", "error", "fatal", "trace")
+#: Exceptions of Python itself that a class may share its name with.
+BUILTIN_EXCEPTIONS = tuple("Exception BaseException ValueError TypeError KeyError IndexError AttributeError IOError OSError RuntimeError NotImplementedError StopIteration ImportError FileNotFoundError PermissionError ConnectionError TimeoutError ArithmeticError LookupError EnvironmentError SystemError UnicodeError AssertionError".split())
+#: Words of unknown testing packages.
+TESTING_HINTS = ("test", "mock", "assert", "spec")
+
+
+def domain_rows() -> list[tuple[str, str, str]]:
+    """(language, package, domain) of well-known packages, lower-cased, with underscores."""
+    tables = {"rust": D.RUST_DOMAINS, "typescript": D.SCRIPT_DOMAINS, "javascript": D.SCRIPT_DOMAINS, "python": D.PYTHON_DOMAINS}
+    return [(lang, package, domain) for lang, table in tables.items() for domain, names in table.items() for package in names.split()]
+
+
+def _strings(words: tuple[str, ...] | list[str]) -> Column:
+    return F.array(*map(F.lit, words))
+
+
+def known_domain(package: Column, language: Column) -> Column:
+    """The domain of a well-known package, or null. The dictionaries are constants, looked up in the row."""
+    name = F.translate(F.lower(package), "-", "_")
+    out = F.lit(None).cast("string")
+    for languages, table in ((("rust",), D.RUST_DOMAINS), (("typescript", "javascript"), D.SCRIPT_DOMAINS), (("python",), D.PYTHON_DOMAINS)):
+        of = F.lit(None).cast("string")
+        for domain, names in table.items():
+            of = F.coalesce(of, F.when(name.isin(*names.split()), F.lit(domain)))
+        out = F.coalesce(out, F.when(language.isin(*languages), of))
+    return out
+
+
+def likely_domain(package: Column, language: Column) -> Column:
+    """The domain that a word of an unknown package's name speaks for, or null; modules of Python itself have none."""
+    out = F.lit(None).cast("string")
+    for domain, words in D.TELLING_WORDS:
+        out = F.coalesce(out, F.when(T.keyword_at_boundary(package, words.split()), F.lit(domain)))
+    return F.when(known_domain(package, language).isNull() & ~((language == "python") & is_stdlib(package, language)), out)
+
+
+def is_stdlib(module: Column, language: Column) -> Column:
+    """Whether a module is one of its language's own."""
+    first = F.split(module, r"\.")[0]
+    py, rs = first.isin(*D.PYTHON_STDLIB), F.split(module, "::")[0].isin(*D.RUST_BUILTINS)
+    return F.when(language == "python", py).when(language == "rust", rs).otherwise(module.startswith("node:") | module.isin(*D.NODE_BUILTINS))
 
 
 def _lang(table: dict[str, str], default: str | None = None) -> Column:
@@ -87,20 +115,24 @@ def _matcher(expected: str):
 
 
 def file_structure(files: DataFrame) -> DataFrame:
-    """By-type or by-layer directories (the earlier one; on a tie the layer), common directories, configuration."""
+    """By-type or by-layer directories (the earlier one; on a tie the layer), else by-feature; common directories; configuration."""
     parts = F.slice(F.split("path", "/"), 1, F.greatest(F.size(F.split("path", "/")) - 1, F.lit(0)))
-    first = lambda names: F.array_min(F.filter(F.transform(parts, lambda x, i: F.when(F.lower(x).isin(*names), i)), lambda i: i.isNotNull()))
-    kind, layer = first(TYPE_DIRS), first(LAYER_DIRS)
+    low = F.transform(parts, F.lower)
+    first = lambda names: F.array_min(F.filter(F.transform(low, lambda x, i: F.when(x.isin(*names), i)), lambda i: i.isNotNull()))
+    kind, layer, root = first(D.TYPE_DIRS), first(D.LAYER_DIRS), first(D.SOURCE_ROOTS)
     by_layer = layer.isNotNull() & (kind.isNull() | (layer <= kind))
-    common = F.element_at(F.filter(parts, lambda x: F.lower(x).isin(*TYPE_DIRS, *LAYER_DIRS, *CONFIG_DIRS)), -1)
-    config = F.regexp_extract("path", r"([^/]+)$", 1).rlike(r"^(config|settings|configuration)\b|\.config\.")
-    in_dir = F.exists(parts, lambda x: F.lower(x).isin(*CONFIG_DIRS))
-    has = lambda x: F.size(F.filter(parts, x)) > 0
+    below = F.slice(low, root + 2, F.greatest(F.size(low) - root - 1, F.lit(0)))
+    other = F.exists(below, lambda x: ~x.isin(*D.TYPE_DIRS, *D.LAYER_DIRS, *D.COMMON_DIRS, *D.CONFIG_DIRS, *D.SOURCE_ROOTS) & ~x.rlike("^[._]") & (F.length(x) > 1))
+    common = F.get(F.filter(F.reverse(parts), lambda x: F.lower(x).isin(*D.COMMON_DIRS) & ~F.lower(x).isin(*D.TEST_DIRS)), F.lit(0))
+    name = F.lower(F.regexp_extract("path", r"([^/]+)$", 1))
+    config = reduce(lambda a, b: a | b, [name.startswith(x) for x in D.CONFIG_FILES])
+    in_dir = F.exists(low, lambda x: x.isin(*D.CONFIG_DIRS))
     d = "file_structure"
     return _emit(files, [
         _finding(d, by_layer, "By-layer directory organization (domain/, infrastructure/, application/)"),
         _finding(d, kind.isNotNull() & ~by_layer, "By-type directory organization (models/, controllers/, services/)"),
-        _finding(d, has(lambda x: F.lower(x).isin(*TYPE_DIRS, *LAYER_DIRS, *CONFIG_DIRS)), F.concat(F.lit("Uses '"), F.get(F.filter(F.array(common), lambda x: x.isNotNull()), F.lit(0)), F.lit("/' directory convention")), "observation"),
+        _finding(d, kind.isNull() & layer.isNull() & root.isNotNull() & other, "By-feature directory organization (domain-specific directories)"),
+        _finding(d, common.isNotNull(), F.concat(F.lit("Uses '"), common, F.lit("/' directory convention")), "observation"),
         _finding(d, config & in_dir, "Configuration files placed in config directory"),
         _finding(d, config & ~in_dir & (F.size(parts) <= 1), "Configuration files placed at project root"),
     ])
@@ -110,8 +142,9 @@ def _group(module: Column) -> Column:
     """0 standard library, 1 external, 2 internal."""
     lang = F.col("language")
     top = T.top_level_module(module)
-    py = F.when(module.startswith("."), 2).when(T.first_segment(module).isin(*PYTHON_STD), 0).otherwise(1)
-    js = F.when(module.startswith(".") | module.startswith("/") | module.startswith("@/") | module.startswith("~"), 2).when(module.startswith("node:") | top.isin(*NODE_STD), 0).otherwise(1)
+    root = F.split(module, r"\.")[0]
+    py = F.when(module.startswith("."), 2).when(root.isin(*D.PYTHON_STDLIB), 0).when(root.isin(*D.PYTHON_OWN), 2).otherwise(1)
+    js = F.when(module.startswith(".") | module.startswith("/") | module.startswith("@/") | module.startswith("~"), 2).when(module.startswith("node:") | module.isin(*D.NODE_BUILTINS), 0).otherwise(1)
     rs = F.when(top.isin("crate", "self", "super"), 2).when(top.isin("std", "core", "alloc"), 0).otherwise(1)
     return F.when(lang == "python", py).when(lang == "rust", rs).otherwise(js)
 
@@ -192,6 +225,8 @@ def error_handling(files: DataFrame) -> DataFrame:
     impls = F.exists("rust.trait_implementations", lambda t: t["trait_name"].rlike("(^|::)Error$"))
     first = F.when(F.array_contains(known, "thiserror"), "thiserror").when(F.array_contains(known, "anyhow"), "anyhow").otherwise(F.get(known, F.lit(0)))
     classes = F.exists("types", lambda t: (t["kind"] == "class") & t["name"].rlike("(Error|Exception)$"))
+    builtin = F.exists("types", lambda t: (t["kind"] == "class") & t["name"].isin(*BUILTIN_EXCEPTIONS))
+    own = F.exists("types", lambda t: (t["kind"] == "class") & t["name"].rlike("(Error|Exception)$") & ~t["name"].isin(*BUILTIN_EXCEPTIONS))
     named = F.exists("functions", lambda f: F.lower(f["name"]).contains("error"))
     wraps = F.filter("imports", lambda i: i["module"].rlike("^(anyhow|eyre|color_eyre)") & F.arrays_overlap(i["names"], F.array(F.lit("Context"), F.lit("WrapErr"))))
     return _emit(files, [
@@ -206,23 +241,40 @@ def error_handling(files: DataFrame) -> DataFrame:
         _finding(d, (lang == "typescript") & F.exists("functions", lambda f: f["name"].rlike("(?i)^is.*error")), "Error type guard functions detected", "observation"),
         _finding(d, (lang == "javascript") & F.exists("imports", lambda i: i["module"].isin("bluebird")), "Promise library for error handling", "observation"),
         _finding(d, (lang == "javascript") & named, "Error handler functions detected", "observation"),
-        _finding(d, (lang == "python") & classes, "Custom exception hierarchy (Python)"),
+        _finding(d, (lang == "python") & own, "Custom exception hierarchy (Python)"),
+        _finding(d, (lang == "python") & ~own & builtin, "Uses built-in exception types only", "observation"),
         _finding(d, (lang == "python") & F.exists("imports", lambda i: i["module"] == "contextlib"), "contextlib used for error context management", "observation"),
         _finding(d, (lang == "python") & named, "Error handling utility functions", "observation"),
     ])
 
 
+def logger_of(package: Column) -> Column:
+    """The logging library that a package belongs to, or null."""
+    name = F.translate(F.lower(package), "-", "_")
+    out = F.lit(None).cast("string")
+    for library, packages in LOGGERS.items():
+        out = F.coalesce(out, F.when(name.isin(*packages.split()), F.lit(library)))
+    return out
+
+
 def logging_observability(files: DataFrame) -> DataFrame:
     """D6"""
-    d = "logging_observability"
-    used = F.array_union(_packages(), F.transform("imports", lambda i: T.top_level_module(i["module"])))
-    known = F.array_sort(F.array_intersect(used, F.array(*map(F.lit, LOGGING))))
-    structured = F.arrays_overlap(known, F.array(*map(F.lit, STRUCTURED)))
-    other = F.filter(_packages(), lambda p: p.rlike(r"(^|_)log(ger|ging)?(_|$)") & ~p.isin(*LOGGING))
+    d, lang = "logging_observability", F.col("language")
+    used = F.array_union(F.transform("dependencies_used", lambda x: x["package"]), F.transform("imports", lambda i: T.top_level_module(i["module"])))
+    known = F.array_sort(F.array_distinct(F.filter(F.transform(used, logger_of), lambda x: x.isNotNull())))
+    structured = F.arrays_overlap(known, _strings(STRUCTURED))
+    hinted = lambda m: logger_of(m).isNull() & logger_of(T.top_level_module(m)).isNull() & ~((lang == "python") & is_stdlib(m, lang)) & F.lower(m).rlike("|".join(LOGGING_HINTS))
+    packages = F.filter(F.transform("dependencies_used", lambda x: x["package"]), hinted)
+    modules = F.filter(F.transform("imports", lambda i: i["module"]), lambda m: hinted(m) & ~F.array_contains(packages, m))
+    shaped = F.filter("imports", lambda i: logger_of(i["module"]).isNull() & (F.size(F.filter(i["names"], lambda n: F.lower(n).isin(*LEVELS))) >= 2))
+    none = F.size(known) == 0
+    possible = lambda column, text: _finding(d, none & (F.size(column) > 0), F.concat(F.lit(text), F.get(column, F.lit(0))), "observation", kind="heuristic")
     return _emit(files, [
         _finding(d, F.size(known) > 1, F.concat(F.lit("Conflicting logging libraries in same file: "), F.array_join(known, ", ")), "observation", False),
         _finding(d, F.size(known) > 0, F.when(structured, "Logging style: structured logging").otherwise("Logging style: unstructured logging")),
-        _finding(d, (F.size(known) == 0) & (F.size(other) > 0), F.concat(F.lit("Possible logging library (name heuristic): "), F.get(other, F.lit(0))), "observation", kind="heuristic"),
+        possible(packages, "Possible logging library (name heuristic): "),
+        possible(modules, "Possible logging library (name heuristic): "),
+        possible(F.transform(shaped, lambda i: i["module"]), "Possible structured logging (API shape): "),
     ])
 
 
@@ -258,25 +310,59 @@ def test_patterns(files: DataFrame) -> DataFrame:
         _finding(d, is_test & F.exists("functions", lambda f: f["name"].isin("setUp", "tearDown")), "Test setup pattern: setUp/tearDown methods"),
         _finding(d, F.exists(decorators, lambda x: x.startswith("pytest.mark.parametrize")), "Pytest parametrize pattern"),
         _finding(d, F.size(marks) > 0, F.concat(F.lit("Pytest markers in use: "), F.array_join(marks, ", ")), "observation"),
-    ])
+    ]).unionByName(_testing_names(files))
+
+
+#: Test frameworks that D8 names, which are no guesses.
+FRAMEWORKS = ("jest", "@jest", "vitest", "mocha", "pytest", "unittest")
+
+
+def _testing_names(files: DataFrame) -> DataFrame:
+    """Dependencies, and modules of other roots, whose names speak of testing."""
+    lang = F.col("language")
+    hinted = lambda m: T.keyword_at_boundary(m, list(TESTING_HINTS)) & ~T.top_level_module(m).isin(*FRAMEWORKS) & ~((lang == "python") & is_stdlib(m, lang))
+    packages = F.array_distinct(F.filter(F.transform("dependencies_used", lambda x: x["package"]), hinted))
+    root = lambda m: F.split(F.split(F.split(m, "/")[0], "::")[0], r"\.")[0]
+    modules = F.filter(F.transform("imports", lambda i: i["module"]), lambda m: hinted(m) & ~F.array_contains(packages, root(m)))
+    firsts = F.filter(modules, lambda m, k: F.array_position(F.transform(modules, root), root(m)) == k + 1)
+    rows = F.concat(F.transform(packages, lambda p: F.concat(F.lit("Testing-related dependency (heuristic): "), p)), F.transform(firsts, lambda m: F.concat(F.lit("Testing-related import (heuristic): "), m)))
+    each = files.select("path", F.explode(rows).alias("description"))
+    return each.select("path", F.lit("test_patterns").alias("detector"), F.lit("observation").alias("nature"), F.lit("heuristic").alias("kind"), "description", F.lit(True).alias("follows"), F.lit(0).alias("line"), F.lit("file_level").alias("anchor"))
 
 
 def dependency_usage(files: DataFrame) -> DataFrame:
     """The most used known package of each domain in a file (ties: the smallest name); unknown packages with a telling name."""
-    spark = files.sparkSession
-    known = spark.createDataFrame([(p, d) for d, names in DOMAINS.items() for p in names], "package string, domain string")
-    used = files.select("path", F.explode("dependencies_used").alias("x")).select("path", F.translate(F.lower("x.package"), "-", "_").alias("package"), F.col("x.line").alias("line"))
-    n = used.join(F.broadcast(known), "package").groupBy("path", "domain", "package").agg(F.count("*").alias("n"), F.min("line").alias("line"))
+    used = files.select("path", "language", F.explode("dependencies_used").alias("x")).select("path", "language", F.col("x.package").alias("name"), F.translate(F.lower("x.package"), "-", "_").alias("package"), F.col("x.line").alias("line"))
+    judged = used.withColumn("domain", known_domain(F.col("package"), F.col("language"))).withColumn("guess", likely_domain(F.col("name"), F.col("language")))
+    row = lambda nature, kind, text: [F.lit("dependency_usage").alias("detector"), F.lit(nature).alias("nature"), F.lit(kind).alias("kind"), text.alias("description"), F.lit(True).alias("follows"), F.col("line").cast("int"), F.lit("import_line").alias("anchor")]
+    n = judged.where("domain IS NOT NULL").groupBy("path", "domain", "package").agg(F.count("*").alias("n"), F.min("line").alias("line"))
     best = n.withColumn("k", F.row_number().over(Window.partitionBy("path", "domain").orderBy(F.desc("n"), "package"))).where("k = 1")
-    return best.select("path", F.lit("dependency_usage").alias("detector"), F.lit("convention").alias("nature"), F.lit("pattern").alias("kind"), F.concat(F.lit("Canonical "), "domain", F.lit(" library: "), "package").alias("description"), F.lit(True).alias("follows"), F.col("line").cast("int"), F.lit("import_line").alias("anchor"))
+    guessed = judged.where("guess IS NOT NULL").groupBy("path", "guess", "name").agg(F.min("line").alias("line"))
+    canonical = best.select("path", *row("convention", "pattern", F.concat(F.lit("Canonical "), "domain", F.lit(" library: "), "package")))
+    return canonical.unionByName(guessed.select("path", *row("observation", "heuristic", F.concat(F.lit("Likely "), "guess", F.lit(" library (heuristic): "), "name"))))
 
 
 ALL = (dependency_usage, error_handling, export_patterns, file_structure, import_organization, logging_observability, naming, test_patterns)
 
 
-def detect(files: DataFrame) -> DataFrame:
-    """Findings of all detectors."""
-    return reduce(DataFrame.unionByName, [f(files) for f in ALL])
+def internal_packages(files: DataFrame) -> DataFrame:
+    """(package) names that are the project's own: workspace crates, module declarations, Python packages below src or at the top; with underscores."""
+    path, lang = F.col("path"), F.col("language")
+    parts = F.split(path, "/")
+    own = ~F.arrays_overlap(parts, _strings(D.VENDORED_DIRS))
+    after = lambda mark: F.get(parts, F.array_position(parts, mark).cast("int"))
+    crates = files.where(own & F.array_contains(parts, "crates")).select(after("crates").alias("package"))
+    mods = files.where(own & (lang == "rust")).select(F.explode("rust.mod_declarations").alias("m")).select(F.col("m.name").alias("package"))
+    below = files.where(own & (lang == "python") & F.array_contains(parts, "src") & (F.size(parts) - F.array_position(parts, "src") > 1)).select(after("src").alias("package"))
+    flat = files.where(own & (lang == "python") & path.rlike("^[^/]+/__init__[.]py$")).select(parts[0].alias("package"))
+    every = crates.unionAll(mods).unionAll(below).unionAll(flat)
+    return every.select(F.translate("package", "-", "_").alias("package")).where("package IS NOT NULL AND package != ''").distinct()
+
+
+def detect(files: DataFrame, edges: DataFrame | None = None, internal: DataFrame | None = None) -> DataFrame:
+    """Findings of all detectors; with the import edges (importer, target) those across files too; guesses about the project's own packages go."""
+    parts = [f(files) for f in ALL] + ([] if edges is None else [wrapper_facades(files, edges)])
+    return drop_internal(reduce(DataFrame.unionByName, parts), internal_packages(files) if internal is None else internal)
 
 
 def wrapper_facades(files: DataFrame, edges: DataFrame) -> DataFrame:
@@ -294,8 +380,33 @@ def wrapper_facades(files: DataFrame, edges: DataFrame) -> DataFrame:
     return rows.select(F.col("importer").alias("path"), F.lit("dependency_usage").alias("detector"), F.lit("convention").alias("nature"), F.lit("wrapper").alias("kind"), F.concat(F.lit("Use "), "wrapper", F.lit(" for "), "package", F.lit(" operations")).alias("description"), (F.col("importer") == F.col("wrapper")).alias("follows"), F.col("line").cast("int").alias("line"), F.lit("import_line").alias("anchor"))
 
 
+def heuristic_subject(description: Column) -> Column:
+    """The package that a guess is about; null for any other finding."""
+    return F.nullif(F.trim(F.regexp_extract(description, r"\((?:name )?heuristic\): (.*)$", 1)), F.lit(""))
+
+
 def drop_internal(findings: DataFrame, internal: DataFrame) -> DataFrame:
-    """heuristic findings about the project's own packages (package) go."""
-    subject = F.regexp_extract("description", r": ([^:/.\s]+)[^:]*$", 1)
-    hit = findings.where("kind = 'heuristic'").withColumn("package", subject).join(internal.select("package").distinct(), "package", "left_semi").drop("package")
-    return findings.join(hit.select("path", "description").distinct(), ["path", "description"], "left_anti").select(findings.columns)
+    """guesses about the project's own packages (package) go."""
+    subject = F.translate(T.top_level_module(heuristic_subject(F.col("description"))), "-", "_")
+    return findings.withColumn("_subject", subject).join(internal.select(F.col("package").alias("_subject")).distinct(), "_subject", "left_anti").select(findings.columns)
+
+
+def matches_import(callee: Column, imports: Column) -> Column:
+    """whether a call is of an imported module or name: the first part before "::", the receiver before ".", or the callee itself."""
+    first, receiver = F.substring_index(callee, "::", 1), F.substring_index(callee, ".", 1)
+    named = lambda what: F.exists(imports, lambda i: F.array_contains(i["names"], what))
+    scoped = callee.contains("::") & (F.exists(imports, lambda i: T.top_level_module(i["module"]) == first) | named(first))
+    return scoped | (callee.contains(".") & named(receiver)) | named(callee)
+
+
+def call_evidence(files: DataFrame, modules: list[str] | None = None, most: int = 5) -> DataFrame:
+    """(path, callee, line, end_line, snippet): of each file the first calls that imports (of the modules) account for.
+
+    The first call of a callee counts; of those that start on one line the widest, then that of the longest snippet.
+    """
+    imports = F.col("imports") if modules is None else F.filter("imports", lambda i: T.top_level_module(i["module"]).isin(*modules) | i["module"].isin(*modules))
+    calls = files.select("path", imports.alias("imports"), F.posexplode("function_calls").alias("pos", "c")).where(matches_import(F.col("c.callee"), F.col("imports")))
+    first = calls.select("path", "pos", "c.*").withColumn("k", F.row_number().over(Window.partitionBy("path", "callee").orderBy("line", "pos"))).where("k = 1")
+    wide = Window.partitionBy("path", "line").orderBy((F.col("end_line") - F.col("line")).desc(), F.length("snippet").desc(), "pos")
+    one = first.withColumn("k", F.row_number().over(wide)).where("k = 1")
+    return one.withColumn("k", F.row_number().over(Window.partitionBy("path").orderBy("line", "pos"))).where(F.col("k") <= most).select("path", "callee", "line", "end_line", "snippet")

@@ -181,3 +181,73 @@ def trailing_count(df: DataFrame, by: list[str], seconds: Column, width: int) ->
     cut = cut.withColumn("_cell", F.floor(F.col("_s") / F.lit(max(width, 1))) + F.when(F.col("_own"), 0).otherwise(1))
     side = Window.partitionBy(*by, "_cell").orderBy("_s").rangeBetween(-width, 0)
     return cut.withColumn("trailing", F.count("*").over(side)).where("_own").drop("_s", "_own", "_cell")
+
+
+def ordered_top(df: DataFrame, order: list[Column], most: int) -> DataFrame:
+    """The first `most` rows in a total order, with their place from 1."""
+    return df.orderBy(*order).limit(most).withColumn("place", F.row_number().over(Window.orderBy(*order)))
+
+
+def capped_groups(df: DataFrame, by: list[str], order: list[Column], most: int) -> DataFrame:
+    """Of each group the first `most` rows, and whether there are more (one row more is ranked to tell)."""
+    some = ranked(df, by, order, most + 1)
+    return some.withColumn("truncated", F.max("rank").over(Window.partitionBy(*by)) > most).where(F.col("rank") <= most)
+
+
+def trim_examples(df: DataFrame, examples: str, most: int = 1) -> DataFrame:
+    """T5: a list cut to its first entries, and whether that left some out."""
+    return df.withColumn("trimmed", F.size(examples) > most).withColumn(examples, F.slice(examples, 1, most))
+
+
+def first_wins(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
+    """All rows of the first, and those of the second whose keys the first lacks; rows with an empty key all stay."""
+    held = first.select(key).where(F.col(key).cast("string") != "").distinct()
+    return first.unionByName(second.join(held, key, "left_anti").select(second.columns))
+
+
+def ordered_distinct(df: DataFrame, key: str, at: str) -> DataFrame:
+    """Each key once, with the first place where it stands."""
+    return df.groupBy(key).agg(F.min(at).alias(at))
+
+
+def lookup(df: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """SK5: the rows whose keys are wanted; few keys are broadcast, many are joined."""
+    return df.join(if_few(wanted.select(key).distinct()), key, "left_semi")
+
+
+def remap(df: DataFrame, ids: DataFrame, column: str, how: str = "inner") -> DataFrame:
+    """SK11: a column of ids (old) by their new ones."""
+    new = ids.select(F.col("old").alias(column), F.col("new").alias("_new"))
+    return df.join(new, column, how).withColumn(column, F.col("_new")).select(df.columns)
+
+
+def names_in_order(df: DataFrame, by: list[str], name: str, at: str) -> DataFrame:
+    """Of each group its distinct names in the order of arrival."""
+    first = df.groupBy(*by, name).agg(F.min(at).alias("_at"))
+    rows = first.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("_at", name))).alias("_rows"))
+    return rows.select(*by, F.transform("_rows", lambda r: r[name]).alias("names"))
+
+
+def count_tables(tables: dict[str, DataFrame], by: str) -> DataFrame:
+    """Rows of each table by a column."""
+    return reduce(DataFrame.unionByName, [df.groupBy(by).agg(F.count("*").alias("n")).select(by, F.lit(kind).alias("kind"), "n") for kind, df in tables.items()])
+
+
+def separated(df: DataFrame, by: list[str], pos: str, rank: str, line: str) -> DataFrame:
+    """For each group whether its ranks change, and each time with a line between."""
+    w = Window.partitionBy(*by).orderBy(pos)
+    step = df.select(*by, (F.col(rank) != F.lag(rank).over(w)).alias("turn"), (F.col(line) - F.lag(line).over(w)).alias("gap"))
+    return step.groupBy(*by).agg(((F.count_if("turn") > 0) & (F.count_if(F.col("turn") & (F.col("gap") <= 1)) == 0)).alias("separated"))
+
+
+def first_match(df: DataFrame, others: DataFrame, on: list[str], order: str) -> DataFrame:
+    """Each row with the first of the others of its key, or nulls."""
+    rest = [c for c in others.columns if c not in on]
+    first = others.groupBy(*on).agg(F.min_by(F.struct(*rest), order).alias("_first"))
+    return df.join(first, on, "left").select(*df.columns, *[F.col(f"_first.{c}").alias(c) for c in rest])
+
+
+def focused(df: DataFrame, hit: Column) -> DataFrame:
+    """The rows that hit, or all of them where none does, and which it was; the count is one row."""
+    hits = df.agg(F.coalesce(F.bool_or(hit), F.lit(False)).alias("focus_matched"))
+    return df.withColumn("_hit", F.coalesce(hit, F.lit(False))).join(F.broadcast(hits)).where("_hit OR NOT focus_matched").drop("_hit")

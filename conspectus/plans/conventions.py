@@ -8,11 +8,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import code as C
 from ..functions import text as T
+from ..functions.dictionaries import NODE_BUILTINS, PYTHON_STDLIB
 from ..operators import graph as G
 from ..operators import relational as R
 from ..operators import search as S
-from ..operators.detectors import NODE_STD, PYTHON_STD
 from ..sources.code import symbol_definitions, symbol_imports
 
 
@@ -69,9 +70,9 @@ def resolve_imports(files: DataFrame) -> DataFrame:
     lang = F.col("language")
     candidates = (
         F.when((lang == "python") & (dots > 0), with_tail(python_base, (".py", "/__init__.py")))
-        .when((lang == "python") & ~T.first_segment(module).isin(*PYTHON_STD), with_tail(python_abs, (".py", "/__init__.py")))
+        .when((lang == "python") & ~T.first_segment(module).isin(*PYTHON_STDLIB), with_tail(python_abs, (".py", "/__init__.py")))
         .when(lang.isin("typescript", "javascript") & module.rlike(r"^\."), with_tail(script_base, scripts))
-        .when((lang == "rust") & ~T.top_level_module(module).isin("std", "core", "alloc", *NODE_STD), F.concat(with_tail(rust_base, (".rs", "/mod.rs")), with_tail(F.regexp_replace(rust_base, "/[^/]*$", ""), (".rs", "/mod.rs"))))
+        .when((lang == "rust") & ~T.top_level_module(module).isin("std", "core", "alloc", *NODE_BUILTINS), F.concat(with_tail(rust_base, (".rs", "/mod.rs")), with_tail(F.regexp_replace(rust_base, "/[^/]*$", ""), (".rs", "/mod.rs"))))
     )
     rows = i.withColumn("id", F.struct("importer", "i.line", "i.module")).select("id", "importer", "i", F.posexplode(candidates).alias("pos", "candidate"))
     hits = rows.join(index.select(F.col("suffix").alias("candidate"), F.col("path").alias("target")), "candidate").groupBy("id").agg(F.min_by("target", "pos").alias("target"), F.first("importer").alias("importer"), F.first("i").alias("i"))
@@ -162,3 +163,12 @@ def cross_reference(conventions: DataFrame, docs: DataFrame, least: float = 0.15
     a = docs.select(F.col("id").alias("doc"), T.keywords("description").alias("w"))
     b = conventions.select("description_hash", T.keywords("description").alias("w"))
     return R.jaccard_join(a, b, "doc", "description_hash", "w", "w", least)
+
+
+def cross_reference_edges(conventions: DataFrame, docs: DataFrame, least: float = 0.15) -> DataFrame:
+    """(doc, description_hash, edge_type): documentation that reinforces a convention on its topic, or contradicts it by choosing otherwise."""
+    pairs = cross_reference(conventions, docs, least)
+    own = conventions.select("description_hash", C.choices("description").alias("b"))
+    theirs = docs.select(F.col("id").alias("doc"), C.choices("description").alias("a"))
+    judged = pairs.join(theirs, "doc").join(own, "description_hash").withColumn("r", C.relationship(F.col("a"), F.col("b"))).where("r != 'unrelated'")
+    return judged.select("doc", "description_hash", F.when(F.col("r") == "reinforcement", "reinforces").otherwise("contradicts").alias("edge_type"))
