@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import code_kernels, domain, kernels
+from . import code_kernels, codebase, domain, kernels
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**kernels.QUERIES, **domain.queries()}
-assert code_kernels.query is kernels.query  # it adds to the same table
+assert code_kernels.query is codebase.query is kernels.query  # they add to the same table
 ORACLE: dict[str, str] = dict(kernels.ORACLE)
 
 

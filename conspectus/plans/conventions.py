@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import code as C
+from ..functions import dictionaries as D
 from ..functions import text as T
 from ..functions.dictionaries import NODE_BUILTINS, PYTHON_STDLIB
 from ..operators import graph as G
@@ -74,7 +75,7 @@ def resolve_imports(files: DataFrame) -> DataFrame:
         .when(lang.isin("typescript", "javascript") & module.rlike(r"^\."), with_tail(script_base, scripts))
         .when((lang == "rust") & ~T.top_level_module(module).isin("std", "core", "alloc", *NODE_BUILTINS), F.concat(with_tail(rust_base, (".rs", "/mod.rs")), with_tail(F.regexp_replace(rust_base, "/[^/]*$", ""), (".rs", "/mod.rs"))))
     )
-    rows = i.withColumn("id", F.struct("importer", "i.line", "i.module")).select("id", "importer", "i", F.posexplode(candidates).alias("pos", "candidate"))
+    rows = i.withColumn("id", F.struct("importer", "i.line", "i.module", "i.names")).select("id", "importer", "i", F.posexplode(candidates).alias("pos", "candidate"))
     hits = rows.join(index.select(F.col("suffix").alias("candidate"), F.col("path").alias("target")), "candidate").groupBy("id").agg(F.min_by("target", "pos").alias("target"), F.first("importer").alias("importer"), F.first("i").alias("i"))
     return hits.where("importer != target").select("importer", "target", F.explode(F.when(F.size("i.names") > 0, F.col("i.names")).otherwise(F.array(F.lit("*")))).alias("name"), F.col("i.line").alias("line"))
 
@@ -141,13 +142,46 @@ def project_context(files: DataFrame, findings: DataFrame, conventions: DataFram
     }
 
 
+def touched_symbols(definitions: DataFrame, hunks: DataFrame) -> DataFrame:
+    """The definitions whose lines a hunk (path, new_start, new_end, half-open) touches; paths are equal or end alike at a boundary."""
+    s = definitions.where("line > 0 AND end_line >= line")
+    near = R.suffix_join(s.select("path").distinct(), hunks.select(F.col("path").alias("changed")).distinct(), "path", "changed").groupBy("path").agg(F.min_by("changed", F.struct(-F.length("changed"), "changed")).alias("changed"))
+    changes = near.join(hunks.withColumnRenamed("path", "changed"), "changed").drop("changed")
+    meets = "(new_start = new_end AND line <= new_start AND end_line >= new_start - 1) OR (new_start < new_end AND line < new_end AND end_line >= new_start)"
+    return s.join(changes, "path").where(meets).select("path", "symbol_name", "kind", "line", "end_line").distinct()
+
+
+def direct_dependents(files: DataFrame) -> DataFrame:
+    """(path, dependents, blast_radius): how many other files import each file."""
+    n = resolve_imports(files).select("importer", F.col("target").alias("path")).distinct().groupBy("path").agg(F.count("*").alias("dependents"))
+    all_ = files.select("path").join(n, "path", "left").select("path", F.coalesce("dependents", F.lit(0)).cast("bigint").alias("dependents"))
+    return all_.withColumn("blast_radius", T.blast_tier("dependents"))
+
+
+def module_purposes(files: DataFrame, names: int = 8, docs: int = 10) -> DataFrame:
+    """(module, purpose): of each folder the documentation of its entry point, else that of its files, else its public names.
+
+    Documentation is cut to its first lines before it is shuffled, and of a folder's files only the first `docs` are carried.
+    """
+    module, file = F.regexp_replace("path", "/?[^/]*$", "").alias("module"), F.regexp_extract("path", "([^/]*)$", 1)
+    said = files.where(F.col("file_doc").isNotNull() & ~C.is_noise_doc("file_doc")).select(module, "path", file.isin(*D.ENTRY_POINTS).alias("entry"), F.nullif(C.clean_doc(F.trim("file_doc"), 5), F.lit("")).alias("long"), F.nullif(C.clean_doc(F.trim("file_doc"), 3), F.lit("")).alias("short")).where("long IS NOT NULL")
+    entry = said.where("entry").groupBy("module").agg(F.min_by("long", "path").alias("by_entry"))
+    some = R.ranked(said, ["module"], [F.asc("path")], docs, "k").groupBy("module").agg(F.sort_array(F.collect_list(F.struct("path", "short"))).alias("x"))
+    some = some.select("module", F.array_join(F.transform("x", lambda r: r["short"]), " | ").alias("by_files"))
+    public = F.filter(F.concat(F.transform("functions", lambda f: F.when(f["is_public"], f["name"])), F.transform("types", lambda f: F.when(f["is_public"], f["name"]))), lambda x: x.isNotNull())
+    each = files.select(module, F.explode(public).alias("name")).distinct()
+    listed = each.groupBy("module").agg(F.sort_array(F.collect_set("name")).alias("names"))
+    listed = listed.select("module", F.concat(F.array_join(F.slice("names", 1, names), ", "), F.when(F.size("names") > names, F.concat(F.lit(" +"), (F.size("names") - names).cast("string"), F.lit(" more"))).otherwise(F.lit(""))).alias("by_names"))
+    out = files.select(module).distinct().join(entry, "module", "left").join(some, "module", "left").join(listed, "module", "left")
+    return out.select("module", F.coalesce("by_entry", "by_files", "by_names").alias("purpose"))
+
+
 def diff_impact(files: DataFrame, hunks: DataFrame, depth: int = 3) -> DataFrame:
     """Q-DIFF: symbols that changed lines touch (hunks: path, new_start, new_end, half-open), with direct and transitive dependents.
 
     A pure deletion at line s touches the lines s - 1 and s. A symbol counts if some direct dependent imports it by name or `*`.
     """
-    s = symbol_definitions(files).where("line > 0 AND end_line >= line")
-    touched = s.join(hunks, "path").where("(new_start = new_end AND line <= new_start AND end_line >= new_start - 1) OR (new_start < new_end AND line < new_end AND end_line >= new_start)").select("path", "symbol_name", "kind", "line", "end_line").distinct()
+    touched = touched_symbols(symbol_definitions(files), hunks)
     edges = G.keep(G.reverse_adjacency(resolve_imports(files)))
     found = G.dependents(edges, hunks.select(F.col("path").alias("node")).distinct(), depth)
     far = found.where("depth > 1").groupBy(F.col("source").alias("path")).agg(F.count("*").alias("far"))

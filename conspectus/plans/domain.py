@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import graph, relational
+from ..operators import graph
 from ..operators.detectors import detect
 from ..sources.code import parse_files, symbol_definitions, symbol_imports
-from ..sources.project import markdown_sections, module_graph
+from ..sources.project import module_graph
 from . import conventions as C
 from .sample import FILES
 
@@ -21,10 +21,6 @@ def SC3_parse_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _files(spark).select("path", "language", "content_hash", F.size("imports").alias("n_imports"), F.size("functions").alias("n_functions"), F.size("types").alias("n_types"), F.size("exports").alias("n_exports"), F.size("function_calls").alias("n_calls"))
 
 
-def SC12_markdown_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return markdown_sections(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text")
-
-
 def SK17_symbol_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return symbol_definitions(_files(spark))
 
@@ -67,10 +63,5 @@ def Q_DIFF_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.diff_impact(_files(spark), hunks).withColumn("dependents", F.array_join("dependents", ","))
 
 
-def ST1_latest_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return relational.ranked(events, ["user_id"], [F.desc("ts"), F.desc("event_id")], 1).select("user_id", "event_id", "event_type")
-
-
 def queries() -> dict:
     return {n: f for n, f in globals().items() if n[0].isupper() and callable(f) and getattr(f, "__module__", None) == __name__}
