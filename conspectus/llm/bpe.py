@@ -4,7 +4,9 @@ Every token of the rank file becomes a piece of mapped characters (one per byte)
 sentencepiece merges in the order of the ranks; the normaliser is the identity. Texts are cut where the pattern always
 cuts (between a character and white space after it); each distinct cut is pre-tokenised by the pattern and its
 pre-tokens are encoded once per worker, as they recur all the time. Decoding maps ids back to bytes.
-Null and empty texts have no ids; repeated rows are encoded each; other columns of the input are not read.
+Another pattern, or a text it matches in part only, is taken match by match. Null and empty texts have no ids; repeated
+rows are encoded each, and an empty table gives none; a very long text is encoded in one go, in memory a few times its
+size. Only the id and the text are read, so that other columns, of any name, change nothing.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ KEPT = 200_000
 AT_ONCE, SEPARATOR = 256, "\n"
 #: Fixed value: the characters of Unicode White_Space.
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Fixed value: the pattern of pre-tokens that is known to cut between a character and white space after it, and to keep a word of letters whole.
+SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _CUTS = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 #: Texts with this are cut by _CUTS; the others have spaces and line ends only.
 _OTHER = re.compile(f"[{WHITE.replace(' ', '')}]".replace("\t-\r", "\t\x0b-\r"))
@@ -84,6 +88,7 @@ class Coder:
         self.tokens = read_ranks(ranks)
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialise_model(self.tokens))
         self.split = regex.compile(split)
+        self.cuts = split == SPLIT  # whether what is known of this pattern may be used
         self.to_chars = dict(enumerate(byte_characters())) | {255: SEPARATOR}  # UTF-8 has no byte 255
         self.flat = np.frombuffer(b"".join(self.tokens), np.uint8)
         self.lengths = np.array([len(t) for t in self.tokens])
@@ -100,20 +105,31 @@ class Coder:
     def _learn(self, cuts: list[str], keys: list[str]) -> None:
         pre = [self._pre_tokens(c) for c in cuts]
         words = self.words.young
-        new = self.words.missing(list(dict.fromkeys(p for x in pre for p in x if p not in words)))
+        self._words(list(dict.fromkeys(p for x in pre for p in x)))
+        for key, x in zip(keys, pre, strict=True):
+            self.known.young[key] = ",".join([words[p] for p in x])
+        self.words.age()
+
+    def _words(self, pre: list[str]) -> None:
+        """Sees to it that the ids of pre-tokens are known."""
+        words = self.words.young
+        new = self.words.missing([p for p in pre if p not in words])
         for at in range(0, len(new), AT_ONCE):
             some = new[at : at + AT_ONCE]
             line = b"\xff".join([p.encode() for p in some]).decode("latin-1").translate(self.to_chars)
             for p, ids in zip(some, " ".join([str(k - 1) for k in self.model.encode(line)]).split(" -1 "), strict=True):
                 words[p] = ids.replace(" ", ",")
-        for key, x in zip(keys, pre, strict=True):
-            self.known.young[key] = ",".join([words[p] for p in x])
-        self.words.age()
 
     def encode(self, text: str) -> str:
         """Decimal ids joined by commas."""
         known = self.known.young
         line = text.replace("\n", " \n")
+        if not self.cuts:  # another pattern: its matches, each by itself
+            pre = self.split.findall(text)
+            self._words(list(dict.fromkeys(pre)))
+            code = ",".join([self.words.young[p] for p in pre])
+            self.words.age()
+            return code
         if text and not (line[0] == " " or line[-1] == " " or "  " in line or "\n " in line or _OTHER.search(text)):
             keys = line.split(" ")  # each but the first, or one with a line end, has a space before it
             keys[0] = f"\r{keys[0]}"
