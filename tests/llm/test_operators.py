@@ -264,6 +264,22 @@ def test_bpe_equals_tiktoken(docs):
     assert bpe.encode_bpe(empty(docs)).count() == 0
 
 
+def test_bpe_by_another_pattern():
+    """A pattern that cuts elsewhere: white space joined to the word before it, digits one by one, other characters left out."""
+    import public_tokenizers as P
+    import tiktoken
+
+    assert bpe.SPLIT == P.PATTERN
+    split = r"\p{L}+\s?|\p{N}|[^\s\p{L}\p{N}]{1,2}"
+    tokens = bpe.read_ranks(P.path(bpe.NAME))
+    want = tiktoken.Encoding("own", pat_str=split, mergeable_ranks={t: i for i, t in enumerate(tokens)}, special_tokens={})
+    coder = bpe.Coder(P.path(bpe.NAME), split, 50)
+    r = random.Random(4)
+    for _ in range(500):
+        text = "".join(r.choice(" \t\nabcXYZ'sé123!?.,日") for _ in range(r.randint(0, 30)))
+        assert coder.encode(text) == ",".join(map(str, want.encode_ordinary(text)))
+
+
 def test_language_id(spark):
     langs = {"xx": "abcdef", "yy": "mnopqr"}
     r = random.Random(5)
