@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import own_folder
+from ..session import shared_dir
 from .relational import ranked
 
 MAX_DEPTH = 10
@@ -14,10 +14,7 @@ MAX_DEPENDENTS = 500
 
 def keep(df: DataFrame) -> DataFrame:
     """Computes df once and cuts its lineage in the shared checkpoint folder (in one JVM, where none is set, one of our own)."""
-    sc = df.sparkSession.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir", None)
-    if not root and not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(own_folder(sc))
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

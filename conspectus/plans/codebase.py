@@ -5,6 +5,8 @@ A part is a file in one of four languages; a line item is an import, of another
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,8 +14,12 @@ from .. import schemas
 from ..operators import detectors
 from ..operators import graph as G
 from ..operators import relational as R
+from ..session import shared_dir
+from ..sources.changes import enumerate_changes
 from ..sources.code import symbol_definitions, symbol_imports
 from ..sources.project import markdown_sections, module_graph
+from ..sources.store import TableStore
+from ..streaming.watch import hot_tier
 from . import conventions as C
 from .kernels import query, t
 
@@ -181,6 +187,97 @@ def SC12_sections_of_documents(spark: SparkSession, sf: str) -> DataFrame:
     return markdown_sections(t(spark, sf, "documents").withColumn("text", text), "doc_id", "text")
 
 
+def _conventions(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(Files, naming findings, their conventions, no decisions)."""
+    f = files(spark, sf)
+    found = detectors.naming(f)
+    return f, found, C.aggregate(found), spark.createDataFrame([], schemas.DECISION)
+
+
+_CONVENTIONS = f", n AS ({_NAMING}), g AS (SELECT description, count(*) AS total, round(count(*) FILTER (WHERE follows) / count(*), 6) AS confidence FROM n GROUP BY 1)\n"
+
+
+@query(SQL + "SELECT language, count(*) AS files FROM f GROUP BY 1")
+def Q_CTX_languages(spark: SparkSession, sf: str) -> DataFrame:
+    return C.project_context(*_conventions(spark, sf))["languages"]
+
+
+@query(SQL + _CONVENTIONS + "SELECT count(*) FILTER (WHERE confidence > 0.85) AS high, count(*) FILTER (WHERE confidence >= 0.5 AND confidence <= 0.85) AS medium, count(*) FILTER (WHERE confidence < 0.5) AS low FROM g WHERE contains(lower(description), 'function')")
+def Q_CTX_F10_confidence_of_a_focus(spark: SparkSession, sf: str) -> DataFrame:
+    return C.project_context(*_conventions(spark, sf), focus="Function")["confidence"]
+
+
+@query(SQL + f"SELECT module, count(*) AS file_count, array_to_string(list_sort(list(DISTINCT language)), ',') AS languages FROM (SELECT {FOLDER.format(c='path')} AS module, language FROM f) GROUP BY 1")
+def Q_CTX_A10_modules(spark: SparkSession, sf: str) -> DataFrame:
+    return C.project_context(*_conventions(spark, sf))["modules"].withColumn("languages", F.array_join("languages", ","))
+
+
+@query(SQL + f", n AS ({_NAMING}) SELECT path, count(*) AS compliance FROM n WHERE follows GROUP BY 1 ORDER BY compliance DESC, path LIMIT 5")
+def Q_GOLD_SK6_golden_files(spark: SparkSession, sf: str) -> DataFrame:
+    return C.project_context(*_conventions(spark, sf))["golden_files"]
+
+
+@query(SQL + _CONVENTIONS + "SELECT description, confidence, CAST(round(confidence * 100) AS INT) AS percent FROM g WHERE ends_with(description, '(Python)')")
+def Q_CONV_topic(spark: SparkSession, sf: str) -> DataFrame:
+    _, _, conventions, decisions = _conventions(spark, sf)
+    return C.query_convention(conventions, decisions, "naming py*").select("description", "confidence", "percent")
+
+
+@query(SQL + "SELECT 'load_item' AS symbol_name, path, kind, 60 AS line, 1.0::DOUBLE AS score, 0 AS call_sites, 'low' AS blast_radius FROM (SELECT path, 'function' AS kind FROM f WHERE s % 3 = 0 UNION ALL SELECT path, 'export' FROM f WHERE s % 6 = 0)")
+def Q_PAT_S2_symbols_by_name(spark: SparkSession, sf: str) -> DataFrame:
+    return C.query_code_pattern(files(spark, sf), "load_item").drop("dependent_files")
+
+
+@query(SQL + _CONVENTIONS + "SELECT 0 AS rules, 0 AS decisions, count(*) FILTER (WHERE NOT ends_with(description, '(Rust)')) AS conventions, count(*) FILTER (WHERE ends_with(description, '(Rust)')) AS observations, coalesce(bool_or(confidence <= 0.5), FALSE) AS has_stale FROM g WHERE starts_with(description, 'Type') OR ends_with(description, '(TypeScript)')")
+def Q_VAL_related(spark: SparkSession, sf: str) -> DataFrame:
+    f, _, conventions, decisions = _conventions(spark, sf)
+    return C.validate_approach(conventions, decisions, f, "type naming").select("rules", "decisions", "conventions", "observations", "has_stale")
+
+
+def _folder_of(spark: SparkSession, path: str, root: str) -> str:
+    """A folder of a table's files, which a stream asks for: the table's own, or, of a table in one file, a copy in the shared folder."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory():
+        return path
+    spark.read.parquet(path).write.parquet(f"{root}/in")
+    return f"{root}/in"
+
+
+@query("SELECT user_id AS path, event_id AS seq, event_type FROM (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1) WHERE event_type <> 'error'")
+def ST1_SK1_hot_tier_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The events as a stream: each micro-batch's last event of each path is stored or deletes it."""
+    root = f"{shared_dir(spark).rstrip('/')}/hot-{uuid.uuid4().hex}"
+    store = TableStore(spark, f"{root}/store")
+    events = spark.readStream.schema(t(spark, sf, "events").schema).option("pathGlobFilter", "*.parquet").parquet(_folder_of(spark, f"{sf}/events.parquet", root))
+    changes = events.select(F.col("user_id").alias("path"), "ts", F.col("event_id").alias("seq"), "event_type", F.when(F.col("event_type") == "error", "remove").otherwise("modify").alias("kind"))
+
+    def apply(up: DataFrame, gone: DataFrame) -> None:
+        store.upsert("files", up.select("path", "seq", "event_type"), ["path"])
+        store.delete("files", gone, ["path"])
+
+    hot_tier(changes, apply, f"{root}/checkpoint", once=True).awaitTermination()
+    return store.read("files")
+
+
+@query("SELECT CASE n WHEN 0 THEN 'main' ELSE 'dev' END AS branch_id, n_nationkey, n_name FROM nation, (VALUES (0), (1)) AS v(n) WHERE NOT (n = 1 AND n_nationkey < 3)")
+def SK12_SK9_snapshot_of_a_branch(spark: SparkSession, sf: str) -> DataFrame:
+    store = TableStore(spark, f"{shared_dir(spark).rstrip('/')}/snapshot-{uuid.uuid4().hex}")
+    store.write("nations", t(spark, sf, "nation").select(F.lit("main").alias("branch_id"), "n_nationkey", "n_name"))
+    store.create_snapshot(["nations"], "main", "dev")
+    store.delete("nations", store.read("nations").where("branch_id = 'dev' AND n_nationkey < 3"), ["branch_id", "n_nationkey"])
+    return store.read("nations")
+
+
 @query("SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
 def ST1_latest_changes(spark: SparkSession, sf: str) -> DataFrame:
     return R.ranked(t(spark, sf, "events"), ["user_id"], [F.desc("ts"), F.desc("event_id")], 1).select("user_id", "event_id", "event_type")
+
+
+@query("""WITH h AS (SELECT o_orderkey AS path, o_totalprice::BIGINT AS oid FROM orders), i AS (SELECT path, CASE WHEN path % 5 = 0 THEN oid + 1 ELSE oid END AS oid FROM h WHERE path % 7 <> 0), d AS (SELECT path, CASE WHEN path % 3 = 0 THEN oid + 2 ELSE oid END AS oid FROM i WHERE path % 11 <> 0 UNION ALL SELECT -1, 5),
+s AS (SELECT h.path, CASE WHEN i.path IS NULL THEN 'deleted' ELSE 'modified' END AS status FROM h LEFT JOIN i USING (path) WHERE i.path IS NULL OR i.oid <> h.oid), u AS (SELECT coalesce(i.path, d.path) AS path, CASE WHEN i.path IS NULL THEN 'untracked' WHEN d.path IS NULL THEN 'deleted' ELSE 'modified' END AS status FROM i FULL JOIN d ON i.path = d.path WHERE i.oid IS DISTINCT FROM d.oid)
+SELECT path, CASE WHEN path % 13 = 0 THEN 'conflicted' ELSE status END AS status FROM (SELECT * FROM s UNION ALL SELECT * FROM u WHERE path NOT IN (SELECT path FROM s))""")
+def SC17_J9_U6_changes_of_trees(spark: SparkSession, sf: str) -> DataFrame:
+    head = t(spark, sf, "orders").select(F.col("o_orderkey").alias("path"), F.col("o_totalprice").cast("decimal(20,2)").alias("p")).select("path", F.round("p").cast("bigint").alias("oid"))
+    index = head.where("path % 7 != 0").withColumn("oid", F.expr("CASE WHEN path % 5 = 0 THEN oid + 1 ELSE oid END"))
+    disk = index.where("path % 11 != 0").withColumn("oid", F.expr("CASE WHEN path % 3 = 0 THEN oid + 2 ELSE oid END")).unionAll(spark.sql("SELECT -1L AS path, 5L AS oid"))
+    return enumerate_changes(head, index, disk, head.where("path % 13 = 0")).select("path", "status")

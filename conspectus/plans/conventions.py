@@ -120,10 +120,17 @@ def validate_approach(conventions: DataFrame, decisions: DataFrame, files: DataF
     capped = R.ranked(rows.withColumn("bucket", bucket), ["bucket"], [F.desc("confidence"), F.asc("description_hash")], 10)
     n = capped.agg(*[F.count_if(F.col("bucket") == b).alias(b) for b in ("rules", "decisions", "conventions", "observations")], F.coalesce(F.bool_or(F.col("confidence") <= 0.5), F.lit(False)).alias("has_stale"))
     dup = query_code_pattern(files, description).where("score >= 0.6").limit(10).agg(F.count("*").alias("duplicates"))
-    bad = edges.where("edge_type = 'contradicts'").agg(F.count("*").alias("contradictions")) if edges is not None else files.sparkSession.range(1).select(F.lit(0).alias("contradictions"))
+    bad = _contradictions(rows, edges) if edges is not None else files.sparkSession.range(1).select(F.lit(0).alias("contradictions"))
     return n.join(F.broadcast(dup)).join(F.broadcast(bad)).withColumn("verdict", T.verdict("rules", "contradictions", "conventions"))
 
 
+def _contradictions(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """How many unordered pairs of the rows (description_hash) contradict each other by an edge (source, target, edge_type)."""
+    own = rows.select("description_hash").distinct()
+    both = edges.where("edge_type = 'contradicts'").join(own.withColumnRenamed("description_hash", "source"), "source", "left_semi").join(own.withColumnRenamed("description_hash", "target"), "target", "left_semi")
+    return R.unordered_pairs(both.where("source != target"), "source", "target").agg(F.count("*").alias("contradictions"))
+
+
 def project_context(files: DataFrame, findings: DataFrame, conventions: DataFrame, decisions: DataFrame, focus: str | None = None) -> dict[str, DataFrame]:
     """Q-CTX: languages, modules, dependency domains, confidence summary, decisions by state, golden files."""
     c = conventions

@@ -59,11 +59,6 @@ def W4_diverse_sample(spark: SparkSession, sf: str) -> DataFrame:
     return R.diverse_sample(t(spark, sf, "part").select("p_brand", "p_partkey"), "p_brand", [F.asc("p_partkey")], 20)
 
 
-@query("SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1 ORDER BY n DESC, o_custkey LIMIT 5")
-def T1_golden_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return t(spark, sf, "orders").groupBy("o_custkey").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "o_custkey").limit(5)
-
-
 @query("SELECT lang, count(*) AS files FROM documents GROUP BY 1")
 def A6_language_breakdown(spark: SparkSession, sf: str) -> DataFrame:
     return t(spark, sf, "documents").groupBy("lang").agg(F.count("*").alias("files")).orderBy(F.desc("files"), "lang")
@@ -189,12 +184,6 @@ def J11_X17_X19_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumn("similarity", F.round("similarity", 6))
 
 
-@query("SELECT s_suppkey, count(DISTINCT l_orderkey) AS n_files, count(l_orderkey) = 0 AS is_dead FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey AND l_quantity > 49 GROUP BY 1")
-def J15_dead_dependency(spark: SparkSession, sf: str) -> DataFrame:
-    used = t(spark, sf, "lineitem").where("l_quantity > 49").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.count_distinct("l_orderkey").alias("n"))
-    return t(spark, sf, "supplier").select("s_suppkey").join(used, "s_suppkey", "left").select("s_suppkey", F.coalesce("n", F.lit(0)).alias("n_files"), F.col("n").isNull().alias("is_dead"))
-
-
 _TRADE = "SELECT DISTINCT s_nationkey AS importer, c_nationkey AS target FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity > 45 AND s_nationkey <> c_nationkey"
 
 
@@ -343,17 +332,6 @@ def W8_contiguous_run(spark: SparkSession, sf: str) -> DataFrame:
     return R.one_run(t(spark, sf, "conversations"), ["conv_id"], "turn", F.col("role") == "user")
 
 
-@query("""SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY 1""")
-def U8_latest_wins(spark: SparkSession, sf: str) -> DataFrame:
-    return t(spark, sf, "events").groupBy("user_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
-
-
-@query("SELECT 'main' AS branch_id, n_nationkey, n_name FROM nation UNION ALL SELECT 'feature', n_nationkey, n_name FROM nation")
-def SK12_snapshot_copy(spark: SparkSession, sf: str) -> DataFrame:
-    main = t(spark, sf, "nation").select(F.lit("main").alias("branch_id"), "n_nationkey", "n_name")
-    return main.unionAll(main.withColumn("branch_id", F.lit("feature")))
-
-
 @query("SELECT event_id, count(*) OVER (PARTITION BY event_type ORDER BY epoch_us(ts) // 1000000 RANGE BETWEEN 43200 PRECEDING AND CURRENT ROW) AS trailing FROM events")
 def W9_ST4_bulk_trigger_window(spark: SparkSession, sf: str) -> DataFrame:
     s = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts) div 1000000")

@@ -21,6 +21,19 @@ def own_folder(sc: SparkContext) -> str:
     return folder
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir; in one JVM (tests), where it is unset, one of our own."""
+    sc = spark.sparkContext
+    root = sc.getConf().get("spark.checkpoint.dir", None)
+    if not root:
+        held = sc._jsc.sc().getCheckpointDir()
+        if held.isDefined():
+            return held.get()
+        root = own_folder(sc)
+        sc.setCheckpointDir(root)
+    return root
+
+
 def ship_package(spark: SparkSession) -> None:
     """Makes this package importable in the Python workers of all executors, once per application."""
     sc = spark.sparkContext

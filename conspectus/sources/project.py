@@ -5,7 +5,9 @@ from __future__ import annotations
 import json
 import re
 import tomllib
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -113,3 +115,69 @@ def import_hunks(spark: SparkSession, old: str, new: str, path: str) -> DataFram
 def latest_changes(events: DataFrame) -> DataFrame:
     """ST1 in batch: the last event of each path."""
     return R.ranked(events, ["path"], [F.desc("ts"), F.desc("seq")], 1).drop("rank")
+
+
+def internal_names(name: str, content: str) -> list[str]:
+    """SC11: names that a manifest gives the project's own packages: the package, and the workspace's members by their globs' last parts."""
+    if name.endswith((".yaml", ".yml")):
+        return _member_names(re.findall(r"^\s*-\s*['\"]?([^'\"#\s]+)", content, re.M))
+    try:
+        data = json.loads(content) if name.endswith(".json") else tomllib.loads(content)
+    except ValueError:
+        return []
+    if name.endswith(".json"):
+        spaces = data.get("workspaces") or []
+        return [x for x in [data.get("name"), *_member_names(spaces.get("packages", []) if isinstance(spaces, dict) else spaces)] if x]
+    if name.endswith("Cargo.toml"):
+        return [x.replace("-", "_") for x in [data.get("package", {}).get("name"), data.get("lib", {}).get("name"), *_member_names(data.get("workspace", {}).get("members", []))] if x]
+    tool = data.get("tool", {})
+    own = [data.get("project", {}).get("name"), tool.get("poetry", {}).get("name"), *[p.get("include") for p in tool.get("poetry", {}).get("packages", []) if isinstance(p, dict)]]
+    return [x.replace("-", "_") for x in own if x]
+
+
+def _member_names(globs: list[str]) -> list[str]:
+    return [last for g in globs if isinstance(g, str) and not g.startswith("!") and (last := g.rstrip("/").rpartition("/")[2]) and "*" not in last]
+
+
+def openapi_facts(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """SC14: (key, kind, name, description): the API, endpoints and schemas of OpenAPI and Swagger documents, in JSON or, where a reader of it is installed, YAML."""
+
+    def facts(content: str | None) -> list[tuple[str, str, str]]:
+        try:
+            data = json.loads(content or "")
+        except ValueError:
+            try:
+                import yaml
+            except ImportError:
+                return []
+            try:
+                data = yaml.safe_load(content or "")
+            except yaml.YAMLError:
+                return []
+        if not isinstance(data, dict) or not (data.get("openapi") or data.get("swagger")):
+            return []
+        info = data.get("info") or {}
+        out = [("api", str(info.get("title") or ""), str(info.get("description") or info.get("version") or ""))]
+        for path, methods in sorted((data.get("paths") or {}).items()):
+            for method, x in sorted(methods.items()) if isinstance(methods, dict) else ():
+                if method in ("get", "put", "post", "delete", "options", "head", "patch", "trace"):
+                    out.append(("endpoint", f"{method.upper()} {path}", str((x or {}).get("summary") or (x or {}).get("description") or "")))
+        schemas = (data.get("components") or {}).get("schemas") or data.get("definitions") or {}
+        return out + [("schema", n, str((x or {}).get("description") or "")) for n, x in sorted(schemas.items())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(k, f) for k, content in enumerate(batch.column(1).to_pylist()) for f in facts(content)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([k for k, _ in found], pa.int64())), *(pa.array([f[i] for _, f in found], pa.string()) for i in range(3))], [key, "kind", "name", "description"])
+
+    return docs.select(key, text).mapInArrow(run, f"{key} {dict(docs.dtypes)[key]}, kind string, name string, description string")
+
+
+def read_documentation(spark: SparkSession, root: str, exclude: tuple[str, ...] = ()) -> DataFrame:
+    """SC15: (path relative to the root, content) of Markdown, JSON and YAML files; extensions are filtered before contents are read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{md,json,yaml,yml}").load(root)
+    path = F.regexp_replace("path", "^.*?" + re.escape(root.rstrip("/")) + "/", "")
+    rows = files.select(path.alias("path"), F.col("content").cast("string").alias("content")).where(~F.col("path").rlike(r"(^|/)\.git/"))
+    for glob in exclude:
+        rows = rows.where(~F.col("path").rlike("^" + re.escape(glob).replace(r"\*\*", ".*").replace(r"\*", "[^/]*") + "$"))
+    return rows

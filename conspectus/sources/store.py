@@ -1,7 +1,8 @@
-"""Snapshot store over Parquet: keyed tables by branch, replaced whole by writing a new snapshot and moving a pointer.
+"""Snapshot store over Parquet: keyed tables by branch, replaced whole by writing new snapshots and one row of a log of commits.
 
-A reader resolves the pointer once and reads an immutable folder; a writer that dies leaves the old pointer. The pointer
-is a one-row table written by Spark itself, so that any store Spark writes to will do. One writer at a time.
+A reader resolves the log once and reads immutable folders; a commit of several tables is one file of the log, written by
+Spark's own committer, so that any store Spark writes to will do, and a writer that dies before it leaves all tables as
+they were. One writer at a time.
 """
 
 from __future__ import annotations
@@ -13,22 +14,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..functions import code as C
 from ..functions import text as T
 from ..operators import relational as R
 
+LOG = "version bigint, name string, folder string"
+
 
 class TableStore:
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
 
+    def _log(self) -> DataFrame | None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/_commits")
+        there = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+        return self.spark.read.schema(LOG).parquet(f"{self.root}/_commits") if there else None
+
     def _pointer(self, name: str) -> str | None:
-        try:
-            rows = self.spark.read.parquet(f"{self.root}/_pointers/{name}").orderBy(F.desc("version")).limit(1).collect()
-        except Exception as e:  # the table has never been written
-            if "PATH_NOT_FOUND" in str(e):
-                return None
-            raise
-        return rows[0].folder if rows else None
+        log = self._log()
+        if log is None:
+            return None
+        row = log.where(F.col("name") == name).agg(F.max_by("folder", "version").alias("folder")).first()
+        return row.folder
 
     def read(self, name: str, schema: str | None = None) -> DataFrame:
         folder = self._pointer(name)
@@ -39,10 +46,107 @@ class TableStore:
         return self.spark.read.parquet(folder)
 
     def write(self, name: str, df: DataFrame, partition_by: tuple[str, ...] = ()) -> None:
-        """SK2, SK4: a new snapshot, then the pointer."""
-        folder = f"{self.root}/{name}/{uuid.uuid4().hex}"
-        df.write.partitionBy(*partition_by).parquet(folder)
-        self.spark.createDataFrame([(time.time_ns(), folder)], "version bigint, folder string").coalesce(1).write.mode("append").parquet(f"{self.root}/_pointers/{name}")
+        """SK4: a new snapshot of one table."""
+        self.write_all({name: df}, partition_by)
+
+    def write_all(self, tables: dict[str, DataFrame], partition_by: tuple[str, ...] = ()) -> None:
+        """SK2: new snapshots of several tables, seen all at once or not at all."""
+        rows = []
+        for name, df in tables.items():
+            folder = f"{self.root}/{name}/{uuid.uuid4().hex}"
+            df.write.partitionBy(*partition_by).parquet(folder)
+            rows.append((name, folder))
+        version = time.time_ns()
+        self.spark.createDataFrame([(version, *r) for r in rows], LOG).coalesce(1).write.mode("append").parquet(f"{self.root}/_commits")
+
+    def replaced(self, name: str, new: DataFrame, of: DataFrame, keys: list[str]) -> DataFrame:
+        """The table with the new rows in the place of those whose keys are in `of`."""
+        if self._pointer(name) is None:
+            return new
+        return self.read(name).join(of.select(*keys).distinct(), keys, "left_anti").unionByName(new, allowMissingColumns=True)
+
+    def upsert_files(self, files: DataFrame) -> None:
+        """SK2, SK17: files (schemas.FILE) and, in the same commit, their rows of both symbol tables."""
+        from .code import symbol_definitions, symbol_imports
+
+        keys = ["branch_id", "path"]
+        held = files.select(*keys)
+        definitions, imports = symbol_definitions(files), symbol_imports(files).withColumnRenamed("importer_file", "path")
+        self.write_all({"files_ir": self.replaced("files_ir", files, held, keys), "symbol_definitions": self.replaced("symbol_definitions", definitions, held, keys), "symbol_imports": self.replaced("symbol_imports", imports, held, keys)})
+
+    def delete_files(self, gone: DataFrame) -> list[str]:
+        """SK3: the files (branch_id, path) and their symbols go, in one commit; the paths that were not there, whose symbols are swept all the same."""
+        keys = ["branch_id", "path"]
+        absent = sorted(r.path for r in gone.join(self.read("files_ir").select(*keys), keys, "left_anti").select("path").distinct().collect())
+        names = [n for n in ("files_ir", "symbol_definitions", "symbol_imports") if self._pointer(n)]
+        self.write_all({n: self.read(n).join(gone.select(*keys).distinct(), keys, "left_anti") for n in names})
+        return absent
+
+    def backfill_symbols(self) -> bool:
+        """SK18: builds the symbol tables where files are there and definitions are not; whether it did."""
+        from .code import symbol_definitions, symbol_imports
+
+        if not self._pointer("files_ir") or self._pointer("symbol_definitions") and self.read("symbol_definitions").head(1):
+            return False
+        files = self.read("files_ir")
+        self.write_all({"symbol_definitions": symbol_definitions(files), "symbol_imports": symbol_imports(files).withColumnRenamed("importer_file", "path")})
+        return True
+
+    def replace_conventions(self, branch: str, conventions: DataFrame, decided: DataFrame) -> None:
+        """SK4: a branch's detected conventions are replaced by those on which nothing is decided; others' rows stay."""
+        new = conventions.join(decided.select("description_hash").distinct(), "description_hash", "left_anti").withColumn("branch_id", F.lit(branch)).withColumn("source", F.lit("auto_detected"))
+        if self._pointer("nodes") is None:
+            self.write("nodes", new)
+            return
+        stay = self.read("nodes").where((F.col("branch_id") != branch) | (F.col("source") != "auto_detected"))
+        self.write("nodes", stay.unionByName(new, allowMissingColumns=True))
+
+    def insert_edges(self, edges: DataFrame) -> None:
+        """SK10: edges (branch_id, source, target, edge_type) that are not there yet."""
+        keys = ["branch_id", "source", "target", "edge_type"]
+        self.upsert("edges", edges.dropDuplicates(keys), keys)
+
+    def edges(self, branch: str, **where: object) -> DataFrame:
+        """SK10: a branch's edges by source, target or edge_type."""
+        df = self.read("edges").where(F.col("branch_id") == branch)
+        for k, v in where.items():
+            df = df.where(F.col(k) == v)
+        return df
+
+    # --- branches and values by key
+
+    def set_value(self, scope: str, key: str, value: str) -> None:
+        """SK19"""
+        self.upsert("values", self.spark.createDataFrame([(scope, key, value)], "scope string, key string, value string"), ["scope", "key"])
+
+    def value(self, scope: str, key: str, default: str | None = None) -> str | None:
+        row = self.read("values", "scope string, key string, value string").where((F.col("scope") == scope) & (F.col("key") == key)).first()
+        return row.value if row else default
+
+    def switch_branch(self, branch: str) -> None:
+        """SK14"""
+        self.set_value("", "current_branch", branch)
+
+    def current_branch(self) -> str:
+        return self.value("", "current_branch", "main")
+
+    def list_branches(self, name: str = "files_ir") -> list[str]:
+        """SK14: branches with rows in a table (one row each), and the current one."""
+        found = {r[0] for r in self.read(name).select("branch_id").distinct().collect()} if self._pointer(name) else set()
+        return sorted(found | {self.current_branch()})
+
+    def load_branch(self, name: str, branch: str, most: int | None = None) -> DataFrame:
+        """SC20, SC21: a branch's rows; `most` cuts them only where a caller asks for it."""
+        df = self.read(name).where(F.col("branch_id") == branch)
+        return df if most is None else df.limit(most)
+
+    def delete_stale(self, name: str, column: str, before: int) -> int:
+        """SK20: rows fetched before a time go; how many."""
+        df = self.read(name)
+        n = df.where(F.col(column) < before).count()
+        if n:
+            self.write(name, df.where(F.col(column) >= before))
+        return n
 
     def upsert(self, name: str, new: DataFrame, keys: list[str]) -> None:
         """SK1, SK16, SK19, SK20, SK24"""
@@ -124,8 +228,26 @@ class Decisions:
         self.store.write("decisions", self.all().where(F.col("description_hash") != key))
 
     def review(self, conventions: DataFrame) -> DataFrame:
-        """What is undecided, by confidence."""
-        return conventions.join(self.all().select("description_hash"), "description_hash", "left_anti").orderBy(F.desc("confidence"), "description_hash")
+        """What is undecided, by confidence, with the hash of its extra data to be checked when it is decided."""
+        return conventions.join(self.all().select("description_hash"), "description_hash", "left_anti").withColumn("seen", C.snapshot_hash("ext_data") if "ext_data" in conventions.columns else C.snapshot_hash(F.lit(None).cast("string"))).orderBy(F.desc("confidence"), "description_hash")
+
+    def apply_review(self, actions: DataFrame, conventions: DataFrame) -> dict[str, int]:
+        """Q-REV: actions (description_hash, action: confirm, reject or partial, seen) on conventions (description_hash, description, nature, weight, ext_data).
+
+        Confirmed ones become approved, rejected ones rejected, others partial preferences; all in one commit. An action whose
+        convention has changed since it was shown, or is gone, fails by itself. Counts by outcome.
+        """
+        shown = conventions.select("description_hash", "description", "nature", "weight", C.snapshot_hash("ext_data").alias("now"))
+        judged = actions.join(shown, "description_hash", "left").withColumn("outcome", F.when(F.col("now").isNull(), "missing").when(F.col("seen") != F.col("now"), "changed").otherwise(F.col("action")))
+        counts = {r.outcome: r["count"] for r in judged.groupBy("outcome").count().collect()}
+        at = self.now if self.now is not None else int(time.time())
+        state = F.when(F.col("outcome") == "confirm", "approved").when(F.col("outcome") == "reject", "rejected").otherwise("partial")
+        rows = judged.where("outcome IN ('confirm', 'reject', 'partial')").select(
+            "description_hash", "description", state.alias("state"), F.when(F.col("outcome") == "partial", "preference").otherwise(F.col("nature")).alias("nature"), "weight",
+            F.lit(None).cast("string").alias("category"), F.lit(None).cast("string").alias("reason"), F.lit("main").alias("decided_on_branch"), F.lit(at).cast("bigint").alias("decided_at"), F.lit(at).cast("bigint").alias("updated_at"),
+        )
+        self.store.upsert("decisions", rows, ["description_hash"])
+        return counts
 
     def export(self, path: str) -> None:
         self.all().write.mode("overwrite").json(path)
@@ -133,7 +255,7 @@ class Decisions:
     def import_from(self, path: str, strict: bool = False) -> dict[str, int]:
         """U8: the later decided_at wins, strictly; in strict mode any conflict is an error and nothing is written."""
         incoming = self.store.spark.read.schema(schemas.DECISION).json(path)
-        incoming = R.ranked(incoming, ["description_hash"], [F.desc("decided_at")], 1).drop("rank")
+        incoming = R.ranked(incoming, ["description_hash"], [F.desc("decided_at"), F.desc("updated_at"), F.asc("description"), F.asc("state")], 1).drop("rank")
         now = self.all()
         if strict:
             clash = [r[0] for r in now.join(incoming.select("description_hash"), "description_hash", "left_semi").select("description_hash").limit(100).collect()]
