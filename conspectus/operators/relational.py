@@ -251,3 +251,72 @@ def focused(df: DataFrame, hit: Column) -> DataFrame:
     """The rows that hit, or all of them where none does, and which it was; the count is one row."""
     hits = df.agg(F.coalesce(F.bool_or(hit), F.lit(False)).alias("focus_matched"))
     return df.withColumn("_hit", F.coalesce(hit, F.lit(False))).join(F.broadcast(hits)).where("_hit OR NOT focus_matched").drop("_hit")
+
+
+def diverse_files(df: DataFrame, path: str, by: list[str], most: int = 20) -> DataFrame:
+    """Of each group up to `most` files, dealt from its folders in turn.
+
+    Folders are told apart by their first part below what all of the group's paths share; package markers (__init__.py)
+    count only where a group has nothing else.
+    """
+    keys = [F.col(k) for k in by]
+    marker = F.regexp_extract(path, "([^/]*)$", 1) == "__init__.py"
+    w = Window.partitionBy(*by)
+    rows = df.withColumn("_all", F.min(marker.cast("int")).over(w)).where(~marker | (F.col("_all") == 1))
+    # The first and the last path in order share exactly what all share.
+    ends = rows.groupBy(*keys).agg(F.min(path).alias("_lo"), F.max(path).alias("_hi"))
+    parts = lambda c: F.slice(F.split(c, "/"), 1, F.size(F.split(c, "/")) - 1)
+    shared = F.size(F.filter(F.transform(F.arrays_zip(parts("_lo").alias("x"), parts("_hi").alias("y")), lambda p, i: F.when(F.slice(parts("_lo"), 1, i + 1) == F.slice(parts("_hi"), 1, i + 1), True)), lambda x: x.isNotNull()))
+    placed = rows.join(ends.select(*by, shared.alias("_depth")), by).withColumn("_folder", F.coalesce(F.get(parts(F.col(path)), F.col("_depth")), F.lit("")))
+    turns = placed.withColumn("_turn", F.row_number().over(Window.partitionBy(*by, "_folder").orderBy(path)))
+    return ranked(turns, by, [F.asc("_turn"), F.asc("_folder")], most).drop("_all", "_depth", "_folder", "_turn")
+
+
+def composite(df: DataFrame, path: str, follows: str, by: list[str], most: int = 20) -> DataFrame:
+    """A5: of each group one text: how many files match or violate it, up to `most` of them, those that violate it marked, and how many more there are.
+
+    Package markers are left out of the list, and said to be, unless a group has nothing else.
+    """
+    marker = F.regexp_extract(path, "([^/]*)$", 1) == "__init__.py"
+    n = df.groupBy(*by).agg(F.count("*").alias("total"), F.count_if(follows).alias("adoption"), F.count_if(marker).alias("_markers"))
+    some = diverse_files(df, path, by, most).groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("rank", path, follows))).alias("_rows"))
+    total, adoption, markers, shown = F.col("total"), F.col("adoption"), F.col("_markers"), F.size("_rows")
+    one, only = total == 1, F.col("_markers") == F.col("total")
+    text = lambda x: x.cast("string")
+    word = lambda w: F.when(one, F.lit(f"{w}es" if w == "match" else f"{w}s")).otherwise(F.lit(w))
+    mixed = F.concat(word("reference"), F.lit(" this convention ("), text(adoption), F.lit(" follow / "), text(total - adoption), F.lit(" violate)"))
+    verb = F.when(adoption == total, F.concat(word("match"), F.lit(" this convention"))).when(adoption == 0, F.concat(word("violate"), F.lit(" this convention"))).otherwise(mixed)
+    listed = F.concat(F.lit(" (showing "), text(shown))
+    note = (
+        F.when(one, F.lit(""))
+        .when(only, F.when(total == shown, F.lit(" (")).otherwise(F.concat(listed, F.lit("; "))))
+        .when(markers > 0, F.concat(listed, F.lit(" informative; "), text(markers), F.lit(" __init__.py markers omitted)")))
+        .when(total == shown, F.lit(""))
+        .otherwise(F.concat(listed, F.lit(")")))
+    )
+    note = F.when(only & ~one, F.concat(note, F.lit("all are __init__.py markers)"))).otherwise(note)
+    head = F.concat(F.lit("// "), text(total), F.when(one, F.lit(" file ")).otherwise(F.lit(" files ")), verb, note, F.lit(":"))
+    lines = F.transform("_rows", lambda r: F.concat(F.lit("//   "), r[path], F.when(r[follows], F.lit("")).otherwise(F.lit("   [non-conforming]"))))
+    rest = F.when(only, total).otherwise(F.greatest(total - markers, shown)) - shown
+    more = F.when(rest > 0, F.concat(F.lit("\n// ... and "), text(rest), F.lit(" more (truncated)"))).otherwise(F.lit(""))
+    return n.join(some, by).select(*by, "total", "adoption", F.concat(head, F.lit("\n"), F.array_join(lines, "\n"), more).alias("text"))
+
+
+def anchored_sample(df: DataFrame, by: list[str], anchored: str, order: list[str], same: list[str], most: int = 20) -> DataFrame:
+    """A4: of each group the first `most` rows in the order of arrival, anchored ones before others, each place (`same`) once."""
+    best = Window.partitionBy(*by, *same).orderBy(F.desc(anchored), *order)
+    once = df.withColumn("_k", F.row_number().over(best)).where("_k = 1").drop("_k")
+    return ranked(once, by, [F.desc(anchored), *[F.asc(c) for c in order]], most)
+
+
+def matched_calls(symbols: DataFrame, calls: DataFrame, name: str, callee: str) -> DataFrame:
+    """Symbols with the calls of their names: equal, or their last part after "::" or "."; joined on that part, the rest is a condition."""
+    last = F.regexp_extract(callee, r"([^:.]+)$", 1)
+    hit = calls.withColumn("_last", last)
+    return symbols.join(hit, (F.col(name) == F.col("_last")) & T.callee_matches(callee, name)).drop("_last")
+
+
+def unnested(df: DataFrame, column: str, fields: str) -> DataFrame:
+    """A row for each entry of a JSON list of objects, with its fields beside the other columns; what is no such list gives none."""
+    each = df.withColumn("_e", F.explode(F.from_json(column, f"array<struct<{fields.replace(' ', ':')}>>".replace(",:", ",")))).drop(column)
+    return each.select(*[c for c in each.columns if c != "_e"], "_e.*")

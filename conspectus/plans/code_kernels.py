@@ -441,3 +441,45 @@ def G5_J11_cross_reference(spark: SparkSession, sf: str) -> DataFrame:
     nodes = d.select(F.col("doc_id").alias("description_hash"), F.expr("'Use ' || source || ' for ' || lang").alias("description"))
     docs = d.select(F.expr("'Prefer ' || source || ' in ' || lang").alias("description")).distinct().withColumn("id", F.col("description"))
     return conventions.cross_reference_edges(nodes, docs, 0.25).select("doc", F.col("description_hash").alias("convention"), "edge_type")
+
+
+@query("SELECT doc_id FROM documents WHERE contains(lower(text), 'license') AND contains(lower(text), 'version') AND contains(lower(text), 'apache') AND contains(lower(text), 'under') ORDER BY doc_id LIMIT 50")
+def F6_keyword_search(spark: SparkSession, sf: str) -> DataFrame:
+    return S.keyword_search(t(spark, sf, "documents").select("doc_id", "text"), "text", "the Apache License version and under", "doc_id").select("doc_id")
+
+
+_EVENTS = "'[{\"file\": \"a' || user_id || '\", \"line\": ' || event_id % 9 || '}, {\"file\": \"b\", \"line\": 0}]'"
+
+
+@query("SELECT event_id, file, line FROM (SELECT event_id, 'a' || user_id AS file, CAST(event_id % 9 AS INT) AS line FROM events UNION ALL SELECT event_id, 'b', 0 FROM events) WHERE file = 'b' OR line > 4")
+def J3_evidence_unnest(spark: SparkSession, sf: str) -> DataFrame:
+    rows = t(spark, sf, "events").select("event_id", F.expr(_EVENTS).alias("evidence"))
+    return R.unnested(rows, "evidence", "file string, line int").where("file = 'b' OR line > 4")
+
+
+@query(_sql("""SELECT y, p_partkey FROM (SELECT y, p_partkey, row_number() OVER (PARTITION BY y, split_part(f, '/', 1) ORDER BY f) AS turn, split_part(f, '/', 1) AS folder FROM p) QUALIFY row_number() OVER (PARTITION BY y ORDER BY turn, folder) <= 20""", y="p_type", f="CASE p_partkey % 5 WHEN 0 THEN 'src' WHEN 1 THEN 'app' ELSE 'lib' || p_size % 7 END || '/x/m_' || p_partkey || '.py'"))
+def W4_diverse_files(spark: SparkSession, sf: str) -> DataFrame:
+    p = _part(spark, sf, y="p_type", f="CASE p_partkey % 5 WHEN 0 THEN 'src' WHEN 1 THEN 'app' ELSE 'lib' || p_size % 7 END || '/x/m_' || p_partkey || '.py'")
+    return R.diverse_files(p, "f", ["y"]).select("y", "p_partkey")
+
+
+@query(_sql("""SELECT y, count(*) AS total, count(*) FILTER (WHERE ok) AS adoption, '// ' || count(*) || CASE WHEN count(*) = 1 THEN ' file ' ELSE ' files ' END || CASE WHEN bool_and(ok) THEN CASE WHEN count(*) = 1 THEN 'matches' ELSE 'match' END WHEN NOT bool_or(ok) THEN CASE WHEN count(*) = 1 THEN 'violates' ELSE 'violate' END ELSE 'reference' END || ' this convention'
+  || CASE WHEN bool_or(ok) AND NOT bool_and(ok) THEN ' (' || count(*) FILTER (WHERE ok) || ' follow / ' || count(*) FILTER (WHERE NOT ok) || ' violate)' ELSE '' END || CASE WHEN count(*) > 20 THEN ' (showing 20)' ELSE '' END || ':' AS head, CASE WHEN count(*) > 20 THEN '// ... and ' || (count(*) - 20) || ' more (truncated)' ELSE '' END AS foot FROM p GROUP BY 1""", y="p_brand", ok="p_size > 40"))
+def A5_composite_text(spark: SparkSession, sf: str) -> DataFrame:
+    p = _part(spark, sf, y="p_brand", f="'d' || p_size % 5 || '/m_' || p_partkey || '.py'", ok="p_size > 40")
+    text = R.composite(p, "f", "ok", ["y"])
+    return text.select("y", "total", "adoption", F.substring_index("text", "\n", 1).alias("head"), F.regexp_extract("text", "\n(// [.]{3} and .*)$", 1).alias("foot"))
+
+
+@query("SELECT l_suppkey, l_orderkey, l_linenumber, l_partkey FROM (SELECT * FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_suppkey, l_linenumber, l_quantity ORDER BY (l_returnflag = 'R')::INT DESC, l_orderkey, l_partkey) = 1) QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY (l_returnflag = 'R')::INT DESC, l_orderkey, l_partkey) <= 20")
+def A4_anchored_sample(spark: SparkSession, sf: str) -> DataFrame:
+    rows = t(spark, sf, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", (F.col("l_returnflag") == "R").alias("anchored"))
+    return R.anchored_sample(rows, ["l_suppkey"], "anchored", ["l_orderkey", "l_partkey"], ["l_linenumber", "l_quantity"]).select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey")
+
+
+@query("""WITH s AS (SELECT DISTINCT split_part(p_name, ' ', 2) AS name FROM part), c AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN replace(p_name, ' ', '::') WHEN 1 THEN replace(p_name, ' ', '.') WHEN 2 THEN split_part(p_name, ' ', 2) ELSE replace(p_name, ' ', '_') END AS callee FROM part)
+SELECT name, p_partkey FROM s JOIN c ON callee = name OR ends_with(callee, '::' || name) OR ends_with(callee, '.' || name)""")
+def J13_call_sites(spark: SparkSession, sf: str) -> DataFrame:
+    symbols = t(spark, sf, "part").select(F.expr("split_part(p_name, ' ', 2)").alias("name")).distinct()
+    calls = _part(spark, sf, callee="CASE p_partkey % 4 WHEN 0 THEN replace(p_name, ' ', '::') WHEN 1 THEN replace(p_name, ' ', '.') WHEN 2 THEN split_part(p_name, ' ', 2) ELSE replace(p_name, ' ', '_') END")
+    return R.matched_calls(symbols, calls, "name", "callee").select("name", "p_partkey")

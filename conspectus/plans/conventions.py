@@ -105,8 +105,8 @@ def query_code_pattern(files: DataFrame, query: str, kind: str | None = None, em
         near = S.vector_search(embeddings, "embedding", vector).select(F.col("item_name").alias("symbol_name"), F.col("file_path").alias("path"), F.col("item_kind").alias("kind"), F.lit(0).alias("line"), "score")
         found = R.best_of([found, near if kind is None else near.where(F.col("kind") == kind)], ["path", "symbol_name", "kind"], "score")
     found = R.ranked(found, ["path", "symbol_name", "kind"], [F.desc("score"), F.asc("line")]).drop("rank")
-    calls = files.select(F.col("path").alias("caller"), F.explode("function_calls").alias("c")).select("caller", F.regexp_extract("c.callee", r"([^:.]+)$", 1).alias("symbol_name"))
-    sites = calls.groupBy("symbol_name", "caller").agg(F.count("*").alias("n")).groupBy("symbol_name").agg(F.sum("n").alias("call_sites"))
+    calls = files.select(F.explode("function_calls").alias("c")).select("c.callee")
+    sites = R.matched_calls(found.select("symbol_name").distinct(), calls, "symbol_name", "callee").groupBy("symbol_name").agg(F.count("*").alias("call_sites"))
     users = symbol_imports(files).select(F.col("imported_name").alias("symbol_name"), "importer_file").distinct().groupBy("symbol_name").agg(F.sort_array(F.collect_set("importer_file")).alias("importers"))
     out = found.join(sites, "symbol_name", "left").join(users, "symbol_name", "left")
     own = F.filter(F.coalesce("importers", F.array().cast("array<string>")), lambda p: p != F.col("path"))

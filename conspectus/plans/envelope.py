@@ -48,6 +48,16 @@ def resolve_scope(mounts: list[str], scope: str | None = None, file_path: str |
     return ""
 
 
+def check_inputs(query: str | None = None, depth: int | None = None, path: str | None = None) -> None:
+    """what a query must not be: empty, deeper than ten steps or less than one, outside the project."""
+    if query is not None and not query.strip():
+        raise ValueError("a query needs some text")
+    if depth is not None and not 1 <= depth <= 10:
+        raise ValueError("depth must be 1 to 10")
+    if path is not None and (not path.strip() or path.startswith(("/", "\\")) or ".." in path.replace("\\", "/").split("/") or path[1:3] in (":\\", ":/")):
+        raise ValueError("paths are relative to the root")
+
+
 def log_calls(spark: SparkSession, calls: list[dict], path: str) -> None:
     """SK23, A22: appends one JSON line for each call, with the sizes of the lists in its answer."""
     rows = [(c["tool"], c.get("error"), json.dumps({k: len(v) for k, v in (c.get("data") or {}).items() if isinstance(v, list)}, sort_keys=True)) for c in calls]

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conspectus.operators import detectors
+from conspectus.operators import relational as R
 from conspectus.plans import conventions as C
 from conspectus.plans import plugins
 from conspectus.sources import changes, project
@@ -178,3 +179,19 @@ def test_plugins(spark, files):
     said = []
     plugins.Progress([lambda step, facts: said.append((step, facts))]).tell("parsed", files=3)
     assert said == [("parsed", {"files": 3})]
+
+
+def test_composite_text(spark):
+    rows = [("a", "x/p/one.py", True), ("a", "x/q/two.py", False), ("a", "x/q/__init__.py", True), ("b", "y/__init__.py", True), ("b", "z/__init__.py", True), ("c", "m.py", False)]
+    found = {r.g: r.text for r in R.composite(spark.createDataFrame(rows, "g string, path string, ok boolean"), "path", "ok", ["g"]).collect()}
+    assert found["a"] == "// 3 files reference this convention (2 follow / 1 violate) (showing 2 informative; 1 __init__.py markers omitted):\n//   x/p/one.py\n//   x/q/two.py   [non-conforming]"
+    assert found["b"].startswith("// 2 files match this convention (all are __init__.py markers):") and found["c"] == "// 1 file violates this convention:\n//   m.py   [non-conforming]"
+
+
+def test_input_checks():
+    from conspectus.plans.envelope import check_inputs
+
+    check_inputs("x", 3, "a/b.py")
+    for bad in ({"query": " "}, {"depth": 0}, {"depth": 11}, {"path": "/a"}, {"path": "a/../b"}, {"path": "C:/a"}, {"path": ""}):
+        with pytest.raises(ValueError):
+            check_inputs(**bad)
