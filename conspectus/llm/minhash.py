@@ -1,10 +1,10 @@
 """MinHash near-duplicate detection: universal hash minima, banding, verification, connected components.
 
 Texts with equal sets of shingles are one class, found by a hash of the set. Classes that agree in a band of minima meet
-in a bucket. In a first round each bucket links its members to its smallest id only. Pairs are checked by their
-full sets. Buckets that the components found so far still leave divided are compared in full
-in a second round, in blocks of BLOCK_ROWS by BLOCK_ROWS members, so that no bucket has to fit in a task and pairs that
-are connected anyway are not looked at. So no candidate is dropped, and no bucket's pairs are written out.
+in a bucket, whose smallest id is its pivot. Pairs are checked by their full sets, and only those that what is found so far
+leaves apart: first each class with the one pivot that it meets in most bands, then with its other pivots, and at last all
+members of buckets that are still divided, in blocks of BLOCK_ROWS by BLOCK_ROWS, so that no bucket has to fit in a task.
+So no candidate is dropped, no bucket's pairs are written out, and a large group of near copies costs about one pair each.
 Null and empty texts, and those without a word, have an empty set and are linked with nothing; rows that repeat an id
 share its links; rows without an id are linked with nothing.
 """
@@ -203,20 +203,27 @@ def near_components(items: DataFrame, b: Banding = DOCUMENTS) -> tuple[DataFrame
     classes = materialise(sized.groupBy("h1", "h2", "n").agg(F.min("id").alias("b"), F.max("id").alias("top")).where("b != top").select("h1", "h2", "n", "b"))
     copies = materialise(sized.select("id", "h1", "h2", "n").join(classes, ["h1", "h2", "n"]).where("id != b").select(F.col("id").alias("a"), "b").distinct())
     one = sized.join(if_small(copies.select(F.col("a").alias("id"))), "id", "left_anti")
-    # First round: each bucket's members with its smallest id.
+    # First round: each bucket's members with its smallest id; of the pivots of a member first that of most buckets.
     keyed = one.select("id", F.explode("keys").alias("key"))
     met = keyed.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("top")).where("pivot != top").select("key", "pivot")
     buckets = materialise(keyed.join(materialise(met), "key"))
-    star = materialise(buckets.where("id != pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct())
-    links = materialise(verify(star, items, b))
-    first = components(links)
+    star = materialise(buckets.where("id != pivot").groupBy(F.col("pivot").alias("a"), F.col("id").alias("b")).agg(F.count("*").alias("n")))
+    likely = materialise(star.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b"))
+    links = materialise(verify(likely, items, b))
+    first = materialise(components(links))
+    side = lambda k: first.select(F.col("id").alias(k), F.col("component").alias(f"of_{k}"))
+    apart = star.select("a", "b").join(likely, ["a", "b"], "left_anti").join(side("a"), "a", "left").join(side("b"), "b", "left")
+    apart = materialise(apart.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b"))
+    if apart.head(1):
+        links = materialise(links.unionAll(verify(apart, items, b)))
+        first = materialise(components(links))
     # Second round: what is still divided in a bucket.
     placed = buckets.join(first, "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
     divided = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo != hi AND m > 2").select("key", F.ceil(F.col("m") / BLOCK_ROWS).cast("int").alias("blocks"))
     rest = placed.join(divided, "key").join(one.select("id", "n", "sig", "keys"), "id")
     rest = rest.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rest = rest.select("key", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "id", "comp", "n", "sig", "keys")
-    more = materialise(_compare_blocks(rest, b).distinct().join(star, ["a", "b"], "left_anti"))
+    more = materialise(_compare_blocks(rest, b).distinct().join(star.select("a", "b"), ["a", "b"], "left_anti"))
     if more.head(1):
         links = links.unionAll(verify(more, items, b))
     return sig.select("id", "n"), components(links.unionAll(copies))
