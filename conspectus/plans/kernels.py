@@ -101,8 +101,9 @@ def A12_first_seen(spark: SparkSession, sf: str) -> DataFrame:
 FROM lineitem GROUP BY l_partkey, l_suppkey QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY count(*) DESC, l_suppkey) <= 5""")
 def A13_T7_call_site_agg(spark: SparkSession, sf: str) -> DataFrame:
     n = t(spark, sf, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.count("*").alias("site_count"), F.array_join(F.sort_array(F.collect_list("l_orderkey")), ",").alias("lines"))
-    n = n.withColumn("total", F.sum("site_count").over(Window.partitionBy("l_partkey")))
-    return R.ranked(n, ["l_partkey"], [F.desc("site_count"), F.asc("l_suppkey")], 5).drop("rank")
+    w = Window.partitionBy("l_partkey").orderBy(F.desc("site_count"), "l_suppkey")  # one sort for both
+    n = n.withColumn("total", F.sum("site_count").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    return n.withColumn("rank", F.row_number().over(w)).where("rank <= 5").drop("rank")
 
 
 @query("SELECT source, array_to_string(list_sort(list(DISTINCT lang)), ',') AS languages, count(*) AS file_count FROM documents GROUP BY 1")
