@@ -16,7 +16,7 @@ from ..operators import graph as G
 from ..operators import relational as R
 from ..session import shared_dir
 from ..sources.changes import enumerate_changes
-from ..sources.code import symbol_definitions, symbol_imports
+from ..sources.code import parse_files, symbol_definitions, symbol_imports
 from ..sources.project import markdown_sections, module_graph
 from ..sources.store import TableStore
 from ..streaming.watch import hot_tier
@@ -281,3 +281,60 @@ def SC17_J9_U6_changes_of_trees(spark: SparkSession, sf: str) -> DataFrame:
     index = head.where("path % 7 != 0").withColumn("oid", F.expr("CASE WHEN path % 5 = 0 THEN oid + 1 ELSE oid END"))
     disk = index.where("path % 11 != 0").withColumn("oid", F.expr("CASE WHEN path % 3 = 0 THEN oid + 2 ELSE oid END")).unionAll(spark.sql("SELECT -1L AS path, 5L AS oid"))
     return enumerate_changes(head, index, disk, head.where("path % 13 = 0")).select("path", "status")
+
+
+_IMPORTS = f""", g AS (SELECT f.path, f.language, line, kind, CASE WHEN kind = 0 THEN {MODULE.format(k='t')} ELSE {PACKAGE.format(k='k')} END AS module, CASE WHEN language <> 'python' AND kind = 0 THEN 2 ELSE 1 END AS grp FROM l JOIN f USING (k)),
+o AS (SELECT *, lag(grp) OVER w AS before, line - lag(line) OVER w AS gap FROM g WINDOW w AS (PARTITION BY path ORDER BY line, module)),
+i AS (SELECT path, language, count(*) AS n, count(DISTINCT grp) AS kinds, count(*) FILTER (WHERE grp < before) AS falls, count(*) FILTER (WHERE grp <> before AND gap <= 1) AS tight, count(*) FILTER (WHERE kind = 0) AS froms FROM o GROUP BY 1, 2)
+"""
+_ORGANIZED = """SELECT path, CASE WHEN falls > 0 THEN 'Imports not grouped in canonical order (stdlib → external → internal)' WHEN tight = 0 THEN 'Imports grouped in canonical order with blank-line separators' ELSE 'Imports ordered by group but without blank-line separators' END AS description, falls = 0 AS follows FROM i WHERE n >= 2 AND kinds >= 2
+UNION ALL SELECT path, 'Python import style: ' || CASE WHEN froms = n THEN 'exclusively from-import' WHEN froms = 0 THEN 'exclusively bare import' WHEN froms * 2 >= n THEN 'prefers from-import' ELSE 'prefers import' END, TRUE FROM i WHERE language = 'python' AND n >= 2
+UNION ALL SELECT path, 'Internal import style: prefers direct file imports', TRUE FROM i WHERE language IN ('typescript', 'javascript') AND froms >= 2"""
+_ERRORS = f"SELECT path, CASE WHEN language = 'python' THEN 'Custom exception hierarchy (Python)' ELSE 'Custom error classes (' || {_DISPLAY} || ')' END AS description, TRUE AS follows FROM f WHERE s % 5 = 0 AND language <> 'rust'"
+_EXPORTS = f"SELECT path, CASE WHEN language = 'rust' THEN 'pub visibility pattern (Rust)' ELSE 'Uses named exports exclusively (' || {_DISPLAY} || ')' END AS description, TRUE AS follows FROM f WHERE s % 2 = 0 AND language <> 'python'"
+_FOLDERS = "SELECT path, 'By-feature directory organization (domain-specific directories)' AS description, TRUE AS follows FROM f WHERE language = 'rust' UNION ALL SELECT path, 'Uses ''src/'' directory convention', TRUE FROM f WHERE language = 'rust'"
+_USAGE = f"SELECT path, 'Canonical ' || domain || ' library: ' || name AS description, TRUE AS follows FROM (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY path, domain ORDER BY n DESC, name) = 1) UNION ALL SELECT DISTINCT path, 'Likely ' || {_GUESS} || ' library (heuristic): ' || name, TRUE FROM d WHERE {_GUESS} IS NOT NULL"
+_ALL = (
+    SQL + _IMPORTS + f", c AS (SELECT path, {_DOMAIN} AS domain, name, count(*) AS n FROM d WHERE {_DOMAIN} IS NOT NULL GROUP BY ALL)\n"
+    + ", a AS (" + " UNION ALL ".join(f"SELECT '{name}' AS detector, path, description, follows FROM ({sql})" for name, sql in (("import_organization", _ORGANIZED), ("error_handling", _ERRORS), ("export_patterns", _EXPORTS), ("file_structure", _FOLDERS), ("naming_conventions", _NAMING), ("dependency_usage", _USAGE))) + ")\n"
+)
+
+
+@query(SQL + _IMPORTS + _ORGANIZED)
+def D5_W6_W7_import_organization_of_all(spark: SparkSession, sf: str) -> DataFrame:
+    return detectors.import_organization(files(spark, sf)).select("path", "description", "follows")
+
+
+@query(SQL + _ERRORS)
+def D2_error_handling_of_all(spark: SparkSession, sf: str) -> DataFrame:
+    return detectors.error_handling(files(spark, sf)).select("path", "description", "follows")
+
+
+@query(SQL + _EXPORTS)
+def D3_export_patterns_of_all(spark: SparkSession, sf: str) -> DataFrame:
+    return detectors.export_patterns(files(spark, sf)).select("path", "description", "follows")
+
+
+@query(_ALL + "SELECT * FROM a")
+def D0_F17_findings_of_all(spark: SparkSession, sf: str) -> DataFrame:
+    return detectors.detect(files(spark, sf)).select("detector", "path", "description", "follows")
+
+
+@query(_ALL + "SELECT detector, description, count(*) AS total_count, count(*) FILTER (WHERE follows) AS adoption_count, round(count(*) FILTER (WHERE follows) / count(*), 6) AS confidence FROM a GROUP BY 1, 2")
+def D0_A1_conventions_of_all(spark: SparkSession, sf: str) -> DataFrame:
+    return C.aggregate(G.keep(detectors.detect(files(spark, sf)))).select("detector", "description", "total_count", "adoption_count", "confidence")
+
+
+_SOURCE = """CASE s % 4 WHEN 0 THEN 'use std::fmt;' || chr(10) || 'use serde::Serialize;' || chr(10) || 'pub struct ' || n || ' {' || chr(10) || '}' || chr(10) || 'fn load_' || lower(n) || '(id: u64) -> u64 {' || chr(10) || '    find(id)' || chr(10) || '}' || chr(10)
+WHEN 1 THEN 'import os' || chr(10) || 'from requests import get, post' || chr(10) || 'class ' || n || ':' || chr(10) || '    def load(self, item):' || chr(10) || '        return get(item)' || chr(10)
+WHEN 2 THEN 'import axios from "axios";' || chr(10) || 'export interface ' || n || ' {' || chr(10) || '}' || chr(10) || 'export async function load(id: number) {' || chr(10) || '  return axios.get(id);' || chr(10) || '}' || chr(10)
+ELSE 'const { sum } = require("lodash");' || chr(10) || 'class ' || n || ' {' || chr(10) || '}' || chr(10) || 'module.exports = { sum };' || chr(10) END"""
+
+
+@query("WITH p AS (SELECT p_partkey, p_partkey % 4 AS s, upper(split_part(p_name, ' ', 2)[1]) || split_part(p_name, ' ', 2)[2:] AS n FROM part) SELECT 'm' || p_partkey || CASE s WHEN 0 THEN '.rs' WHEN 1 THEN '.py' WHEN 2 THEN '.ts' ELSE '.js' END AS path, CASE s WHEN 0 THEN 2 WHEN 1 THEN 2 ELSE 1 END AS n_imports, CASE s WHEN 3 THEN 0 ELSE 1 END AS n_functions, n AS type, CASE s WHEN 0 THEN 'struct' WHEN 2 THEN 'interface' ELSE 'class' END AS kind, CASE s WHEN 0 THEN 'serde' WHEN 1 THEN 'requests' WHEN 2 THEN 'axios' ELSE 'lodash' END AS packages, CASE s WHEN 0 THEN 'load_' || lower(n) WHEN 3 THEN '' ELSE 'load' END AS function, CASE s WHEN 0 THEN 'id' WHEN 1 THEN 'item' WHEN 2 THEN 'id' ELSE '' END AS parameters FROM p")
+def SC3_SC5_SC8_parsed_sources(spark: SparkSession, sf: str) -> DataFrame:
+    p = t(spark, sf, "part").select("p_partkey", (F.col("p_partkey") % 4).alias("s"), F.expr("initcap(split_part(p_name, ' ', 2))").alias("n"))
+    sources = p.select(F.expr("'m' || p_partkey || CASE s WHEN 0 THEN '.rs' WHEN 1 THEN '.py' WHEN 2 THEN '.ts' ELSE '.js' END").alias("path"), F.expr(_SOURCE).alias("content"))
+    row = parse_files(sources, local_packages=("os",))
+    first = lambda c, field: F.coalesce(F.get(F.col(c), F.lit(0))[field], F.lit(""))
+    return row.select("path", F.size("imports").alias("n_imports"), F.size("functions").alias("n_functions"), first("types", "name").alias("type"), first("types", "kind").alias("kind"), F.array_join(F.transform("dependencies_used", lambda x: x["package"]), ",").alias("packages"), first("functions", "name").alias("function"), F.array_join(F.coalesce(F.get("functions", F.lit(0))["parameters"], F.array().cast("array<string>")), ",").alias("parameters"))

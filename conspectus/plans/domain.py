@@ -1,14 +1,11 @@
-"""Queries of the domain layer over the sample project and the driver's documents; their results are tested with known answers."""
+"""The query of the domain layer that the code base of the tables has no SQL for, over the sample project; its results are tested with known answers."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import graph
-from ..operators.detectors import detect
-from ..sources.code import parse_files, symbol_definitions, symbol_imports
-from ..sources.project import module_graph
+from ..sources.code import parse_files
 from . import conventions as C
 from .sample import FILES
 
@@ -17,47 +14,6 @@ def _files(spark: SparkSession) -> DataFrame:
     return parse_files(spark.createDataFrame(sorted(FILES.items()), "path string, content string"))
 
 
-def SC3_parse_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _files(spark).select("path", "language", "content_hash", F.size("imports").alias("n_imports"), F.size("functions").alias("n_functions"), F.size("types").alias("n_types"), F.size("exports").alias("n_exports"), F.size("function_calls").alias("n_calls"))
-
-
-def SK17_symbol_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return symbol_definitions(_files(spark))
-
-
-def SK17_symbol_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return symbol_imports(_files(spark))
-
-
-def D0_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detect(_files(spark))
-
-
-def D0_convention_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.aggregate(graph.keep(detect(_files(spark)))).drop("evidence")
-
-
-def J7_resolve_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.resolve_imports(_files(spark))
-
-
-def A19_module_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = _files(spark)
-    return module_graph(files, C.resolve_imports(files))[1]
-
-
-def Q_GOLD_golden_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.golden_files(detect(_files(spark)))
-
-
-def Q_DEP_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.query_dependencies(_files(spark), "py/app/models.py")["transitive"]
-
-
-def Q_PAT_code_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.query_code_pattern(_files(spark), "order item").withColumn("dependent_files", F.array_join("dependent_files", ","))
-
-
 def Q_DIFF_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
     hunks = spark.createDataFrame([("py/app/models.py", 13, 15), ("src/errors.rs", 5, 9)], "path string, new_start int, new_end int")
     return C.diff_impact(_files(spark), hunks).withColumn("dependents", F.array_join("dependents", ","))
