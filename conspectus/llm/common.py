@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import own_folder, ship_package
+from ..session import shared_dir, ship_package
 
 #: Rows that Spark hands to a Python worker at once; with texts of some KB a batch stays at a few MB.
 BATCH_ROWS = 256
@@ -30,19 +30,6 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; in one JVM (tests), where it is unset, one of our own."""
-    sc = spark.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir", None)
-    if not root:
-        held = sc._jsc.sc().getCheckpointDir()
-        if held.isDefined():
-            return held.get()
-        root = own_folder(sc)
-        sc.setCheckpointDir(root)
-    return root
-
-
 def materialise(df: DataFrame) -> DataFrame:
     """Cuts the lineage: df is computed once and kept in the shared folder, where a lost executor takes nothing with it."""
     shared_dir(df.sparkSession)

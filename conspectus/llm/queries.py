@@ -14,7 +14,7 @@ from .language_id import language_id
 from .licenses import oracle as _license_sql
 from .licenses import scan_licenses
 from .merkle import edited_fingerprints
-from .minhash import near_duplicates
+from .minhash import DOCUMENTS, near_duplicates
 from .substring_dedup import passage_clusters, repeated_passages
 from .token_files import token_files
 from .url_filter import RULES, SOFT, STRICT, THIRDS, filter_urls
@@ -83,9 +83,23 @@ SELECT page_id, host, path, {case(0)} AS rule,
 FROM split"""
 
 
+def _copies_sql() -> str:
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return f"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{upper}', '{lower}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS same FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * same >= {DOCUMENTS.at} * (x.n + y.n - same)),
+e2 AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+c(id, root) AS (SELECT a, a FROM e2 UNION SELECT e2.b, c.root FROM c JOIN e2 ON e2.a = c.id WHERE c.root < e2.b)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(least(m.root, d.doc_id), d.doc_id) AS component_id, coalesce(least(m.root, d.doc_id), d.doc_id) = d.doc_id AS kept
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN (SELECT id, min(root) AS root FROM c GROUP BY 1) m ON m.id = d.doc_id"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": _license_sql(), "op9_url_filter": _url_sql()}
+    return {"op1_license_scan": _license_sql(), "op2_minhash_dedup": _copies_sql(), "op9_url_filter": _url_sql()}
