@@ -194,6 +194,11 @@ def _compare_blocks(rest: DataFrame, b: Banding) -> DataFrame:
     return dealt.mapInArrow(run, "a bigint, b bigint")
 
 
+def _placed(buckets: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows (key, pivot, id, comp) of the buckets' members with the components found so far."""
+    return buckets.join(if_small(found), "id", "left").select("key", "pivot", "id", F.coalesce("component", "id").alias("comp"))
+
+
 def near_components(items: DataFrame, b: Banding = DOCUMENTS) -> tuple[DataFrame, DataFrame]:
     """(Rows (id, n) of all items (id bigint, text string); rows (id, component) of those that are linked with others)."""
     sig = materialise(signatures(items, b))
@@ -211,14 +216,15 @@ def near_components(items: DataFrame, b: Banding = DOCUMENTS) -> tuple[DataFrame
     likely = materialise(star.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b"))
     links = materialise(verify(likely, items, b))
     first = materialise(components(links))
-    side = lambda k: first.select(F.col("id").alias(k), F.col("component").alias(f"of_{k}"))
-    apart = star.select("a", "b").join(likely, ["a", "b"], "left_anti").join(side("a"), "a", "left").join(side("b"), "b", "left")
-    apart = materialise(apart.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b"))
+    placed = _placed(buckets, first)
+    strays = placed.groupBy("key").agg(F.min_by("comp", "id").alias("of_pivot"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("key", "of_pivot")
+    strays = placed.join(materialise(strays), "key").where("comp != of_pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
+    apart = materialise(strays.join(likely, ["a", "b"], "left_anti"))
     if apart.head(1):
         links = materialise(links.unionAll(verify(apart, items, b)))
         first = materialise(components(links))
+        placed = _placed(buckets, first)
     # Second round: what is still divided in a bucket.
-    placed = buckets.join(first, "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
     divided = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo != hi AND m > 2").select("key", F.ceil(F.col("m") / BLOCK_ROWS).cast("int").alias("blocks"))
     rest = placed.join(divided, "key").join(one.select("id", "n", "sig", "keys"), "id")
     rest = rest.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
