@@ -176,6 +176,17 @@ def test_plugins(spark, files):
     row = spark.createDataFrame([("web-programming::x", "ORM")], "c string, k string").select(plugins.category_domain(F.col("c")), plugins.keyword_domain(F.col("k"))).first()
     assert tuple(row) == ("web framework", "database")
     assert plugins.parse_metadata("pypi", '{"info": {"name": "x", "keywords": "a, b"}}')["keywords"] == ["a", "b"] and plugins.parse_metadata("npm", "no") == {}
+    def parse_lines(row, content):
+        row["functions"] = [{"name": x, "is_public": True, "is_async": False, "line": k + 1, "end_line": k + 1, "parameters": [], "doc_comment": None} for k, x in enumerate(content.split())]
+
+    from conspectus.sources import code
+
+    plugins.register_parser("lst", "list", parse_lines)
+    try:
+        row = parse_files(spark.createDataFrame([("a.lst", "x\ny")], "path string, content string")).first()
+        assert row.language == "list" and [f.name for f in row.functions] == ["x", "y"]
+    finally:
+        del code.LANGUAGES["lst"], code.PARSERS["list"]
     said = []
     plugins.Progress([lambda step, facts: said.append((step, facts))]).tell("parsed", files=3)
     assert said == [("parsed", {"files": 3})]
