@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import centroids, filter_audit, grid_join
 from .bpe import encode_bpe
 from .common import table
 from .decontaminate import find_leaks
@@ -60,6 +61,18 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op13_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid_join.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def _url_sql() -> str:
     rules = sorted(RULES, key=lambda r: -len(r[0]))
 
@@ -102,4 +115,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": _license_sql(), "op2_minhash_dedup": _copies_sql(), "op9_url_filter": _url_sql()}
+    return {
+        "op1_license_scan": _license_sql(),
+        "op2_minhash_dedup": _copies_sql(),
+        "op9_url_filter": _url_sql(),
+        "op11_filter_audit": filter_audit.oracle(),
+        "op12_centroid_clustering": centroids.oracle(),
+        "op13_embedding_dedup": grid_join.oracle(),
+    }
