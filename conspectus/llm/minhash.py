@@ -3,8 +3,10 @@
 Texts with equal sets of shingles are one class, found by a hash of the set. Classes that agree in a band of minima meet
 in a bucket, whose smallest id is its pivot. Pairs are checked by their full sets, and only those that what is found so far
 leaves apart: first each class with the one pivot that it meets in most bands, then with its other pivots, and at last all
-members of buckets that are still divided, in blocks of BLOCK_ROWS by BLOCK_ROWS, so that no bucket has to fit in a task.
-So no candidate is dropped, no bucket's pairs are written out, and a large group of near copies costs about one pair each.
+members of buckets that are still divided. A pivot's set goes once to each CHUNK of its members. Divided buckets meet in
+pairs of blocks, to which every member's full set goes once, so that no bucket has to fit in a task; there each two members
+of different components are compared exactly, and only links that join components are written. So no candidate is dropped,
+no pairs are written out, and a large group of near copies costs about one comparison each.
 Null and empty texts, and those without a word, have an empty set and are linked with nothing; rows that repeat an id
 share its links; rows without an id are linked with nothing.
 """
@@ -23,19 +25,23 @@ from pyspark.sql import functions as F
 from .common import if_small, materialise, mix, row_slices, shingles_of, small_batches, space_table, text_buffer, words_of
 from .components import components
 
-BLOCK_ROWS = 256
+#: Members of a block; buckets of more than BLOCKS such blocks have larger ones, up to MOST_ROWS.
+BLOCK_ROWS, BLOCKS, MOST_ROWS = 256, 32, 2048
+#: So many shingles count as one member more, so that a block's sets are bounded too.
+WEIGHT = 4096
+#: Members that are compared with their pivot in one go.
+CHUNK = 64
 
 
 @dataclass(frozen=True)
 class Banding:
-    """`bands` bands of `rows` minima; a pair counts from the Jaccard index at / of on. slack: how far the signatures' estimate may be below it in the second round."""
+    """`bands` bands of `rows` minima; a pair counts from the Jaccard index at / of on."""
 
     rows: int = 7
     bands: int = 36
     at: int = 85
     of: int = 100
     shingle: int = 5
-    slack: float = 0.15
 
     @property
     def minima(self) -> int:
@@ -90,7 +96,7 @@ def signatures_of(x: np.ndarray, bounds: np.ndarray, b: Banding, constants: tupl
 
 
 def signatures(items: DataFrame, b: Banding) -> DataFrame:
-    """Rows (id, n, h1, h2, sig, keys) of items (id, text): size and hash of the set, signature (low halves of the minima), bands' keys."""
+    """Rows (id, n, h1, h2, keys) of items (id, text): size and hash of the set, bands' keys."""
     small_batches(items.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,7 +108,6 @@ def signatures(items: DataFrame, b: Banding) -> DataFrame:
                 n = np.diff(bounds)
                 full = np.flatnonzero(n)
                 h = np.zeros((2, j - i), np.uint64)
-                sig: list = [None] * (j - i)
                 keys: list = [None] * (j - i)
                 if len(full):
                     starts = bounds[:-1][full]
@@ -111,12 +116,11 @@ def signatures(items: DataFrame, b: Banding) -> DataFrame:
                     s = signatures_of(x, bounds, b, constants)
                     band = (s.astype(np.uint64) * constants[2]).reshape(len(full), b.bands, b.rows).sum(axis=2)
                     band = mix(band + np.arange(1, b.bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
-                    low = s.astype(np.uint16)
                     for k, at in enumerate(full.tolist()):
-                        sig[at], keys[at] = low[k].tobytes(), band[k]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n), pa.array(h[0].view(np.int64)), pa.array(h[1].view(np.int64)), pa.array(sig, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["id", "n", "h1", "h2", "sig", "keys"])
+                        keys[at] = band[k]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n), pa.array(h[0].view(np.int64)), pa.array(h[1].view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], ["id", "n", "h1", "h2", "keys"])
 
-    return items.mapInArrow(run, "id bigint, n bigint, h1 bigint, h2 bigint, sig binary, keys array<bigint>")
+    return items.mapInArrow(run, "id bigint, n bigint, h1 bigint, h2 bigint, keys array<bigint>")
 
 
 def _full_sets(items: DataFrame, b: Banding) -> DataFrame:
@@ -134,49 +138,76 @@ def _full_sets(items: DataFrame, b: Banding) -> DataFrame:
 
 
 def verify(pairs: DataFrame, items: DataFrame, b: Banding) -> DataFrame:
-    """Those of the pairs (a, b; materialised) whose full sets reach the similarity."""
+    """Those of the pairs (a, b; materialised) whose full sets reach the similarity. a's set goes once to each chunk of its partners."""
     ids = materialise(pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).distinct())
+    many = materialise(pairs.groupBy("a").agg(F.count("*").alias("m")).where(F.col("m") > CHUNK))
     small_batches(items.sparkSession)
     full = _full_sets(items.join(if_small(ids), "id", "left_semi"), b)
     small_batches(items.sparkSession, 64)
-    side = lambda k: full.select(F.col("id").alias(k), F.col("full").alias(f"full_{k}"))
-    joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "full_a", "full_b")
+    dealt = pairs.join(if_small(many), "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce(F.ceil(F.col("m") / CHUNK), F.lit(1))).alias("chunk"))
+    others = dealt.join(full.withColumnRenamed("id", "b"), "b").select("a", "chunk", "b", "full")
+    own = dealt.select("a", "chunk").distinct().join(full.withColumnRenamed("id", "a"), "a").select("a", "chunk", F.lit(None).cast("bigint").alias("b"), "full")
+    rows = own.unionAll(others).repartition("a", "chunk").sortWithinPartitions("a", "chunk", F.col("b").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = np.zeros(0, np.uint64)
         for batch in batches:
             keep = []
             for k in range(batch.num_rows):
-                p, q = (np.frombuffer(batch.column(c)[k].as_buffer(), np.uint64) for c in (2, 3))
+                q = np.frombuffer(batch.column(3)[k].as_buffer(), np.uint64)
+                if not batch.column(2)[k].is_valid:
+                    p = q.copy()
+                    keep.append(False)
+                    continue
                 if b.of * min(len(p), len(q)) < b.at * max(len(p), len(q), 1):
                     keep.append(False)
                     continue
                 both = np.sort(np.concatenate([p, q]))
                 same = int(np.count_nonzero(both[1:] == both[:-1]))
                 keep.append(b.of * same >= b.at * (len(both) - same))
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep, pa.bool_())) for c in (0, 1)], ["a", "b"])
-
-    return joined.mapInArrow(run, "a bigint, b bigint")
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep, pa.bool_())) for c in (0, 2)], ["a", "b"])
+
+    return rows.mapInArrow(run, "a bigint, b bigint")
+
+
+def links_of(rows: list[tuple], across: bool, b: Banding) -> Iterator[tuple[int, int]]:
+    """Links (a, b) that join components among rows (block, id, comp, pivot, keys, full set) that share a key, exact; across: of different blocks alone.
+
+    Two that share several keys are compared under the first of them alone, and a pivot with none (it has been).
+    """
+    key = rows[0][0][0]
+    own, ids, comp, pivot = (np.array([r[k] for r in rows]) for k in (1, 2, 3, 4))
+    keys, sets = np.array([r[5] for r in rows]), [np.frombuffer(r[6], np.uint64) for r in rows]
+    n = np.array([len(x) for x in sets])
+    ends = np.cumsum(n)
+    starts = ends - n
+    # Each shingle by its number: a set is marked in `held`, and looking up all others' shingles counts what they share.
+    values, number = np.unique(np.concatenate(sets), return_inverse=True)
+    held = np.zeros(len(values), bool)
+    for k in np.flatnonzero(ids != pivot).tolist():
+        may = (comp != comp[k]) & (ids > ids[k]) & (ids != pivot) & (np.minimum(n, n[k]) * b.of >= np.maximum(n, n[k]) * b.at)
+        if across:
+            may &= own != own[k]
+        may = np.flatnonzero(may)
+        if len(may):
+            may = may[keys[k][(keys[may] == keys[k]).argmax(axis=1)] == key]
+        if not len(may):
+            continue
+        mine = number[starts[k] : ends[k]]
+        held[mine] = True
+        if 4 * n[may].sum() > len(number):
+            same = np.add.reduceat(held[number], starts, dtype=np.int64)[may]
+        else:
+            same = np.array([np.count_nonzero(held[number[starts[q] : ends[q]]]) for q in may.tolist()])
+        held[mine] = False
+        for q in may[b.of * same >= b.at * (n[k] + n[may] - same)].tolist():
+            if comp[q] != comp[k]:
+                yield int(ids[k]), int(ids[q])
+                comp[comp == comp[q]] = comp[k]
 
 
 def _compare_blocks(rest: DataFrame, b: Banding) -> DataFrame:
-    """Pairs (a, b) of rest (key, i, j, block, id, comp, n, sig, keys) of different components whose sizes and signatures allow the similarity."""
-    least = (b.at / b.of - b.slack) * b.minima
-
-    def pairs(rows: list[tuple]) -> Iterator[tuple[int, int]]:
-        own, ids, comp, n = (np.array([r[k] for r in rows]) for k in (1, 2, 3, 4))
-        sig = np.frombuffer(b"".join(r[5] for r in rows), np.uint16).reshape(len(rows), b.minima)
-        keys = np.array([r[6] for r in rows])
-        key, i, j = rows[0][0]
-        for k in range(len(rows)):
-            may = (comp != comp[k]) & (ids > ids[k]) & (np.minimum(n, n[k]) * b.of >= np.maximum(n, n[k]) * b.at)
-            if i != j:
-                may &= own != own[k]
-            may = np.flatnonzero(may)
-            if len(may):
-                may = may[np.count_nonzero(sig[may] == sig[k], axis=1) >= least]
-                met = keys[may] == keys[k]  # a pair that meets in several bands is written in the first of them
-                for q in may[keys[k][met.argmax(axis=1)] == key].tolist():
-                    yield int(ids[k]), int(ids[q])
+    """Links (a, b) between different components in pairs of blocks of rest (key, i, j, block, id, comp, pivot, keys, full)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
@@ -185,12 +216,12 @@ def _compare_blocks(rest: DataFrame, b: Banding) -> DataFrame:
                 for key, i, j, *others in zip(*c, strict=True):
                     yield (key, i, j), *others
 
-        for _, group in groupby(rows(), key=lambda r: r[0]):
-            found = list(pairs(list(group)))
+        for (_, i, j), group in groupby(rows(), key=lambda r: r[0]):
+            found = list(links_of(list(group), i != j, b))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    dealt = rest.select("key", "i", "j", "block", "id", "comp", "n", "sig", "keys").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    dealt = rest.select("key", "i", "j", "block", "id", "comp", "pivot", "keys", "full").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     return dealt.mapInArrow(run, "a bigint, b bigint")
 
 
@@ -224,14 +255,19 @@ def near_components(items: DataFrame, b: Banding = DOCUMENTS) -> tuple[DataFrame
         links = materialise(links.unionAll(verify(apart, items, b)))
         first = materialise(components(links))
         placed = _placed(buckets, first)
-    # Second round: what is still divided in a bucket.
-    divided = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo != hi AND m > 2").select("key", F.ceil(F.col("m") / BLOCK_ROWS).cast("int").alias("blocks"))
-    rest = placed.join(divided, "key").join(one.select("id", "n", "sig", "keys"), "id")
-    rest = rest.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rest = rest.select("key", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "id", "comp", "n", "sig", "keys")
-    more = materialise(_compare_blocks(rest, b).distinct().join(star.select("a", "b"), ["a", "b"], "left_anti"))
-    if more.head(1):
-        links = links.unionAll(verify(more, items, b))
+    # Second round: what is still divided in a bucket. Blocks are counted by members and their shingles.
+    weighed = placed.join(one.select("id", "n", "keys"), "id").withColumn("w", F.lit(1) + F.floor(F.col("n") / WEIGHT))
+    size = F.greatest(F.lit(BLOCK_ROWS), F.least(F.lit(MOST_ROWS), F.ceil(F.col("m") / BLOCKS)))
+    divided = weighed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m"), F.sum("w").alias("w")).where("lo != hi AND m > 2")
+    divided = materialise(divided.select("key", F.ceil(F.col("w") / size).cast("int").alias("blocks")))
+    if divided.head(1):
+        rest = materialise(weighed.join(if_small(divided), "key").select("key", "pivot", "id", "comp", "keys", "blocks"))
+        small_batches(items.sparkSession)
+        full = _full_sets(items.join(if_small(materialise(rest.select("id").distinct())), "id", "left_semi"), b)
+        small_batches(items.sparkSession, 64)
+        rest = rest.join(full, "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        rest = rest.select("key", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "id", "comp", "pivot", "keys", "full")
+        links = links.unionAll(materialise(_compare_blocks(rest, b)))
     return sig.select("id", "n"), components(links.unionAll(copies))
 
 
