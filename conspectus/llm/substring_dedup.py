@@ -5,8 +5,11 @@ changes are in place, have a run of SEED equal words, so a paragraph's bands are
 each run of SEED words in it, and such paragraphs always meet, wherever they stand in their lines. Neighbouring runs
 mostly share their minimum, which is written once: a dozen rows for a hundred words. In a bucket of up to FEW occurrences
 each is joined to all others; in a larger one to the first (smallest document, then position), and all words around its
-occurrences are joined by the hashes of their exact paragraphs. Occurrences of two documents are
-verified together on the full word sequences: runs of equal words are followed across gaps of at most GAP words on
+occurrences are joined by the hashes of their exact paragraphs. Keys that then still have occurrences in no passage are
+refined: each occurrence meets those that share, besides the key, a shingle that an equal run beyond an edit could begin or end
+with, by the same rule of FEW or the first. Occurrences of two documents are
+verified together on the full word sequences, a holder's words going once to each CHUNK of documents: runs of equal words
+are followed across gaps of at most GAP words on
 either side, so over inserted and deleted words too, and of each chain the longest stretches count whose shingles have
 the Jaccard index 0.8 or more, of WORDS words at least, from their first to their last SHINGLE equal words. Documents
 that share one form components.
@@ -40,6 +43,8 @@ AT, OF = 80, 100
 BAND = 10
 #: Shingles of a text whose places are told apart by the low bits of their hashes; longer texts are taken in overlapping parts.
 PART = 1 << 22
+#: Documents that are compared with one holder's words in one go.
+CHUNK = 64
 #: Words of a diagonal that are compared at once around a place where two documents meet.
 CELL = 512
 
@@ -160,6 +165,32 @@ def _paragraphs(items: DataFrame, around: DataFrame) -> DataFrame:
     return items.join(around, "id").select("id", "text", "places").mapInArrow(run, "key bigint, id bigint, at bigint")
 
 
+#: Where, from a key's place, the shingles stand that end the equal run before or begin the one after the run of under WORDS words that holds the key.
+BESIDE = np.concatenate([np.arange(BAND - WORDS - GAP - SHINGLE + 1, 1 - SHINGLE), np.arange(BAND, WORDS + GAP)])
+
+
+def _refined(items: DataFrame, around: DataFrame, most: int = 4096) -> DataFrame:
+    """Rows (key, id, at) of items (id, text): the keys of around (id, places: at, key), each with each shingle beside it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, offs = text_buffer(batch.column(1))
+            for k in range(batch.num_rows):
+                h, row, _, _ = words_of(raw[offs[k] : offs[k + 1]], np.array([0, offs[k + 1] - offs[k]]), space_table())
+                x, _ = shingles_of(h, row, 1, SHINGLE)
+                places = batch.column(2)[k].values
+                ats, keys = places.field(0).to_numpy(), places.field(1).to_numpy()
+                for i in range(0, len(ats), most):
+                    at, key = ats[i : i + most, None], keys[i : i + most, None].view(np.uint64)
+                    beside = at + BESIDE
+                    ok = (beside >= 0) & (beside < len(x))
+                    new = mix(key + mix(x[np.where(ok, beside, 0)]))[ok].view(np.int64)
+                    at = np.broadcast_to(at, ok.shape)[ok]
+                    yield pa.RecordBatch.from_arrays([pa.array(new), pa.array(np.full(len(new), batch.column(0)[k].as_py(), np.int64)), pa.array(at, pa.int64())], ["key", "id", "at"])
+
+    return items.join(around, "id").select("id", "text", "places").mapInArrow(run, "key bigint, id bigint, at bigint").distinct()
+
+
 def digest(words: np.ndarray) -> int:
     """Of a run of words' hashes, in order."""
     at = np.arange(1, len(words) + 1, dtype=np.uint64) << np.uint64(32)
@@ -303,6 +334,44 @@ def shared_passages(a: np.ndarray, b: np.ndarray, places: list[tuple[int, int]],
     return sorted(found)
 
 
+def _verified(pairs: DataFrame, items: DataFrame) -> DataFrame:
+    """Passages (id, start_word, n_words, kept_doc_id, kept_start_word, digest) of pairs (id, other, places; materialised); other's words go once to each chunk of ids."""
+    spark = items.sparkSession
+    small_batches(spark)
+    ids = materialise(pairs.select("id").unionAll(pairs.select("other")).distinct())
+    many = materialise(pairs.groupBy("other").agg(F.count("*").alias("m")).where(F.col("m") > CHUNK))
+    words = _word_hashes(items.join(if_small(ids), "id", "left_semi"))
+    small_batches(spark, 64)
+    dealt = pairs.join(if_small(many), "other", "left").withColumn("chunk", F.pmod(F.xxhash64("id"), F.coalesce(F.ceil(F.col("m") / CHUNK), F.lit(1))))
+    own = dealt.join(words, "id").select("other", "chunk", "id", "places", "words")
+    held = dealt.select("other", "chunk").distinct().join(words.withColumnRenamed("id", "other"), "other")
+    held = held.select("other", "chunk", F.lit(None).cast("bigint").alias("id"), F.lit(None).cast(pairs.schema["places"].dataType).alias("places"), "words")
+    rows = held.unionAll(own).repartition("other", "chunk").sortWithinPartitions("other", "chunk", F.col("id").asc_nulls_first())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # The first row of an id in a chunk may be one of several that repeat it; a holder's may be too, and then all of them are held.
+        b: list[np.ndarray] = []
+        holder = None
+        for batch in batches:
+            found = []
+            for k in range(batch.num_rows):
+                a = np.frombuffer(batch.column(4)[k].as_buffer(), np.uint32)
+                if not batch.column(2)[k].is_valid:
+                    at = (batch.column(0)[k].as_py(), batch.column(1)[k].as_py())
+                    b, holder = ([*b, a.copy()] if at == holder else [a.copy()]), at
+                    continue
+                places = batch.column(3)[k].values
+                places = list(zip(places.field(0).to_pylist(), places.field(1).to_pylist(), strict=True))
+                found += [(k, s, e - s, at, digest(a[s:e])) for x in b for s, e, at in shared_passages(a, x, places)]
+            own, *others = zip(*found, strict=True) if found else ((), (), (), (), ())
+            take, (start, n, at, words) = pa.array(own, pa.int64()), [pa.array(c, pa.int64()) for c in others]
+            yield pa.RecordBatch.from_arrays([batch.column(2).take(take), start, n, batch.column(0).take(take), at, words], ["id", "start_word", "n_words", "kept_doc_id", "kept_start_word", "digest"])
+
+    passages = materialise(rows.mapInArrow(run, "id bigint, start_word bigint, n_words bigint, kept_doc_id bigint, kept_start_word bigint, digest bigint").distinct())
+    small_batches(spark)
+    return passages
+
+
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, start_word, n_words, kept_doc_id, kept_start_word, digest): a passage of the document that an earlier document holds, and a hash of its words.
 
@@ -314,34 +383,35 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     nodes = Nodes(items)
     meeting = lambda df: df.select(nodes.id("node").alias("id"), nodes.id("pivot").alias("other"), (nodes.at("node") - nodes.at("pivot")).alias("shift"), F.floor(nodes.at("node") / CELL).alias("cell")).where("id != other")
     held = lambda df: materialise(df.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("top"), F.count("*").alias("m")).where(nodes.id("pivot") != nodes.id("top")).select("key", "pivot", "m"))
+    pairs_of = lambda met: materialise(met.groupBy("id", "other").agg(F.collect_set(F.struct("shift", "cell")).alias("places")))
+
+    def few_or_first(shared: DataFrame) -> DataFrame:
+        """Of keys with few occurrences each with all before it, in all places; of others with the first."""
+        some = shared.where(F.col("m").between(3, FEW)).groupBy("key").agg(F.collect_set("node").alias("nodes")).select("nodes", F.explode("nodes").alias("node"))
+        every = some.select("node", F.explode(F.filter("nodes", lambda x: x < F.col("node"))).alias("pivot"))
+        return meeting(shared.where(f"m = 2 OR m > {FEW}")).unionAll(meeting(every))
+
     keyed = nodes.of(_bands(items))
     shared = materialise(keyed.join(held(keyed), "key"))
-    # Few occurrences of a key: each with all before it, in all places.
-    some = shared.where(F.col("m").between(3, FEW)).groupBy("key").agg(F.collect_set("node").alias("nodes")).select("nodes", F.explode("nodes").alias("node"))
-    every = some.select("node", F.explode(F.filter("nodes", lambda x: x < F.col("node"))).alias("pivot"))
-    # Many: with the first one, and all words around by their exact paragraphs; equality is transitive, so that the first holder of each will do.
-    around = shared.where(F.col("m") > FEW).select(nodes.id("node").alias("id"), nodes.at("node").alias("at")).groupBy("id").agg(F.collect_set("at").alias("places"))
+    often = shared.where(F.col("m") > FEW).select("key", "pivot", "node", nodes.id("node").alias("id"), nodes.at("node").alias("at"))
+    # Many: all words around by their exact paragraphs too; equality is transitive, so that the first holder of each will do.
+    around = often.groupBy("id").agg(F.collect_set("at").alias("places"))
     exact = materialise(nodes.of(_paragraphs(items, around)))
-    pairs = meeting(shared.where(f"m = 2 OR m > {FEW}")).unionAll(meeting(every)).unionAll(meeting(exact.join(held(exact), "key")))
-    pairs = materialise(pairs.groupBy("id", "other").agg(F.collect_set(F.struct("shift", "cell")).alias("places")))
-    ids = materialise(pairs.select("id").unionAll(pairs.select("other")).distinct())
-    words = _word_hashes(items.join(if_small(ids), "id", "left_semi"))
-    small_batches(spark, 64)
-    joined = pairs.join(words.select("id", F.col("words").alias("own")), "id").join(words.select(F.col("id").alias("other"), F.col("words").alias("theirs")), "other").select("id", "other", "places", "own", "theirs")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            for k in range(batch.num_rows):
-                a, b = (np.frombuffer(batch.column(c)[k].as_buffer(), np.uint32) for c in (3, 4))
-                places = batch.column(2)[k].values
-                found += [(k, s, e - s, at, digest(a[s:e])) for s, e, at in shared_passages(a, b, list(zip(places.field(0).to_pylist(), places.field(1).to_pylist(), strict=True)))]
-            own, *others = zip(*found, strict=True) if found else ((), (), (), (), ())
-            take, (start, n, at, words) = pa.array(own, pa.int64()), [pa.array(c, pa.int64()) for c in others]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), start, n, batch.column(1).take(take), at, words], ["id", "start_word", "n_words", "kept_doc_id", "kept_start_word", "digest"])
-
-    passages = materialise(joined.mapInArrow(run, "id bigint, start_word bigint, n_words bigint, kept_doc_id bigint, kept_start_word bigint, digest bigint").distinct())
-    small_batches(spark)
+    pairs = pairs_of(few_or_first(shared).unionAll(meeting(exact.join(held(exact), "key"))))
+    passages = _verified(pairs, items)
+    # What frequent keys leave: those with an occurrence, other than the first, that is in no passage yet are refined in all their occurrences.
+    spans = passages.groupBy("id").agg(F.collect_set(F.struct("start_word", (F.col("start_word") + F.col("n_words")).alias("end_word"))).alias("spans"))
+    inside = F.exists("spans", lambda s: (F.col("at") >= s.start_word) & (F.col("at") + BAND <= s.end_word))
+    left = often.join(materialise(spans), "id", "left").where((F.col("id") != nodes.id("pivot")) & ~F.coalesce(inside, F.lit(False)))
+    open_keys = materialise(left.select("key").distinct())
+    if open_keys.head(1):
+        around = often.join(if_small(open_keys), "key").groupBy("id").agg(F.collect_set(F.struct("at", "key")).alias("places"))
+        refined = materialise(nodes.of(_refined(items, around)))
+        done = pairs.select("id", "other", F.explode("places").alias("place")).select("id", "other", "place.shift", "place.cell")
+        met = few_or_first(materialise(refined.join(held(refined), "key"))).distinct()
+        more = pairs_of(met.join(done, ["id", "other", "shift", "cell"], "left_anti"))
+        if more.head(1):
+            passages = materialise(passages.unionAll(_verified(more, items)).distinct())
     return passages.withColumnRenamed("id", id_col)
 
 
@@ -354,9 +424,11 @@ def outermost(passages: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def passage_clusters(passages: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The outermost passages with cluster_id, the smallest id of the documents that shared passages (all of them) connect."""
-    linked = components(passages.select(F.col(id_col).alias("a"), F.col("kept_doc_id").alias("b")))
-    return outermost(passages, id_col).join(linked.select(F.col("id").alias(id_col), F.col("component").alias("cluster_id")), id_col)
+    """The outermost passages with cluster_id, the smallest id of the documents that shared passages (all of them) connect, and n_links, the number of documents that the document is linked with."""
+    pairs = materialise(passages.select(F.col(id_col).alias("a"), F.col("kept_doc_id").alias("b")).distinct())
+    linked = components(pairs).select(F.col("id").alias(id_col), F.col("component").alias("cluster_id"))
+    links = pairs.select(F.col("a").alias(id_col)).unionAll(pairs.select("b")).groupBy(id_col).agg(F.count("*").alias("n_links"))
+    return outermost(passages, id_col).join(linked, id_col).join(links, id_col)
 
 
 def cut_passages(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

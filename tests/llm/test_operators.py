@@ -163,6 +163,20 @@ def test_repeats_of_frequent_lines(spark):
     assert len({i for i, _ in want}) == 22 and want == found
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_passages_between_two_frequent_runs(spark, seed):
+    """Two runs of 30 words, each frequent by itself in 20 earlier documents; 30 documents hold both with one differing word, or two inserted ones, between them."""
+    one, two = prose(7000 + seed, 30), prose(7100 + seed, 30)
+    rows = [(k, f"{prose(8000 + 100 * seed + k, 40)} {(one, two)[k % 2]} {prose(8500 + 100 * seed + k, 40)}") for k in range(40)]
+    between = lambda k: f"edit{k}" if k % 3 else f"edit{k} more{k}"
+    rows += [(100 + k, f"{prose(9000 + 100 * seed + k, 25)} {one} {between(k)} {two} {prose(9500 + 100 * seed + k, 25)}") for k in range(30)]
+    passages = substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    found = passages.collect()
+    assert {r.doc_id for r in found if r.n_words >= 60 and r.start_word <= 25} == set(range(101, 130)) and not any(r.doc_id < 100 for r in found)
+    clusters = substring_dedup.passage_clusters(passages).collect()
+    assert {r.cluster_id for r in clusters} == {100} and all(r.n_links >= 1 for r in clusters)
+
+
 def test_passages_in_far_cells_and_parts():
     """Passages beside and across the borders of cells, several on one diagonal, are all found; bands are the same in parts of any size."""
     r = np.random.default_rng(11)
