@@ -6,6 +6,7 @@ link density. The element with most points is the container; an enclosing articl
 what else it holds reads like text; siblings that score or read like it are kept. Menus, headers, footers, sidebars,
 notices, adverts, forms, scripts, styles and reader comments go, by element or by the words of their class, id and role;
 words that an article may be about go only beside words that say nothing else.
+What a page itself names its main part wins over longer text beside it, and all sibling articles that read like text are kept.
 Null and empty html give an empty text; very long and deeply nested pages take one linear pass; of elements with equal
 points the first counts; repeated rows are extracted each by itself; an empty table gives no rows. Only the id, the url
 and the html are read, so that other columns, of any name, change nothing.
@@ -41,19 +42,21 @@ _P_ENDS = BLOCK - {"br", "body", "html", "option", "td", "th", "tr", "tbody", "t
 _SCORED = frozenset("p pre blockquote td dd".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
-#: Words of class, id or role that mark other things than main text wherever they stand (a star: starts of words).
-UNLIKELY = """ads adbox adslot advert* sponsor* sidebar* navbar navigation* topnav breadcrumb* pagination pager footer* masthead topbar
-comment* disqus respond replies consent gdpr newsletter* subscri* signup login widget* toolbar contentinfo complementary popup* modal*
-overlay* lightbox taglist""".split()
-#: Words that do so only by themselves or beside plain words, as an article may be about them.
-DOUBTFUL = """ad alert* banner* cookie* copyright form header* hidden menu* nav notice* notification* popular promo* rail recommend* related*
-reply search* share* sharing skip social* tags trending""".split()
-#: Words that say nothing of what an element is about.
-PLAIN = frozenset("""area bar block body bottom box button buttons center col column contained container content contents desktop fixed global
-group heading icon icons info inner item items left link links list lists main message mobile msg outer page panel post posts primary right row
-secondary section side site small sticky text title toggle top wrap wrapper""".split())
+#: Words of class, id or role that name parts of a page and nothing that an article could be about; they mark other things than main text wherever they stand (a star: starts of words).
+UNLIKELY = """adbox adslot navbar topnav topbar masthead disqus contentinfo complementary lightbox taglist toolbar pager""".split()
+#: Words that do so only by themselves, beside one another or beside plain words, as an article may be about them.
+DOUBTFUL = """ad ads advert* alert* banner* breadcrumb* comment comments commenting consent cookie* copyright footer* form gdpr header* hidden login menu*
+modal* nav navigation* newsletter* notice* notification* overlay* pagination popular popup* promo* rail recommend* related* replies reply
+respond search* share* sharing side sidebar* signup skip social* sponsor* subscribe* subscription* tags trending widget*""".split()
+#: Words that say nothing of what an element is about, but where or how it stands.
+PLAIN = frozenset("""area bar block body bottom box button buttons center col column columns contained container content contents desktop fixed floating form global
+group heading holder icon icons image info inner item items leaderboard left link links list lists main mega message mobile module msg nested outer page panel placement post posts primary
+rectangle region right row secondary section sheet site skyscraper slot small space sticky text thread title toggle top trail unit wide wrap wrapper zone""".split())
 #: Beside these, a header is the article's own.
 OWN = frozenset("article entry hentry post story".split())
+SIDES = frozenset("left right".split())
+#: Ids that name the main part of a page, as the element and the role do.
+MAIN = frozenset("main maincontent main-content main_content".split())
 LIKELY = frozenset("article articlebody body content entry hentry main maincontent page post story text".split())
 
 
@@ -66,10 +69,10 @@ _unlikely, _doubtful = _among(UNLIKELY), _among(DOUBTFUL)
 
 
 class Node:
-    __slots__ = ("tag", "parent", "skip", "likely", "length", "links", "commas", "points", "comment")
+    __slots__ = ("tag", "parent", "skip", "likely", "length", "links", "commas", "points", "comment", "main")
 
-    def __init__(self, tag: str, parent: int, skip: bool, likely: bool, comment: bool) -> None:
-        self.tag, self.parent, self.skip, self.likely, self.comment = tag, parent, skip, likely, comment
+    def __init__(self, tag: str, parent: int, skip: bool, likely: bool, comment: bool, main: bool = False) -> None:
+        self.tag, self.parent, self.skip, self.likely, self.comment, self.main = tag, parent, skip, likely, comment, main
         self.length = self.links = self.commas = 0
         self.points = 0.0
 
@@ -79,11 +82,13 @@ def _named(name: str) -> tuple[bool, bool, bool]:
     """Whether a class, id or role speaks for other things than main text, for main text, of reader comments."""
     parts = [p for p in re.split(r"[-_:]+", _HUMP.sub("-", name).lower()) if p]
     if any(map(_unlikely, parts)):
-        return True, False, any(p.startswith(("comment", "disqus", "respond", "repl")) for p in parts)
+        return True, False, any(p == "disqus" or p.startswith(("comment", "respond", "repl")) for p in parts)
     doubt = [p for p in parts if _doubtful(p)]
     others = [p for p in parts if p not in doubt]
+    if doubt == ["side"] and SIDES.intersection(others):  # one of two columns
+        doubt = []
     if doubt and all(p in PLAIN or p.isdigit() or len(p) < 3 for p in others) and not (OWN.intersection(others) and all(p.startswith("header") for p in doubt)):
-        return True, False, any(p == "reply" for p in doubt)
+        return True, False, any(p.startswith(("comment", "respond", "repl")) for p in doubt)
     return False, not LIKELY.isdisjoint(parts), False
 
 
@@ -199,7 +204,8 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 end = m.end() if m else n
             elif tag not in VOID and tag not in RAW:
                 skip, likely, comment = _traits(tag, attributes)
-                nodes.append(Node(tag, stack[-1], skip or tag == "header", likely, comment))
+                main = tag == "main" or attributes.get("role", "").lower() == "main" or attributes.get("id", "").lower() in MAIN
+                nodes.append(Node(tag, stack[-1], skip or tag == "header", likely, comment, main))
                 if not closed or tag in BLOCK:
                     places.setdefault(tag, []).append(len(stack))
                     if tag in _SCOPE:
@@ -272,10 +278,18 @@ def extract(page: str | None) -> str:
             share = 0.5 if level == 0 else 1 / (3 * (level + 1))
             up = nodes[up].parent
     score = lambda x: x.points * (1 - x.links / x.length if x.length else 0) * (1.25 if x.likely else 1)
+    # Where the page names its main part, and that holds text that is no links, only what is in it can be the container, however short.
+    named = [not dropped[k] and x.main and x.length > 2 * x.links for k, x in enumerate(nodes)]
+    inside = [False] * len(nodes)
+    for k, x in enumerate(nodes[1:], 1):
+        inside[k] = named[k] or inside[x.parent]
+    may = inside if any(inside) else [True] * len(nodes)
     best, most = -1, 0.0
     for k, x in enumerate(nodes):
-        if k and not dropped[k] and (now := score(x)) > most:
+        if k and not dropped[k] and may[k] and (now := score(x)) > most:
             best, most = k, now
+    if best < 0 and any(inside):
+        best = max((k for k in range(len(nodes)) if named[k]), key=lambda k: nodes[k].length - nodes[k].links)
     if best < 0:  # no paragraph: what an article or main element holds, or all that is not dropped
         best = next((k for k, x in enumerate(nodes) if x.tag in ("article", "main") and not dropped[k] and x.length), 0)
     # An article or main element around the best one takes its place if what else it holds reads like text too: half of it
@@ -294,9 +308,9 @@ def extract(page: str | None) -> str:
         least = max(10.0, 0.2 * most)
         parent = nodes[best].parent
         for k, x in enumerate(nodes):
-            if k and x.parent == parent and k != best and not dropped[k] and x.tag not in ("a", "span"):
+            if k and x.parent == parent and k != best and may[k] and not dropped[k] and x.tag not in ("a", "span"):
                 density = x.links / x.length if x.length else 1.0
-                if score(x) >= least or x.tag == "p" and (x.length > 80 and density < 0.25 or 0 < x.length <= 80 and not x.links) or x.tag in _HEADINGS and not x.links and nodes[best].tag != "article":
+                if score(x) >= least or x.tag == "article" == nodes[best].tag and score(x) > 0 and density <= 0.5 or x.tag == "p" and (x.length > 80 and density < 0.25 or 0 < x.length <= 80 and not x.links) or x.tag in _HEADINGS and not x.links and nodes[best].tag != "article":
                     chosen.add(k)
     kept = [False] * len(nodes)
     for k, x in enumerate(nodes):

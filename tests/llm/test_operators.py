@@ -417,6 +417,35 @@ def test_html_by_the_rules(k):
     assert html_extract.extract(page) == text
 
 
+TOPICS = "section.advertising-law section.newsletter-history p.comment-theory section.subscripts div.sidebar-history div.footer-notes div.cookie-recipes section.consent-theory div.login-history p.widgetry-essay section.navigation-at-sea div.social-contract section.related-rates".split()
+PARTS = "div.ad-slot div.ads div.ad_unit div.advert-box section.newsletter-box div.comment-list div#comments div.sidebar-primary div#side div.footer-links div.cookie-notice div.newsletter-signup-form div.social-share-buttons div.sponsor-zone div.breadcrumb-trail div.widget-area div.login-form-wrapper div.popup-overlay div.navbar-fixed div.side-panel div.adLeaderboard div.related-posts".split()
+
+
+@pytest.mark.parametrize("name", TOPICS)
+def test_html_keeps_what_an_article_is_about(name):
+    tag, mark, value = re.fullmatch(r"(\w+)([.#])(.*)", name).groups()
+    part = f"<{tag} {'class' if mark == '.' else 'id'}='{value}'>{'' if tag == 'p' else '<p>'}A topic, said in words.</{tag}>"
+    assert html_extract.extract(f"<body><article>{BODY}{part}{BODY}</article></body>") == f"{TEXT} A topic, said in words. {TEXT}"
+
+
+@pytest.mark.parametrize("name", PARTS)
+def test_html_drops_parts_of_pages(name):
+    tag, mark, value = re.fullmatch(r"(\w+)([.#])(.*)", name).groups()
+    part = f"<{tag} {'class' if mark == '.' else 'id'}='{value}'><p>Buy now, and read on, for less.</p></{tag}>"
+    assert html_extract.extract(f"<body><article>{BODY}{part}{BODY}</article></body>") == f"{TEXT} {TEXT}"
+
+
+def test_html_named_main_part_and_sibling_articles():
+    short = "".join(f"<p>{c}</p>" for c in "abcdef")
+    for main in ("<main>{}</main>", "<div id=main>{}</div>", "<div role='main'>{}</div>"):
+        for side in ("div id=side", "div id=extra", "section"):
+            page = f"<body>{main.format(short)}<{side}>{BODY * 3}</{side.split()[0]}></body>"
+            assert html_extract.extract(page) == "a b c d e f", page
+    assert html_extract.extract(f"<body><div><article>{BODY * 4}</article><article><h2>Two</h2><p>A second one, and a shorter one.</p></article></div></body>") == f"{' '.join([TEXT] * 4)} Two A second one, and a shorter one."
+    assert html_extract.extract(f"<body><main><ul><li><a href=x>menu of links</a></ul></main><div><p>{TEXT}</p></div></body>") == TEXT
+    assert html_extract.extract(f"<body><div class=left-side>{BODY}</div><div class=menu-box>menu</div></body>") == TEXT
+
+
 def test_html_takes_linear_time():
     import time
 
