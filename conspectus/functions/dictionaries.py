@@ -68,6 +68,14 @@ operator os pathlib platform pprint queue random re secrets select shelve shlex
 subprocess sys syslog tempfile textwrap threading time timeit traceback types typing unicodedata unittest urllib uuid venv warnings weakref xml
 zipfile zipimport zlib
 """.split())
+#: First components of Python imports that the parser takes for no package.
+PYTHON_NO_PACKAGE = tuple("""
+__future__ abc argparse array ast asyncio base64 bisect builtins bz2 cProfile collections compileall concurrent configparser contextlib copy csv
+ctypes curses dataclasses datetime decimal difflib dis doctest email enum fnmatch fractions functools gc getopt getpass glob gzip hashlib heapq
+hmac http importlib inspect io itertools json logging lzma math multiprocessing operator os pathlib pdb pickle pkgutil platform pprint profile
+queue random re readline rlcompleter runpy secrets shelve shlex shutil signal socket sqlite3 ssl statistics string struct subprocess sys tarfile
+tempfile textwrap threading time timeit traceback types typing typing_extensions unittest urllib uuid warnings weakref xml zipfile zipimport zlib
+""".split())
 NODE_BUILTINS = tuple("""
 assert buffer child_process cluster console crypto dgram dns events fs http http2 https inspector module net os path perf_hooks process
 querystring readline stream string_decoder timers tls tty url util v8 vm worker_threads zlib
