@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import code_kernels, codebase, domain, kernels, sources
+from . import code_kernels, codebase, kernels, sources
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**kernels.QUERIES, **domain.queries()}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = kernels.QUERIES
 assert code_kernels.query is codebase.query is sources.query is kernels.query  # they add to the same table
 ORACLE: dict[str, str] = dict(kernels.ORACLE)
 

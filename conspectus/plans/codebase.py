@@ -15,8 +15,9 @@ from ..operators import detectors
 from ..operators import graph as G
 from ..operators import relational as R
 from ..session import shared_dir
-from ..sources.changes import enumerate_changes
+from ..sources.changes import blob_pairs, enumerate_changes
 from ..sources.code import parse_files, symbol_definitions, symbol_imports
+from ..sources.diff import ALL, file_hunks
 from ..sources.project import markdown_sections, module_graph
 from ..sources.store import TableStore
 from ..streaming.watch import hot_tier
@@ -340,3 +341,35 @@ def SC3_SC5_SC8_parsed_sources(spark: SparkSession, sf: str) -> DataFrame:
     row = parse_files(sources, local_packages=("os",))
     first = lambda c, field: F.coalesce(F.get(F.col(c), F.lit(0))[field], F.lit(""))
     return row.select("path", F.size("imports").alias("n_imports"), F.size("functions").alias("n_functions"), first("types", "name").alias("type"), first("types", "kind").alias("kind"), F.array_join(F.transform("dependencies_used", lambda x: x["package"]), ",").alias("packages"), first("functions", "name").alias("function"), F.array_join(F.coalesce(F.get("functions", F.lit(0))["parameters"], F.array().cast("array<string>")), ",").alias("parameters"))
+
+
+#: Of the file of part k: how it is changed, and from which line on; its contents before and after have about LINES lines.
+_CHANGE, _FROM, _LINES = "k % 6", "(k * 7) % 90 + 1", 90
+_NAMES = {"N1": "*", "N2": "load_item", "N3": "loadItem", "N4": "load", "N5": "Item"}
+_NAMED = "CASE name " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in _NAMES.items()) + " ELSE name END"
+_IMPACT = f"""{SQL}, h AS (SELECT path, CASE WHEN k % 19 = 0 OR c = 5 THEN 1 ELSE x END AS a, CASE WHEN c = 5 THEN {ALL} WHEN k % 19 = 0 THEN {_LINES} + 1 + (c = 2)::INT - (c = 3)::INT WHEN c = 3 THEN x WHEN c = 4 THEN least(x + 5, {_LINES} + 1) ELSE x + 1 END AS b
+  FROM (SELECT path, k, {_CHANGE} AS c, {_FROM} AS x FROM f) WHERE k % 17 <> 0 AND (c <> 0 OR k % 19 = 0)),
+y AS (SELECT path, {FUNCTION} AS symbol_name, kind, rank, 60 AS line, 64 AS end_line FROM f, (VALUES ('export', 0), ('function', 1)) AS v(kind, rank) WHERE s % 2 = 0 UNION ALL SELECT path, {TYPE}, 'type', 2, 70, 80 FROM f WHERE s % 2 = 0),
+z AS (SELECT y.*, CASE WHEN a = b THEN line ELSE greatest(line, a) END || '-' || CASE WHEN a = b THEN end_line ELSE least(end_line, b - 1) END AS changed_lines FROM y JOIN h USING (path) WHERE (a = b AND line <= a AND end_line >= a - 1) OR (a < b AND line < b AND end_line >= a)),
+v(source, node, depth) AS (SELECT DISTINCT path, path, 0 FROM z UNION SELECT v.source, e.importer, v.depth + 1 FROM v JOIN e ON e.target = v.node WHERE v.depth < 3),
+w AS (SELECT source, count(*) AS far FROM (SELECT source, node, min(depth) AS depth FROM v GROUP BY 1, 2) WHERE depth > 1 GROUP BY 1),
+n AS (SELECT z.path, z.symbol_name, z.kind, z.rank, z.line, z.changed_lines, count(DISTINCT importer) AS direct, array_to_string(list_sort(list(DISTINCT importer))[:5], ',') AS dependents FROM z JOIN e ON e.target = z.path AND {_NAMED.replace('name', 'e.name')} IN (z.symbol_name, '*') GROUP BY ALL)
+SELECT path, symbol_name, kind, line, changed_lines, direct, direct + coalesce(far, 0) AS transitive, dependents, CASE WHEN direct + coalesce(far, 0) > 20 THEN 'high' WHEN direct + coalesce(far, 0) >= 5 THEN 'medium' ELSE 'low' END AS blast_radius
+FROM n LEFT JOIN w ON w.source = n.path QUALIFY row_number() OVER (PARTITION BY path, symbol_name ORDER BY direct DESC, rank, line) = 1"""
+
+
+@query(_IMPACT)
+def Q_DIFF_impact(spark: SparkSession, sf: str) -> DataFrame:
+    """Trees and contents of all files before and after a change, their hunks, and the symbols that these touch."""
+    f = files(spark, sf)
+    named = F.transform("imports", lambda i: i.withField("names", F.transform(i["names"], lambda n: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for p in _NAMES.items() for x in p]), n), n))))
+    p = t(spark, sf, "part").select(F.col("p_partkey").alias("k"), F.expr(PATH.format(k="p_partkey")).alias("path")).withColumns({"c": F.expr(_CHANGE), "x": F.expr(_FROM)})
+    line, edited = "concat(i, ' of ', k)", "CASE WHEN c = 1 AND i = x THEN array('new') WHEN c = 2 AND i = x THEN array('new', {0}) WHEN c = 3 AND i = x THEN array() WHEN c = 4 AND i BETWEEN x AND x + 4 THEN array(concat('new ', i)) ELSE array({0}) END"
+    text = lambda of: F.concat(F.array_join(F.expr(f"flatten(transform(sequence(1, {_LINES}), i -> {of.format(line)}))"), "\n"), F.lit("\n"))
+    old, new = F.concat(F.lit("old "), "k"), F.when(F.col("c") == 0, F.concat(F.lit("old "), "k")).otherwise(F.concat(F.lit("new "), "k"))
+    blobs = p.select(old.alias("oid"), text("array({0})").alias("content")).unionAll(p.where("c != 0").select(new, text(edited)))
+    head, disk = p.where("k % 19 != 0").select("path", old.alias("oid")), p.where("k % 17 != 0").select("path", new.alias("oid"))
+    changes = enumerate_changes(head, head, disk, p.where("c = 5 AND k % 17 != 0").select("path"))
+    found = C.diff_impact(f.withColumn("imports", named), file_hunks(blob_pairs(changes, blobs)))
+    lines = F.array_join(F.transform("changed_lines", lambda x: F.concat_ws("-", x["first"], x["last"])), ",")
+    return found.select("path", "symbol_name", "kind", "line", lines.alias("changed_lines"), "direct", "transitive", F.array_join("dependents", ",").alias("dependents"), "blast_radius")

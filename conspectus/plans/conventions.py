@@ -150,12 +150,16 @@ def project_context(files: DataFrame, findings: DataFrame, conventions: DataFram
 
 
 def touched_symbols(definitions: DataFrame, hunks: DataFrame) -> DataFrame:
-    """The definitions whose lines a hunk (path, new_start, new_end, half-open) touches; paths are equal or end alike at a boundary."""
-    s = definitions.where("line > 0 AND end_line >= line")
+    """The definitions whose lines a hunk (path, new_start, new_end, half-open) touches, with the lines (first, last) of each hunk in them; paths are equal or end alike at a boundary.
+
+    A pure deletion at line s touches the lines s - 1 and s, and counts as all of the definition.
+    """
+    s = definitions.where("line > 0").withColumn("end_line", F.greatest("line", "end_line"))
     near = R.suffix_join(s.select("path").distinct(), hunks.select(F.col("path").alias("changed")).distinct(), "path", "changed").groupBy("path").agg(F.min_by("changed", F.struct(-F.length("changed"), "changed")).alias("changed"))
-    changes = near.join(hunks.withColumnRenamed("path", "changed"), "changed").drop("changed")
+    changes = near.join(hunks.select(F.col("path").alias("changed"), "new_start", "new_end"), "changed").drop("changed")
     meets = "(new_start = new_end AND line <= new_start AND end_line >= new_start - 1) OR (new_start < new_end AND line < new_end AND end_line >= new_start)"
-    return s.join(changes, "path").where(meets).select("path", "symbol_name", "kind", "line", "end_line").distinct()
+    lines = F.when(F.col("new_start") == F.col("new_end"), F.struct(F.col("line").alias("first"), F.col("end_line").alias("last"))).otherwise(F.struct(F.greatest("line", "new_start").alias("first"), F.least("end_line", F.col("new_end") - 1).alias("last")))
+    return s.join(changes, "path").where(meets).groupBy("path", "symbol_name", "kind", "line", "end_line").agg(F.sort_array(F.collect_set(lines)).alias("changed_lines"))
 
 
 def direct_dependents(files: DataFrame) -> DataFrame:
@@ -184,16 +188,17 @@ def module_purposes(files: DataFrame, names: int = 8, docs: int = 10) -> DataFra
 
 
 def diff_impact(files: DataFrame, hunks: DataFrame, depth: int = 3) -> DataFrame:
-    """Q-DIFF: symbols that changed lines touch (hunks: path, new_start, new_end, half-open), with direct and transitive dependents.
+    """Q-DIFF: public symbols that changed lines touch (hunks: path, new_start, new_end, half-open, as diff.file_hunks gives them), with direct and transitive dependents.
 
-    A pure deletion at line s touches the lines s - 1 and s. A symbol counts if some direct dependent imports it by name or `*`.
+    A symbol counts if some direct dependent imports it by name or `*`; the file's dependents further off are added to those.
+    Of the kinds that a name has in a file the one with most dependents stays, then exports before functions before types.
     """
-    touched = touched_symbols(symbol_definitions(files), hunks)
+    touched = touched_symbols(symbol_definitions(files).where("is_public"), hunks)
     edges = G.keep(G.reverse_adjacency(resolve_imports(files)))
-    found = G.dependents(edges, hunks.select(F.col("path").alias("node")).distinct(), depth)
+    found = G.dependents(edges, touched.select(F.col("path").alias("node")).distinct(), depth)
     far = found.where("depth > 1").groupBy(F.col("source").alias("path")).agg(F.count("*").alias("far"))
     direct = touched.join(edges.select("importer", F.col("target").alias("path"), "names"), "path").where(F.array_contains("names", F.col("symbol_name")) | F.array_contains("names", F.lit("*")))
-    n = direct.groupBy("path", "symbol_name", "kind", "line").agg(F.count_distinct("importer").alias("direct"), F.slice(F.sort_array(F.collect_set("importer")), 1, 5).alias("dependents"))
+    n = direct.groupBy("path", "symbol_name", "kind", "line", "changed_lines").agg(F.count_distinct("importer").alias("direct"), F.slice(F.sort_array(F.collect_set("importer")), 1, 5).alias("dependents"))
     out = n.join(far, "path", "left").withColumn("transitive", F.col("direct") + F.coalesce("far", F.lit(0))).drop("far")
     rank = F.when(F.col("kind") == "export", 0).when(F.col("kind") == "function", 1).otherwise(2)
     return R.ranked(out, ["path", "symbol_name"], [F.desc("transitive"), rank.asc(), F.asc("line")]).drop("rank").withColumn("blast_radius", T.blast_tier("transitive"))

@@ -103,15 +103,6 @@ def module_graph(files: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFra
     return modules, depends.unionByName(part)
 
 
-def import_hunks(spark: SparkSession, old: str, new: str, path: str) -> DataFrame:
-    """Hunks (half-open, from 1) between two texts of one file."""
-    import difflib
-
-    a, b = old.splitlines(), new.splitlines()
-    rows = [(path, i + 1, j + 1, p + 1, q + 1) for tag, i, j, p, q in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes() if tag != "equal"]
-    return spark.createDataFrame(rows, "path string, old_start int, old_end int, new_start int, new_end int")
-
-
 def latest_changes(events: DataFrame) -> DataFrame:
     """ST1 in batch: the last event of each path."""
     return R.ranked(events, ["path"], [F.desc("ts"), F.desc("seq")], 1).drop("rank")

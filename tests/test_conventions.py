@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from conspectus.operators import detectors
 from conspectus.plans import conventions as C
-from conspectus.plans.sample import FILES
+from tests.sample import FILES
 from conspectus.sources import code, project
 from conspectus.sources.store import Decisions, TableStore, scan_changes
 from conspectus.streaming import watch
