@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import shared_dir
 
 
 def adoption(df: DataFrame, by: list[str], follows: Column) -> DataFrame:
@@ -81,21 +86,39 @@ def if_few(df: DataFrame, rows: int = FEW_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+#: Bins of a span at most, but for one at its end; see interval_overlap.
+BINS = 16
+
+
 def interval_overlap(a: DataFrame, b: DataFrame, on: list[str], a_span: tuple[str, str], b_span: tuple[str, str], width: int | None = None) -> DataFrame:
     """Pairs with equal keys whose half-open spans (of whole numbers, not empty) overlap.
 
     Spans are cut into bins of `width` (twice the mean span, where it is not given) and joined by key and bin, so that a key
-    with very many spans is dealt to many tasks; a pair counts in the bin in which its later span starts.
+    with very many spans is dealt to many tasks; a pair counts in the bin in which its later span starts. A span of more
+    than BINS bins is cut into bins of BINS times the width, and so on; shorter spans then go to their one or two wider
+    bins too, where they meet longer ones alone. So a span makes some BINS rows, however long it is.
     """
-    if width is None:
-        mean = a.agg(F.avg(F.col(a_span[1]) - F.col(a_span[0]))).first()[0]
-        width = max(1, int(2 * (mean or 1)))
-    cell = lambda c: F.floor(c / F.lit(width)).cast("bigint")
-    cut = lambda df, span: df.withColumn("_bin", F.explode(F.sequence(cell(F.col(span[0])), cell(F.col(span[1]) - 1))))
+    span = lambda s: F.col(s[1]) - F.col(s[0])
+    mean, most = a.agg(F.avg(span(a_span)), F.max(span(a_span))).first()
+    most = max(most or 1, b.agg(F.max(span(b_span))).first()[0] or 1)
+    width = max(1, int(2 * (mean or 1))) if width is None else width
+    top = 0
+    while most > BINS * width * BINS**top:
+        top += 1
+    wide = lambda level: F.lit(width) * F.pow(F.lit(BINS), level).cast("bigint")
+    cell = lambda c, level: F.floor(c / wide(level)).cast("bigint")
+
+    def cut(df: DataFrame, s: tuple[str, str]) -> DataFrame:
+        own = sum((span(s) > BINS * width * BINS**k).cast("int") for k in range(top)) if top else F.lit(0)
+        df = df.withColumn("_own", own)
+        df = df.withColumn("_level", F.explode(F.sequence("_own", F.lit(top))) if top else F.lit(0))
+        return df.withColumn("_bin", F.explode(F.sequence(cell(F.col(s[0]), F.col("_level")), cell(F.col(s[1]) - 1, F.col("_level")))))
+
     x, y = cut(a, a_span).alias("a"), cut(b, b_span).alias("b")
-    keys = reduce(lambda p, q: p & q, [F.col(f"a.{k}") == F.col(f"b.{k}") for k in [*on, "_bin"]])
+    keys = reduce(lambda p, q: p & q, [F.col(f"a.{k}") == F.col(f"b.{k}") for k in [*on, "_level", "_bin"]])
     later = F.greatest(F.col(f"a.{a_span[0]}"), F.col(f"b.{b_span[0]}"))
-    return x.join(y, keys & (F.col(f"a.{a_span[0]}") < F.col(f"b.{b_span[1]}")) & (F.col(f"b.{b_span[0]}") < F.col(f"a.{a_span[1]}")) & (cell(later) == F.col("a._bin")))
+    meet = (F.col(f"a.{a_span[0]}") < F.col(f"b.{b_span[1]}")) & (F.col(f"b.{b_span[0]}") < F.col(f"a.{a_span[1]}")) & (cell(later, F.col("a._level")) == F.col("a._bin"))
+    return x.join(y, keys & meet & (F.greatest("a._own", "b._own") == F.col("a._level")))
 
 
 def tree_diff(old: DataFrame, new: DataFrame, key: str, version: str) -> DataFrame:
@@ -105,10 +128,63 @@ def tree_diff(old: DataFrame, new: DataFrame, key: str, version: str) -> DataFra
     return o.join(n, key, "full_outer").withColumn("status", status)
 
 
-def jaccard_join(a: DataFrame, b: DataFrame, a_key: str, b_key: str, a_tokens: str, b_tokens: str, least: float) -> DataFrame:
-    """Pairs whose token sets have a Jaccard index of `least`, by a join on prefixes.
+#: Rows and tokens of a side that is held by every task, as a table of tokens by rows in blocks of CELLS cells at most.
+HELD_ROWS, HELD_TOKENS, CELLS = 4096, 1 << 20, 1 << 26
 
-    Tokens must be distinct in each row, and keys distinct in each side. A pair that counts shares least * n tokens of
+
+def jaccard_join(a: DataFrame, b: DataFrame, a_key: str, b_key: str, a_tokens: str, b_tokens: str, least: float, held_rows: int = HELD_ROWS) -> DataFrame:
+    """(a_key, b_key, common, similarity): pairs whose token sets have a Jaccard index of `least`.
+
+    Tokens must be distinct in each row, and keys distinct in each side. A b that is counted to be short is held by all
+    tasks, which count the tokens that their rows share with all of it at once, without a shuffle; a longer one is joined
+    on prefixes.
+    """
+    rows, tokens = b.agg(F.count("*"), F.sum(F.size(b_tokens))).first()
+    if rows <= held_rows and (tokens or 0) <= HELD_TOKENS:
+        return _held_jaccard(a, b, a_key, b_key, a_tokens, b_tokens, least)
+    return _prefix_jaccard(a, b, a_key, b_key, a_tokens, b_tokens, least)
+
+
+def _held_jaccard(a: DataFrame, b: DataFrame, a_key: str, b_key: str, a_tokens: str, b_tokens: str, least: float) -> DataFrame:
+    held = b.where(F.size(b_tokens) > 0).select(b_key, b_tokens).toArrow().combine_chunks()
+    keys, sets = held.column(0).combine_chunks(), held.column(1).combine_chunks()
+    sizes = sets.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = sets.flatten()
+    vocabulary = flat.unique()
+    places, owner = pc.index_in(flat, value_set=vocabulary).to_numpy(zero_copy_only=False), np.repeat(np.arange(len(sizes)), sizes)
+    step = max(1, CELLS // max(1, len(vocabulary)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            n = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            found = pc.index_in(lists.flatten(), value_set=vocabulary)
+            known = found.is_valid().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(n)), n)[known]
+            token = found.drop_null().to_numpy(zero_copy_only=False)
+            starts = np.searchsorted(row, np.arange(len(n) + 1))
+            for low in range(0, len(sizes), step):
+                some = (owner >= low) & (owner < low + step)
+                table = np.zeros((len(vocabulary), min(step, len(sizes) - low)), np.uint8)
+                table[places[some], owner[some] - low] = 1
+                for i in range(0, len(n), 32):
+                    j = min(i + 32, len(n))
+                    full = i + np.flatnonzero(starts[i + 1 : j + 1] > starts[i:j])
+                    if not len(full):
+                        continue
+                    common = np.add.reduceat(table[token[starts[i] : starts[j]]], starts[full] - starts[i], axis=0, dtype=np.int32)
+                    similarity = common / (n[full, None] + sizes[None, low : low + step] - common)
+                    p, q = np.nonzero((similarity >= least) & (common > 0))
+                    if len(p):
+                        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(full[p])), keys.take(pa.array(q + low)), pa.array(common[p, q].astype(np.int64)), pa.array(similarity[p, q])], [a_key, b_key, "common", "similarity"])
+
+    return a.select(a_key, a_tokens).mapInArrow(run, f"{a_key} {dict(a.dtypes)[a_key]}, {b_key} {dict(b.dtypes)[b_key]}, common bigint, similarity double")
+
+
+def _prefix_jaccard(a: DataFrame, b: DataFrame, a_key: str, b_key: str, a_tokens: str, b_tokens: str, least: float) -> DataFrame:
+    """The pairs of jaccard_join by a join on prefixes.
+
+    A pair that counts shares least * n tokens of
     either set, so one at least among the n - least * n + 1 that are rarest in b: only those are joined. Tokens that b
     lacks are the rarest of all and fill a's prefixes, so that frequent words rarely meet. Sizes that cannot reach the
     index are left out before, and the pairs that meet are verified on their whole sets.
@@ -215,6 +291,30 @@ def lookup(df: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     return df.join(if_few(wanted.select(key).distinct()), key, "left_semi")
 
 
+def top_groups(df: DataFrame, by: list[str], member: str, most: int) -> DataFrame:
+    """Of each group its `most` most frequent members, with site_count and the group's total, ranked on counts alone."""
+    n = df.groupBy(*by, member).agg(F.count("*").alias("site_count"))
+    w = Window.partitionBy(*by).orderBy(F.desc("site_count"), member)  # one sort for both
+    n = n.withColumn("total", F.sum("site_count").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    return n.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).drop("rank")
+
+
+def gathered(df: DataFrame, groups: DataFrame, by: list[str], column: str, name: str) -> DataFrame:
+    """The groups, each with its rows' values of a column, sorted; rows of other groups are left out before they are gathered."""
+    kept = df.join(groups, by)
+    rest = [c for c in groups.columns if c not in by]
+    return kept.groupBy(*by, *rest).agg(F.sort_array(F.collect_list(column)).alias(name))
+
+
+def numbered(df: DataFrame, order: str, name: str) -> DataFrame:
+    """SK11: consecutive numbers from 1 in the order of a column: places in sorted ranges, and the ranges' sizes, which are one row for each task."""
+    shared_dir(df.sparkSession)
+    placed = df.repartitionByRange(order).withColumn("_part", F.spark_partition_id()).checkpoint(eager=True)
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(order))
+    return placed.join(F.broadcast(sizes.drop("_n")), "_part").withColumn(name, place + F.col("_before")).drop("_part", "_before")
+
+
 def remap(df: DataFrame, ids: DataFrame, column: str, how: str = "inner") -> DataFrame:
     """SK11: a column of ids (old) by their new ones."""
     new = ids.select(F.col("old").alias(column), F.col("new").alias("_new"))

@@ -185,9 +185,9 @@ def X37_fuzzy_match(spark: SparkSession, sf: str) -> DataFrame:
     return t(spark, sf, "part").select("p_partkey", T.fuzzy_match("rinq", "p_name").alias("hit"))
 
 
-@query("SELECT doc_id, CASE WHEN n_chars < 1024 THEN n_chars || ' B' WHEN n_chars < 1048576 THEN format('{:,.1f}', n_chars / 1024) || ' KB' ELSE format('{:,.1f}', n_chars / 1048576) || ' MB' END AS size FROM documents WHERE n_chars % 512 <> 0")
+@query("SELECT doc_id, CASE WHEN n_chars < 1024 THEN n_chars || ' B' WHEN n_chars < 1048576 THEN format('{:,.1f}', n_chars / 1024) || ' KB' ELSE format('{:,.1f}', n_chars / 1048576) || ' MB' END AS size FROM documents")
 def X41_human_size(spark: SparkSession, sf: str) -> DataFrame:
-    return t(spark, sf, "documents").where("n_chars % 512 != 0").select("doc_id", T.human_size("n_chars").alias("size"))
+    return t(spark, sf, "documents").select("doc_id", T.human_size("n_chars").alias("size"))
 
 
 @query("""WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS x, doc_id % 5 + 1 AS a, doc_id % 5 + 2 AS b FROM documents WHERE text IS NOT NULL)
@@ -351,9 +351,7 @@ def S1_SK7_indexed_prefix_search(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("WITH m AS (SELECT c_custkey AS old, row_number() OVER (ORDER BY c_custkey) + 1000 AS new FROM customer) SELECT o_orderkey, a.new AS source, coalesce(b.new, -1) AS target FROM orders JOIN m a ON o_custkey = a.old LEFT JOIN m b ON o_orderkey % 2000 = b.old")
 def SK11_remapped_edges(spark: SparkSession, sf: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    ids = t(spark, sf, "customer").select(F.col("c_custkey").alias("old"), (F.row_number().over(Window.orderBy("c_custkey")) + 1000).alias("new"))
+    ids = R.numbered(t(spark, sf, "customer").select(F.col("c_custkey").alias("old")), "old", "new").withColumn("new", F.col("new") + 1000)
     edges = t(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("source"), (F.col("o_orderkey") % 2000).alias("target"))
     both = R.remap(R.remap(edges, ids, "source"), ids, "target", "left")
     return both.select("o_orderkey", F.col("source").cast("bigint").alias("source"), F.coalesce("target", F.lit(-1)).cast("bigint").alias("target"))

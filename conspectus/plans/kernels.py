@@ -100,10 +100,9 @@ def A12_first_seen(spark: SparkSession, sf: str) -> DataFrame:
 @query("""SELECT l_partkey, l_suppkey, count(*) AS site_count, array_to_string(list_sort(list(l_orderkey)), ',') AS lines, CAST(sum(count(*)) OVER (PARTITION BY l_partkey) AS BIGINT) AS total
 FROM lineitem GROUP BY l_partkey, l_suppkey QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY count(*) DESC, l_suppkey) <= 5""")
 def A13_T7_call_site_agg(spark: SparkSession, sf: str) -> DataFrame:
-    n = t(spark, sf, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.count("*").alias("site_count"), F.array_join(F.sort_array(F.collect_list("l_orderkey")), ",").alias("lines"))
-    w = Window.partitionBy("l_partkey").orderBy(F.desc("site_count"), "l_suppkey")  # one sort for both
-    n = n.withColumn("total", F.sum("site_count").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    return n.withColumn("rank", F.row_number().over(w)).where("rank <= 5").drop("rank")
+    lines = t(spark, sf, "lineitem").select("l_partkey", "l_suppkey", "l_orderkey")
+    top = R.top_groups(lines, ["l_partkey"], "l_suppkey", 5)
+    return R.gathered(lines, top, ["l_partkey", "l_suppkey"], "l_orderkey", "lines").withColumn("lines", F.array_join("lines", ","))
 
 
 @query("SELECT source, array_to_string(list_sort(list(DISTINCT lang)), ',') AS languages, count(*) AS file_count FROM documents GROUP BY 1")

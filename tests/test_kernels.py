@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from conspectus.functions import text as T
 from conspectus.operators import graph as G
 from conspectus.operators import relational as R
+from conspectus.operators import search as S
 from conspectus.plans import catalog, kernels
 
 SF = "/root/testdata/sf0.001"
@@ -67,3 +68,49 @@ def test_latest_wins_is_strict(spark):
 def test_paths(spark):
     row = spark.createDataFrame([("a/./b/../c\\d",)], "p string").select(T.resolve_path("p").alias("p"), T.suffix_matches(F.lit("x/ab/c"), F.lit("b/c")).alias("no"), T.suffix_matches(F.lit("x/b/c"), F.lit("b/c")).alias("yes")).first()
     assert tuple(row) == ("a/c/d", False, True)
+
+
+def test_jaccard_by_either_way(spark):
+    import random
+
+    r = random.Random(2)
+    rows = lambda n, words: [(k, r.sample(range(words), r.randint(0, 12)) or None if k % 9 else []) for k in range(n)]
+    a, b = (spark.createDataFrame([(k, None if w is None else [f"w{x}" for x in w]) for k, w in rows(n, 40)], f"{key} int, w array<string>") for n, key in ((120, "i"), (60, "j")))
+    sets = [{x[0]: set(x[1] or ()) for x in df.collect()} for df in (a, b)]
+    want = {(i, j, len(x & y), len(x & y) / len(x | y)) for i, x in sets[0].items() for j, y in sets[1].items() if x & y and len(x & y) / len(x | y) >= 0.2}
+    for held in (0, 4096):
+        assert {tuple(x) for x in R.jaccard_join(a, b.where("w IS NOT NULL"), "i", "j", "w", "w", 0.2, held).collect()} == want
+    assert R.jaccard_join(a, b.where("false"), "i", "j", "w", "w", 0.2).count() == R.jaccard_join(a.where("false"), b, "i", "j", "w", "w", 0.2).count() == 0
+
+
+def test_spans_of_all_lengths(spark):
+    """Spans from one to a million wide meet, and none makes more rows than bins are allowed."""
+    import random
+
+    r = random.Random(4)
+    rows = [(k, k % 3, s := r.randint(-2000, 2000), s + r.choice([1, 2, 30, 500, 1_000_000])) for k in range(150)]
+    df = spark.createDataFrame(rows, "id int, key int, s bigint, e bigint")
+    found = R.interval_overlap(df, df, ["key"], ("s", "e"), ("s", "e"), width=3).select("a.id", F.col("b.id").alias("other")).collect()
+    want = [(p[0], q[0]) for p in rows for q in rows if p[1] == q[1] and p[2] < q[3] and q[2] < p[3]]
+    assert sorted(map(tuple, found)) == sorted(want)
+
+
+def test_best_of_each_query_in_slices(spark, monkeypatch):
+    import numpy as np
+
+    r = np.random.default_rng(6)
+    x = r.integers(-2, 3, (700, 3)).astype(float)  # many ties
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)] + [(900, None), (901, [1.0])], "id bigint, v array<double>").repartition(3)
+    found = S.vector_top(df, df.where("id % 50 = 0 AND id < 700"), "id", "v", 7).collect()
+    norm = np.linalg.norm(x, axis=1)
+    for q in range(0, 700, 50):
+        with np.errstate(all="ignore"):
+            s = np.nan_to_num(np.round(np.minimum(x @ x[q] / (norm * norm[q]), 1), 6))
+        want = [(int(k), float(s[k])) for k in np.lexsort((np.arange(700), -s))[:7] if s[k] > 0]
+        assert sorted([(f.id, f.score) for f in found if f.query_id == q], key=lambda y: (-y[1], y[0])) == want
+
+
+def test_numbers_in_order(spark):
+    rows = spark.createDataFrame([(x,) for x in (5, 3, 9, 9, -1)], "x int")
+    assert sorted((r.x, r.n) for r in R.numbered(rows, "x", "n").collect()) == [(-1, 1), (3, 2), (5, 3), (9, 4), (9, 5)]
+    assert R.numbered(rows.where("false"), "x", "n").count() == 0
