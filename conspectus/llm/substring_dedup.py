@@ -165,8 +165,9 @@ def _paragraphs(items: DataFrame, around: DataFrame) -> DataFrame:
     return items.join(around, "id").select("id", "text", "places").mapInArrow(run, "key bigint, id bigint, at bigint")
 
 
-#: Where, from a key's place, the shingles stand that end the equal run before or begin the one after the run of under WORDS words that holds the key.
-BESIDE = np.concatenate([np.arange(BAND - WORDS - GAP - SHINGLE + 1, 1 - SHINGLE), np.arange(BAND, WORDS + GAP)])
+#: Where, from the place of a key, shingles may stand that end the equal run before, or begin the one behind, the equal run that
+#: holds the key: it is the key of that run's first, or of its last, SEED words.
+BESIDE = np.concatenate([np.arange(BAND - SEED - GAP - SHINGLE, 1 - SHINGLE), np.arange(BAND, SEED + GAP + 1)])
 
 
 def _refined(items: DataFrame, around: DataFrame, most: int = 4096) -> DataFrame:
@@ -184,11 +185,15 @@ def _refined(items: DataFrame, around: DataFrame, most: int = 4096) -> DataFrame
                     at, key = ats[i : i + most, None], keys[i : i + most, None].view(np.uint64)
                     beside = at + BESIDE
                     ok = (beside >= 0) & (beside < len(x))
-                    new = mix(key + mix(x[np.where(ok, beside, 0)]))[ok].view(np.int64)
+                    new = mix(key + mix(x[np.where(ok, beside, 0)])) if len(x) else np.zeros(ok.shape, np.uint64)
+                    order = np.argsort(np.where(ok, new, 0), axis=1, kind="stable")  # a shingle that stands beside a place twice counts once
+                    new, ok = np.take_along_axis(new, order, axis=1), np.take_along_axis(ok, order, axis=1)
+                    ok[:, 1:] &= ~ok[:, :-1] | (new[:, 1:] != new[:, :-1])
                     at = np.broadcast_to(at, ok.shape)[ok]
+                    new = new[ok].view(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(new), pa.array(np.full(len(new), batch.column(0)[k].as_py(), np.int64)), pa.array(at, pa.int64())], ["key", "id", "at"])
 
-    return items.join(around, "id").select("id", "text", "places").mapInArrow(run, "key bigint, id bigint, at bigint").distinct()
+    return items.join(around, "id").select("id", "text", "places").mapInArrow(run, "key bigint, id bigint, at bigint")
 
 
 def digest(words: np.ndarray) -> int:
@@ -405,8 +410,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     left = often.join(materialise(spans), "id", "left").where((F.col("id") != nodes.id("pivot")) & ~F.coalesce(inside, F.lit(False)))
     open_keys = materialise(left.select("key").distinct())
     if open_keys.head(1):
-        around = often.join(if_small(open_keys), "key").groupBy("id").agg(F.collect_set(F.struct("at", "key")).alias("places"))
-        refined = materialise(nodes.of(_refined(items, around)))
+        around = materialise(often.join(if_small(open_keys), "key").groupBy("id").agg(F.collect_set(F.struct("at", "key")).alias("places")))
+        refined = nodes.of(_refined(items, around))  # made twice, as most of it is in one document alone and need not be kept
         done = pairs.select("id", "other", F.explode("places").alias("place")).select("id", "other", "place.shift", "place.cell")
         met = few_or_first(materialise(refined.join(held(refined), "key"))).distinct()
         more = pairs_of(met.join(done, ["id", "other", "shift", "cell"], "left_anti"))
