@@ -77,6 +77,12 @@ def first_candidate(rows: DataFrame, key: str, candidates: str, known: DataFrame
     return rows.join(hit, key, "left")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt to all cores if its scan has fewer partitions than those, for costly work on each row; a longer table stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 #: A side that is counted to have at most so many narrow rows is broadcast.
 FEW_ROWS = 200_000
 

@@ -180,7 +180,7 @@ dt AS (SELECT doc_id, len(w) AS n, unnest(w) AS t FROM d), bt AS (SELECT item_id
 SELECT doc_id, item_id, count(*) AS common, round(count(*) / (dt.n + bt.n - count(*)), 6) AS similarity FROM dt JOIN bt USING (t) GROUP BY doc_id, item_id, dt.n, bt.n HAVING count(*) / (dt.n + bt.n - count(*)) >= 0.15""")
 def J11_X17_X19_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
     tok = F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-z0-9_-]+"), lambda w: F.length(w) >= 2)).alias("w")
-    out = R.jaccard_join(t(spark, sf, "documents").select("doc_id", tok), t(spark, sf, "benchmark").select("item_id", tok), "doc_id", "item_id", "w", "w", 0.15)
+    out = R.jaccard_join(R.spread(t(spark, sf, "documents").select("doc_id", "text")).select("doc_id", tok), t(spark, sf, "benchmark").select("item_id", tok), "doc_id", "item_id", "w", "w", 0.15)
     return out.withColumn("similarity", F.round("similarity", 6))
 
 

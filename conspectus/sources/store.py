@@ -1,16 +1,19 @@
-"""Snapshot store over Parquet: keyed tables by branch, replaced whole by writing new snapshots and one row of a log of commits.
+"""Snapshot store over Parquet: keyed tables by branch, as snapshots and changes to them, each a folder, and a log of commits with one row for each.
 
-A reader resolves the log once and reads immutable folders; a commit of several tables is one file of the log, written by
-Spark's own committer, so that any store Spark writes to will do, and a writer that dies before it leaves all tables as
-they were. One writer at a time.
+A change holds the new rows of some keys, and the keys themselves, whose earlier rows go; a reader puts the changes since the
+last snapshot over it, so that a commit writes as much as it changes. When changes amount to a quarter of the snapshot they are
+folded into a new one, and many small ones are merged before that. A reader resolves the log once and reads immutable folders; a
+commit of several tables is one file of the log, written by Spark's own committer, so that any store Spark writes to will
+do, and a writer that dies before it leaves all tables as they were. One writer at a time.
 """
 
 from __future__ import annotations
 
 import time
 import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
@@ -18,32 +21,72 @@ from ..functions import code as C
 from ..functions import text as T
 from ..operators import relational as R
 
-LOG = "version bigint, name string, folder string"
+LOG = "version bigint, name string, folder string, kind string, keys string, n bigint"
+#: Changes of a table that are merged into one; its snapshot's rows over theirs from which on all are folded into a new snapshot.
+MOST_CHANGES, FOLD = 16, 4
 
 
 class TableStore:
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
 
+    def _path(self, folder: str) -> tuple:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
     def _log(self) -> DataFrame | None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/_commits")
-        there = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
-        return self.spark.read.schema(LOG).parquet(f"{self.root}/_commits") if there else None
+        fs, path = self._path(f"{self.root}/_commits")
+        return self.spark.read.schema(LOG).parquet(f"{self.root}/_commits") if fs.exists(path) else None
 
-    def _pointer(self, name: str) -> str | None:
+    def _entries(self, name: str | None = None) -> list[Row]:
+        """What a table is made of: its last snapshot and the changes since, in order, or since the last merge of these; of all tables without a name."""
         log = self._log()
         if log is None:
-            return None
-        row = log.where(F.col("name") == name).agg(F.max_by("folder", "version").alias("folder")).first()
-        return row.folder
+            return []
+        out: dict[str, list[Row]] = {}
+        for e in sorted((log if name is None else log.where(F.col("name") == name)).collect(), key=lambda e: e.version):  # one row for each commit since the last sweep
+            held = out.setdefault(e.name, [])
+            if e.kind == "snapshot":
+                held.clear()
+            elif e.kind == "merged":
+                del held[1:]
+            held.append(e)
+        return [e for held in out.values() for e in held]
+
+    def has(self, name: str) -> bool:
+        return bool(self._entries(name))
+
+    def _changes(self, entries: list[Row]) -> DataFrame:
+        """Rows of changes with _at, the number of their change, and _gone, whether they only name a key."""
+        return reduce(lambda p, q: p.unionByName(q, allowMissingColumns=True), [self.spark.read.parquet(e.folder).withColumn("_at", F.lit(k)) for k, e in enumerate(entries)])
+
+    def _latest(self, entries: list[Row]) -> DataFrame:
+        """Of each key the rows of its last change."""
+        keys, rows = entries[0].keys.split(","), self._changes(entries)
+        return rows.join(rows.groupBy(*keys).agg(F.max("_at").alias("_last")), keys).where("_at = _last").drop("_at", "_last") if len(entries) > 1 else rows.drop("_at")
 
     def read(self, name: str, schema: str | None = None) -> DataFrame:
-        folder = self._pointer(name)
-        if folder is None:
+        entries = self._entries(name)
+        if not entries:
             if schema is None:
                 raise KeyError(name)
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.parquet(folder)
+        base, changes = self.spark.read.parquet(entries[0].folder), entries[1:]
+        if not changes:
+            return base
+        keys, latest = changes[0].keys.split(","), self._latest(changes)
+        gone = latest.select(*keys).distinct()
+        gone = F.broadcast(gone) if sum(e.n for e in changes) <= R.FEW_ROWS else gone
+        return base.join(gone, keys, "left_anti").unionByName(latest.where("NOT _gone").drop("_gone"), allowMissingColumns=True)
+
+    def _commit(self, parts: list[tuple[str, DataFrame, str, str | None]], partition_by: tuple[str, ...] = ()) -> None:
+        rows = []
+        for name, df, kind, keys in parts:
+            folder = f"{self.root}/{name}/{uuid.uuid4().hex}"
+            df.write.partitionBy(*partition_by).parquet(folder)
+            rows.append((name, folder, kind, keys, self.spark.read.parquet(folder).count() if df.columns else 0))
+        version = time.time_ns()
+        self.spark.createDataFrame([(version, *r) for r in rows], LOG).coalesce(1).write.mode("append").parquet(f"{self.root}/_commits")
 
     def write(self, name: str, df: DataFrame, partition_by: tuple[str, ...] = ()) -> None:
         """SK4: a new snapshot of one table."""
@@ -51,42 +94,70 @@ class TableStore:
 
     def write_all(self, tables: dict[str, DataFrame], partition_by: tuple[str, ...] = ()) -> None:
         """SK2: new snapshots of several tables, seen all at once or not at all."""
-        rows = []
-        for name, df in tables.items():
-            folder = f"{self.root}/{name}/{uuid.uuid4().hex}"
-            df.write.partitionBy(*partition_by).parquet(folder)
-            rows.append((name, folder))
-        version = time.time_ns()
-        self.spark.createDataFrame([(version, *r) for r in rows], LOG).coalesce(1).write.mode("append").parquet(f"{self.root}/_commits")
-
-    def replaced(self, name: str, new: DataFrame, of: DataFrame, keys: list[str]) -> DataFrame:
-        """The table with the new rows in the place of those whose keys are in `of`."""
-        if self._pointer(name) is None:
-            return new
-        return self.read(name).join(of.select(*keys).distinct(), keys, "left_anti").unionByName(new, allowMissingColumns=True)
+        self._commit([(name, df, "snapshot", None) for name, df in tables.items()], partition_by)
+
+    def change(self, tables: dict[str, tuple[DataFrame | None, DataFrame]], keys: list[str]) -> None:
+        """SK2, SK3: of each table (new rows or None, rows with the keys whose earlier rows go), in one commit that writes no more than these."""
+        parts = []
+        for name, (new, of) in tables.items():
+            entries = self._entries(name)
+            if not entries:
+                parts += [(name, new, "snapshot", None)] if new is not None else []
+                continue
+            if any(e.keys != ",".join(keys) for e in entries[1:]):  # changes by other keys are folded first
+                self.write(name, self.read(name))
+            rows = of.select(*keys).distinct().withColumn("_gone", F.lit(True))
+            parts.append((name, rows if new is None else new.withColumn("_gone", F.lit(False)).unionByName(rows, allowMissingColumns=True), "change", ",".join(keys)))
+        if parts:
+            self._commit(parts)
+        for name in tables:
+            self._fold(name)
+
+    def _fold(self, name: str) -> None:
+        entries = self._entries(name)
+        if sum(e.n for e in entries[1:]) * FOLD >= max(1, entries[0].n) if entries[1:] else False:
+            self.write(name, self.read(name))
+        elif len(entries) > MOST_CHANGES:
+            self._commit([(name, self._latest(entries[1:]), "merged", entries[1].keys)])
+
+    def sweep(self, older_than_s: float = 86_400) -> int:
+        """Deletes folders that no table is made of any more, and the log's old rows, if they are older than that, so that no reader still needs them; how many."""
+        live, before, gone = self._entries(), (time.time() - older_than_s) * 1000, 0
+        fs, top = self._path(self.root)
+        log = [f.getPath() for f in fs.listStatus(self._path(f"{self.root}/_commits")[1]) if f.getModificationTime() < before] if live else []
+        if len(log) > 1:
+            # All that is live, said once more; then what said it before can go.
+            again = [(e.version, e.name, e.folder, e.kind, e.keys, e.n) for e in live]
+            self.spark.createDataFrame(again, LOG).coalesce(1).write.mode("append").parquet(f"{self.root}/_commits")
+            for path in log:
+                gone += fs.delete(path, False)
+        held = {e.folder.rpartition("/")[2] for e in live}
+        for table in fs.listStatus(top) if fs.exists(top) else ():
+            if table.isDirectory() and not table.getPath().getName().startswith("_"):
+                for folder in fs.listStatus(table.getPath()):
+                    if folder.getPath().getName() not in held and folder.getModificationTime() < before:
+                        gone += fs.delete(folder.getPath(), True)
+        return gone
 
     def upsert_files(self, files: DataFrame) -> None:
         """SK2, SK17: files (schemas.FILE) and, in the same commit, their rows of both symbol tables."""
         from .code import symbol_definitions, symbol_imports
 
-        keys = ["branch_id", "path"]
-        held = files.select(*keys)
         definitions, imports = symbol_definitions(files), symbol_imports(files).withColumnRenamed("importer_file", "path")
-        self.write_all({"files_ir": self.replaced("files_ir", files, held, keys), "symbol_definitions": self.replaced("symbol_definitions", definitions, held, keys), "symbol_imports": self.replaced("symbol_imports", imports, held, keys)})
+        self.change({"files_ir": (files, files), "symbol_definitions": (definitions, files), "symbol_imports": (imports, files)}, ["branch_id", "path"])
 
     def delete_files(self, gone: DataFrame) -> list[str]:
         """SK3: the files (branch_id, path) and their symbols go, in one commit; the paths that were not there, whose symbols are swept all the same."""
         keys = ["branch_id", "path"]
         absent = sorted(r.path for r in gone.join(self.read("files_ir").select(*keys), keys, "left_anti").select("path").distinct().collect())
-        names = [n for n in ("files_ir", "symbol_definitions", "symbol_imports") if self._pointer(n)]
-        self.write_all({n: self.read(n).join(gone.select(*keys).distinct(), keys, "left_anti") for n in names})
+        self.change({n: (None, gone) for n in ("files_ir", "symbol_definitions", "symbol_imports") if self.has(n)}, keys)
         return absent
 
     def backfill_symbols(self) -> bool:
         """SK18: builds the symbol tables where files are there and definitions are not; whether it did."""
         from .code import symbol_definitions, symbol_imports
 
-        if not self._pointer("files_ir") or self._pointer("symbol_definitions") and self.read("symbol_definitions").head(1):
+        if not self.has("files_ir") or self.has("symbol_definitions") and self.read("symbol_definitions").head(1):
             return False
         files = self.read("files_ir")
         self.write_all({"symbol_definitions": symbol_definitions(files), "symbol_imports": symbol_imports(files).withColumnRenamed("importer_file", "path")})
@@ -95,7 +166,7 @@ class TableStore:
     def replace_conventions(self, branch: str, conventions: DataFrame, decided: DataFrame) -> None:
         """SK4: a branch's detected conventions are replaced by those on which nothing is decided; others' rows stay."""
         new = conventions.join(decided.select("description_hash").distinct(), "description_hash", "left_anti").withColumn("branch_id", F.lit(branch)).withColumn("source", F.lit("auto_detected"))
-        if self._pointer("nodes") is None:
+        if not self.has("nodes"):
             self.write("nodes", new)
             return
         stay = self.read("nodes").where((F.col("branch_id") != branch) | (F.col("source") != "auto_detected"))
@@ -132,7 +203,7 @@ class TableStore:
 
     def list_branches(self, name: str = "files_ir") -> list[str]:
         """SK14: branches with rows in a table (one row each), and the current one."""
-        found = {r[0] for r in self.read(name).select("branch_id").distinct().collect()} if self._pointer(name) else set()
+        found = {r[0] for r in self.read(name).select("branch_id").distinct().collect()} if self.has(name) else set()
         return sorted(found | {self.current_branch()})
 
     def load_branch(self, name: str, branch: str, most: int | None = None) -> DataFrame:
@@ -150,12 +221,11 @@ class TableStore:
 
     def upsert(self, name: str, new: DataFrame, keys: list[str]) -> None:
         """SK1, SK16, SK19, SK20, SK24"""
-        folder = self._pointer(name)
-        self.write(name, new if folder is None else R.keyed_upsert(self.spark.read.parquet(folder), new, keys))
+        self.change({name: (new, new)}, keys)
 
     def delete(self, name: str, gone: DataFrame, keys: list[str]) -> None:
         """SK3, SK9, SK13: the rows whose keys are in `gone` go."""
-        self.write(name, self.read(name).join(gone.select(*keys).distinct(), keys, "left_anti"))
+        self.change({name: (None, gone)}, keys)
 
     def prune(self, name: str, current: DataFrame, keys: list[str]) -> None:
         """SK16, U5: only the rows whose keys are in `current` stay."""
@@ -163,14 +233,12 @@ class TableStore:
 
     def create_snapshot(self, tables: list[str], source: str, target: str) -> None:
         """SK12: every column of the source branch's rows under the new branch."""
-        for name in tables:
-            df = self.read(name)
-            self.write(name, df.where(F.col("branch_id") != target).unionByName(df.where(F.col("branch_id") == source).withColumn("branch_id", F.lit(target))))
+        rows = {name: self.read(name) for name in tables}
+        self.write_all({name: df.where(F.col("branch_id") != target).unionByName(df.where(F.col("branch_id") == source).withColumn("branch_id", F.lit(target))) for name, df in rows.items()})
 
     def delete_branch(self, tables: list[str], branch: str) -> None:
         """SK13"""
-        for name in tables:
-            self.write(name, self.read(name).where(F.col("branch_id") != branch))
+        self.write_all({name: self.read(name).where(F.col("branch_id") != branch) for name in tables})
 
     def orphan_branches(self, name: str, live: list[str], protected: tuple[str, ...] = ("main",)) -> list[str]:
         """SK15: branches of a table that neither live nor are protected (branches are few: one row each)."""
