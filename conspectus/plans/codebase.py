@@ -14,12 +14,13 @@ from .. import schemas
 from ..operators import detectors
 from ..operators import graph as G
 from ..operators import relational as R
-from ..session import shared_dir
+from ..session import drop_folder, shared_dir
 from ..sources.changes import blob_pairs, enumerate_changes
 from ..sources.code import parse_files, symbol_definitions, symbol_imports
 from ..sources.diff import ALL, file_hunks
 from ..sources.project import markdown_sections, module_graph
 from ..sources.store import TableStore
+from ..streaming.incremental import ConventionState
 from ..streaming.watch import hot_tier
 from . import conventions as C
 from .kernels import query, t
@@ -259,16 +260,44 @@ def ST1_SK1_hot_tier_stream(spark: SparkSession, sf: str) -> DataFrame:
         store.delete("files", gone, ["path"])
 
     hot_tier(changes, apply, f"{root}/checkpoint", once=True).awaitTermination()
-    return store.read("files")
+    found = G.keep(store.read("files"))
+    drop_folder(spark, root)
+    return found
 
 
 @query("SELECT CASE n WHEN 0 THEN 'main' ELSE 'dev' END AS branch_id, n_nationkey, n_name FROM nation, (VALUES (0), (1)) AS v(n) WHERE NOT (n = 1 AND n_nationkey < 3)")
 def SK12_SK9_snapshot_of_a_branch(spark: SparkSession, sf: str) -> DataFrame:
-    store = TableStore(spark, f"{shared_dir(spark).rstrip('/')}/snapshot-{uuid.uuid4().hex}")
+    root = f"{shared_dir(spark).rstrip('/')}/snapshot-{uuid.uuid4().hex}"
+    store = TableStore(spark, root)
     store.write("nations", t(spark, sf, "nation").select(F.lit("main").alias("branch_id"), "n_nationkey", "n_name"))
     store.create_snapshot(["nations"], "main", "dev")
     store.delete("nations", store.read("nations").where("branch_id = 'dev' AND n_nationkey < 3"), ["branch_id", "n_nationkey"])
-    return store.read("nations")
+    found = G.keep(store.read("nations"))
+    drop_folder(spark, root)
+    return found
+
+
+_BATCHES = """WITH e AS (SELECT *, event_id % 3 AS b FROM events), l AS (SELECT user_id, max(b) AS b FROM e GROUP BY 1),
+f AS (SELECT event_type, value >= 50 AS follows, CASE WHEN event_id % 5 > 0 THEN date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) * 86400 END AS d FROM e JOIN l USING (user_id, b) WHERE user_id % 10 <> 0),
+n AS (SELECT event_type AS description, count(*) AS total_count, count(*) FILTER (WHERE follows) AS adoption_count, CAST(quantile_disc(d, 0.9) AS BIGINT) AS p90 FROM f GROUP BY 1)
+SELECT description, total_count, adoption_count, round(adoption_count / total_count, 6) AS confidence, p90 FROM n"""
+
+
+@query(_BATCHES)
+def ST2_A1_incremental_conventions(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as findings of their users: two batches that each replace what a user had before, after a first one, and a last change that deletes users."""
+    root = f"{shared_dir(spark).rstrip('/')}/state-{uuid.uuid4().hex}"
+    state = ConventionState(TableStore(spark, root))
+    date = F.when(F.col("event_id") % 5 > 0, F.datediff(F.to_date("ts"), F.lit("1970-01-01").cast("date")).cast("bigint") * 86400)
+    rows = t(spark, sf, "events").select(F.col("event_id") % 3, F.col("user_id").cast("string").alias("path"), F.lit("events").alias("detector"), F.col("event_type").alias("description"), F.lit("convention").alias("nature"), (F.col("value") >= 50).alias("follows"), date.alias("last_commit_date"))
+    rows = rows.toDF("b", *rows.columns[1:])
+    for b in range(3):
+        some = rows.where(F.col("b") == b)
+        state.apply(some, some)
+    state.apply(rows.where("false"), rows.where("path % 10 = 0"))
+    found = G.keep(state.conventions().select("description", "total_count", "adoption_count", "confidence", "p90"))
+    drop_folder(spark, root)
+    return found
 
 
 @query("SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")

@@ -53,9 +53,15 @@ def ship_package(spark: SparkSession) -> None:
     sc._conspectus_shipped = True
 
 
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder, in whatever store it is."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def new_session(app: str = "conspectus", **conf: str) -> SparkSession:
-    """A session with what the engine relies on: UTC, adaptive execution."""
-    builder = SparkSession.builder.appName(app).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true")
+    """A session with what the engine relies on: UTC, adaptive execution, checkpoints that go when nothing refers to them."""
+    builder = SparkSession.builder.appName(app).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true").config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     for k, v in conf.items():
         builder = builder.config(k, v)
     return builder.getOrCreate()

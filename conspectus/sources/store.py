@@ -29,22 +29,24 @@ MOST_CHANGES, FOLD = 16, 4
 class TableStore:
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
+        self._known: tuple[list[str], list[Row]] = ([], [])
 
     def _path(self, folder: str) -> tuple:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
-    def _log(self) -> DataFrame | None:
+    def _log(self) -> list[Row]:
+        """One row for each table of each commit since the last sweep; read anew only if there are other files than before."""
         fs, path = self._path(f"{self.root}/_commits")
-        return self.spark.read.schema(LOG).parquet(f"{self.root}/_commits") if fs.exists(path) else None
+        names = sorted(f.getPath().getName() for f in fs.listStatus(path)) if fs.exists(path) else []
+        if names != self._known[0]:
+            self._known = names, self.spark.read.schema(LOG).parquet(f"{self.root}/_commits").collect()
+        return self._known[1]
 
     def _entries(self, name: str | None = None) -> list[Row]:
         """What a table is made of: its last snapshot and the changes since, in order, or since the last merge of these; of all tables without a name."""
-        log = self._log()
-        if log is None:
-            return []
         out: dict[str, list[Row]] = {}
-        for e in sorted((log if name is None else log.where(F.col("name") == name)).collect(), key=lambda e: e.version):  # one row for each commit since the last sweep
+        for e in sorted((e for e in self._log() if name in (None, e.name)), key=lambda e: e.version):
             held = out.setdefault(e.name, [])
             if e.kind == "snapshot":
                 held.clear()
@@ -96,11 +98,11 @@ class TableStore:
         """SK2: new snapshots of several tables, seen all at once or not at all."""
         self._commit([(name, df, "snapshot", None) for name, df in tables.items()], partition_by)
 
-    def change(self, tables: dict[str, tuple[DataFrame | None, DataFrame]], keys: list[str]) -> None:
-        """SK2, SK3: of each table (new rows or None, rows with the keys whose earlier rows go), in one commit that writes no more than these."""
+    def change(self, tables: dict[str, tuple[DataFrame | None, DataFrame]], by: list[str] | dict[str, list[str]]) -> None:
+        """SK2, SK3: of each table (new rows or None, rows with the keys whose earlier rows go), in one commit that writes no more than these. by: the keys, of all tables or of each."""
         parts = []
         for name, (new, of) in tables.items():
-            entries = self._entries(name)
+            entries, keys = self._entries(name), by[name] if isinstance(by, dict) else by
             if not entries:
                 parts += [(name, new, "snapshot", None)] if new is not None else []
                 continue
