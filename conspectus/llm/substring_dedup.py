@@ -7,7 +7,7 @@ mostly share their minimum, which is written once: a dozen rows for a hundred wo
 each is joined to all others; in a larger one to the first (smallest document, then position), and all words around its
 occurrences are joined by the hashes of their exact paragraphs. Keys that then still have occurrences in no passage are
 refined: each occurrence meets those that share, besides the key, a shingle that an equal run beyond an edit could begin or end
-with, by the same rule of FEW or the first. Occurrences of two documents are
+with and that the key's first holder lacks there, by the same rule of FEW or the first. Occurrences of two documents are
 verified together on the full word sequences, a holder's words going once to each CHUNK of documents: runs of equal words
 are followed across gaps of at most GAP words on
 either side, so over inserted and deleted words too, and of each chain the longest stretches count whose shingles have
@@ -43,6 +43,8 @@ AT, OF = 80, 100
 BAND = 10
 #: Shingles of a text whose places are told apart by the low bits of their hashes; longer texts are taken in overlapping parts.
 PART = 1 << 22
+#: Keys, of eight bytes each, of first holders that are broadcast at most.
+FIRST_ROWS = 1_000_000
 #: Documents that are compared with one holder's words in one go.
 CHUNK = 64
 #: Words of a diagonal that are compared at once around a place where two documents meet.
@@ -410,8 +412,12 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     left = often.join(materialise(spans), "id", "left").where((F.col("id") != nodes.id("pivot")) & ~F.coalesce(inside, F.lit(False)))
     open_keys = materialise(left.select("key").distinct())
     if open_keys.head(1):
-        around = materialise(often.join(if_small(open_keys), "key").groupBy("id").agg(F.collect_set(F.struct("at", "key")).alias("places")))
-        refined = nodes.of(_refined(items, around))  # made twice, as most of it is in one document alone and need not be kept
+        opened = often.join(if_small(open_keys), "key")
+        by_id = lambda df: df.groupBy("id").agg(F.collect_set(F.struct("at", "key")).alias("places"))
+        # What stands beside a key in its first holder is of no use: that has been compared. In copies and common lines it is nearly all.
+        first = materialise(_refined(items, by_id(opened.where("node = pivot"))).select("key").distinct())
+        # Made twice, as what is left is mostly in one document alone and need not be kept.
+        refined = nodes.of(_refined(items, materialise(by_id(opened))).join(if_small(first, FIRST_ROWS), "key", "left_anti"))
         done = pairs.select("id", "other", F.explode("places").alias("place")).select("id", "other", "place.shift", "place.cell")
         met = few_or_first(materialise(refined.join(held(refined), "key"))).distinct()
         more = pairs_of(met.join(done, ["id", "other", "shift", "cell"], "left_anti"))
