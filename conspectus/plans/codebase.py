@@ -15,6 +15,7 @@ from ..operators import detectors
 from ..operators import graph as G
 from ..operators import relational as R
 from ..session import drop_folder, shared_dir
+from ..sources import tree
 from ..sources.changes import blob_pairs, enumerate_changes
 from ..sources.code import parse_files, symbol_definitions, symbol_imports
 from ..sources.diff import ALL, file_hunks
@@ -402,3 +403,45 @@ def Q_DIFF_impact(spark: SparkSession, sf: str) -> DataFrame:
     found = C.diff_impact(f.withColumn("imports", named), file_hunks(blob_pairs(changes, blobs)))
     lines = F.array_join(F.transform("changed_lines", lambda x: F.concat_ws("-", x["first"], x["last"])), ",")
     return found.select("path", "symbol_name", "kind", "line", lines.alias("changed_lines"), "direct", "transitive", F.array_join("dependents", ",").alias("dependents"), "blast_radius")
+
+
+_IGNORE = {"": "# built\n*.js\n!m_*7.js\n/pkg3/\nc2\n!crates/c2/src/m_2.rs\n", "web/d2": "!*.js\nm_1*.ts\n!m_1[0-4]*.ts\n", "pkg1": "/**/m_?1.py\n!m_21.py \n"}
+_KEPT = """path NOT LIKE 'pkg3/%' AND path NOT LIKE 'crates/c2/%' AND path NOT LIKE 'pkg4/%' AND path NOT LIKE '%/.%'
+  AND (path NOT LIKE '%.js' OR path LIKE 'web/d2/%' OR path LIKE '%7.js') AND (path NOT LIKE 'web/d2/m_1%.ts' OR regexp_matches(path, '/m_1[0-4][0-9]*[.]ts$'))
+  AND NOT (regexp_matches(path, '^pkg1/m_.1[.]py$') AND path <> 'pkg1/m_21.py')"""
+_WALKED = f"CASE WHEN k % 9 = 4 THEN regexp_replace(path, '/([^/]*)$', '/.cache/{{}}1') ELSE path END"
+
+
+@query(SQL + f"SELECT path FROM (SELECT {_WALKED.format(chr(92))} AS path FROM f) WHERE {_KEPT}")
+def SC1_SC2_walked_files(spark: SparkSession, sf: str) -> DataFrame:
+    """The files of all parts, some in hidden folders, by nested ignore files and a submodule."""
+    paths = t(spark, sf, "part").select(F.col("p_partkey").alias("k"), F.expr(PATH.format(k="p_partkey")).alias("path"))
+    paths = paths.select(F.when(F.col("k") % 9 == 4, F.regexp_replace("path", "/([^/]*)$", "/.cache/$1")).otherwise(F.col("path")).alias("path"))
+    ignores = spark.createDataFrame([(f"{folder}/.gitignore".removeprefix("/"), text) for folder, text in _IGNORE.items()], "path string, content string")
+    return tree.walked(paths, ignores, spark.createDataFrame([("pkg4",)], "path string"))
+
+
+@query(SQL + f"SELECT DISTINCT {FOLDER.format(c='importer')} AS source, {FOLDER.format(c='target')} AS target FROM e WHERE {FOLDER.format(c='importer')} <> {FOLDER.format(c='target')}")
+def J18_module_dependencies(spark: SparkSession, sf: str) -> DataFrame:
+    """Folders whose files import others'; Rust modules are named by their whole paths here."""
+    number = lambda m: F.regexp_extract(m, "m_([0-9]+)$", 1).cast("bigint")
+    whole = F.transform("imports", lambda i: i.withField("module", F.when(i["module"].startswith("crate::m_"), F.concat(F.lit("crates::c"), (number(i["module"]) % 7).cast("string"), F.lit("::src::m_"), number(i["module"]).cast("string"))).otherwise(i["module"])))
+    return tree.module_dependencies(files(spark, sf).withColumn("imports", whole))
+
+
+_TREES = "SELECT s_suppkey AS id, CASE WHEN s_suppkey > 2 THEN s_suppkey - 1 - (s_suppkey % 4 = 0)::INT WHEN s_suppkey > (SELECT min(s_suppkey) FROM supplier) THEN s_suppkey - 1 END AS parent, CAST(floor(s_acctbal) AS BIGINT) AS ts FROM supplier"
+
+
+@query(f"""WITH RECURSIVE c AS ({_TREES}), w(id, pos) AS (SELECT max(id), 0 FROM c UNION ALL SELECT c.parent, w.pos + 1 FROM w JOIN c ON c.id = w.id WHERE c.parent IS NOT NULL),
+t AS (SELECT w.pos, c.ts, n_name AS path, w.id // (n_nationkey % 6 + 2) AS oid FROM w JOIN c USING (id), nation WHERE (w.id + n_nationkey) % 7 <> 0),
+d AS (SELECT coalesce(a.pos, b.pos - 1) AS pos, coalesce(a.path, b.path) AS path FROM t a FULL JOIN t b ON b.pos = a.pos + 1 AND b.path = a.path WHERE a.oid IS DISTINCT FROM b.oid)
+SELECT path, c.ts AS last_commit_date FROM (SELECT path, min(pos) AS pos FROM d WHERE pos >= 0 GROUP BY 1) JOIN w USING (pos) JOIN c USING (id)""")
+def SC16_last_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """A history with a commit for each supplier, some of which have another first parent than the one before, and a path for each nation."""
+    k = F.col("s_suppkey")
+    s = t(spark, sf, "supplier")
+    parent = F.when(k > 2, k - 1 - (k % 4 == 0).cast("int")).when(k > s.agg(F.min("s_suppkey")).first()[0], k - 1)
+    commits = s.select(k.alias("id"), parent.alias("parent"), F.floor("s_acctbal").cast("bigint").alias("ts"))
+    rows = commits.join(F.broadcast(t(spark, sf, "nation").select("n_nationkey", F.col("n_name").alias("path"))), (F.col("id") + F.col("n_nationkey")) % 7 != 0)
+    trees = rows.select(F.col("id").alias("commit"), "path", F.expr("id div (n_nationkey % 6 + 2)").alias("oid"))
+    return tree.last_changes(commits, trees, commits.agg(F.max("id").alias("id")))
