@@ -5,6 +5,7 @@ A part is a file in one of four languages; a line item is an import, of another
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +20,7 @@ from ..sources import tree
 from ..sources.changes import blob_pairs, enumerate_changes
 from ..sources.code import parse_files, symbol_definitions, symbol_imports
 from ..sources.diff import ALL, file_hunks
-from ..sources.project import markdown_sections, module_graph
+from ..sources.project import markdown_sections, module_graph, workspace_names
 from ..sources.store import TableStore
 from ..streaming.incremental import ConventionState
 from ..streaming.watch import hot_tier
@@ -445,3 +446,16 @@ def SC16_last_changes(spark: SparkSession, sf: str) -> DataFrame:
     rows = commits.join(F.broadcast(t(spark, sf, "nation").select("n_nationkey", F.col("n_name").alias("path"))), (F.col("id") + F.col("n_nationkey")) % 7 != 0)
     trees = rows.select(F.col("id").alias("commit"), "path", F.expr("id div (n_nationkey % 6 + 2)").alias("oid"))
     return tree.last_changes(commits, trees, commits.agg(F.max("id").alias("id")))
+
+
+@query("""SELECT CASE s_suppkey % 4 WHEN 1 THEN 'apps/a' || s_suppkey WHEN 2 THEN 'libs/x/b' || s_suppkey WHEN 3 THEN 'other/o' || s_suppkey ELSE 'crates/c-' || s_suppkey END AS folder,
+  CASE s_suppkey % 4 WHEN 0 THEN 'crate_' || s_suppkey ELSE '@s/p-' || s_suppkey END AS name FROM supplier
+UNION SELECT '', CASE s_suppkey % 4 WHEN 0 THEN 'crate_' || s_suppkey ELSE '@s/p-' || s_suppkey END FROM supplier WHERE s_suppkey % 4 IN (0, 2) OR s_suppkey % 4 = 1 AND s_suppkey % 20 >= 10 OR s_suppkey = 3 UNION SELECT '', 'root'""")
+def SC11_workspace_names(spark: SparkSession, sf: str) -> DataFrame:
+    """A manifest for each supplier, of a crate or a package, and two workspaces above them, whose patterns leave some out."""
+    s = t(spark, sf, "supplier").select(F.col("s_suppkey").alias("k"), (F.col("s_suppkey") % 4).alias("m"))
+    path = F.expr("CASE m WHEN 1 THEN concat('apps/a', k, '/package.json') WHEN 2 THEN concat('libs/x/b', k, '/package.json') WHEN 3 THEN concat('other/o', k, '/package.json') ELSE concat('crates/c-', k, '/Cargo.toml') END")
+    content = F.when(F.col("m") == 0, F.format_string('[package]\nname = "crate-%s"\n', "k")).otherwise(F.format_string('{"name": "@s/p-%s"}', "k"))
+    each = [x for d in range(100) for x in ([f"apps/a*{d:02}"] if d % 20 >= 10 and d % 4 == 1 else [])] + [f"apps/a{d}" for d in range(10) if d % 20 >= 10]
+    roots = [("Cargo.toml", '[workspace]\nmembers = ["crates/*", "tools/none", "/abs/*"]\n'), ("package.json", json.dumps({"name": "root", "workspaces": {"packages": [*each, "libs/**", "other/o3", "../out/*"]}}))]
+    return workspace_names(s.select(path.alias("path"), content.alias("content")).unionAll(spark.createDataFrame(roots, "path string, content string")))

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import relational as R
+from ..session import ship_package
+from .tree import path_pattern
 
 
 def parse_manifest(name: str, content: str) -> list[dict]:
@@ -130,6 +132,56 @@ def _member_names(globs: list[str]) -> list[str]:
     return [last for g in globs if isinstance(g, str) and not g.startswith("!") and (last := g.rstrip("/").rpartition("/")[2]) and "*" not in last]
 
 
+def _manifest(path: str, content: str) -> tuple[str, list[str], list[str]]:
+    """(Kind, names that a manifest gives its own package, patterns of its workspace's members)."""
+    name = path.rpartition("/")[2]
+    if name.endswith((".yaml", ".yml")):
+        return "js", [], re.findall(r"^\s*-\s*['\"]?([^'\"#\s]+)", content, re.M)
+    try:
+        data = json.loads(content.removeprefix("\ufeff")) if name.endswith(".json") else tomllib.loads(content)
+    except ValueError:
+        return "", [], []
+    if not isinstance(data, dict):
+        return "", [], []
+    listed = lambda x: [y for y in x if isinstance(y, str)] if isinstance(x, list) else []
+    if name.endswith(".json"):
+        spaces = data.get("workspaces")
+        return "js", listed([data.get("name")]), listed(spaces.get("packages") if isinstance(spaces, dict) else spaces)
+    if name == "Cargo.toml":
+        table = lambda k: data.get(k) if isinstance(data.get(k), dict) else {}
+        return "rust", [x.replace("-", "_") for x in listed([table("package").get("name")])], listed(table("workspace").get("members"))
+    return "python", internal_names(path, content), []
+
+
+def workspace_names(manifests: DataFrame) -> DataFrame:
+    """SC11: (folder, name): the names of the project's own packages by their manifests (path, content), and of what their workspaces hold: (folder of the workspace, name).
+
+    Member patterns are matched against the folders of the other manifests of their kind, each of which meets the patterns of
+    the folders above it. Absolute patterns, those that leave the workspace, and folders without a manifest name nothing.
+    """
+    ship_package(manifests.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                kind, names, members = _manifest(path, content or "")
+                safe = [m.strip().removeprefix("./").rstrip("/") or "." for m in members if m.strip() and not m.startswith("/") and ".." not in m.split("/")]
+                rows.append((path.rpartition("/")[0], kind, [n for n in names if n.strip()], [path_pattern(m) if set("*?[") & set(m) else re.escape(m) for m in safe]))
+            kinds = (pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["folder", "kind", "names", "members"])
+
+    read = manifests.select("path", F.col("content").cast("string")).mapInArrow(run, "folder string, kind string, names array<string>, members array<string>")
+    own = read.select("folder", "kind", F.explode("names").alias("name"))
+    patterns = read.select("folder", "kind", F.explode("members").alias("pattern")).distinct()
+    parts = F.split("inner", "/")
+    above = F.concat(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/")))
+    inner = own.where("kind != 'python'").select(F.col("folder").alias("inner"), "kind", "name").withColumn("folder", F.explode(F.array_distinct(above)))
+    below = F.when(F.col("inner") == F.col("folder"), ".").when(F.col("folder") == "", F.col("inner")).otherwise(F.expr("substr(inner, length(folder) + 2)"))
+    members = inner.join(R.if_few(patterns), ["folder", "kind"]).where(F.regexp_like(below, F.concat(F.lit("^(?:"), F.col("pattern"), F.lit(")$"))))
+    return own.select("folder", "name").unionAll(members.select("folder", "name")).distinct()
+
+
 def openapi_facts(docs: DataFrame, key: str, text: str) -> DataFrame:
     """SC14: (key, kind, name, description): the API, endpoints and schemas of OpenAPI and Swagger documents, in JSON or, where a reader of it is installed, YAML."""
 

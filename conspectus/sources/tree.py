@@ -16,7 +16,7 @@ from ..session import ship_package
 # --- SC1: ignore rules -------------------------------------------------------------------------------------------------
 
 
-def _glob(pattern: str) -> str:
+def path_pattern(pattern: str) -> str:
     """A regular expression for the paths that a pattern of an ignore file matches: ** crosses folders, *, ? and [...] do not."""
     out, k = "", 0
     while k < len(pattern):
@@ -56,7 +56,7 @@ def rules_of(content: str) -> list[tuple[int, str, bool, bool]]:
         if not text:
             continue
         anchored = "/" in text
-        out.append((line, ("" if anchored else "(?:.*/)?") + _glob(text.removeprefix("/")), back, folders))
+        out.append((line, ("" if anchored else "(?:.*/)?") + path_pattern(text.removeprefix("/")), back, folders))
     return out
 
 

@@ -73,3 +73,17 @@ def test_histories(spark):
     assert [x.id for x in tree.first_parents(c, head).orderBy("pos").collect()] == walk
     assert {x.path: x.last_commit_date for x in tree.last_changes(c, spark.createDataFrame(trees, "commit int, path string, oid string"), head).collect()} == want
     assert tree.first_parents(c.where("id = 0"), c.where("id = 0").select("id")).collect() == [(0, 0)] and tree.first_parents(c, c.where("false").select("id")).count() == 0
+
+
+def test_workspace_names(spark):
+    from conspectus.sources import project
+
+    files = {
+        "Cargo.toml": '[package]\nname = "top-crate"\n[workspace]\nmembers = ["crates/*", "tools/cli", "crates/deep/?n", "/abs", "../up"]\n', "crates/a/Cargo.toml": '[package]\nname = "crate-a"\n', "crates/deep/in/Cargo.toml": '[package]\nname = "inner"\n',
+        "tools/cli/Cargo.toml": '[package]\nname = "cli"\n', "tools/other/Cargo.toml": '[package]\nname = "other"\n', "crates/broken/Cargo.toml": "not = [toml", "crates/js/package.json": '{"name": "js"}',
+        "web/package.json": '﻿{"name": "web", "workspaces": ["packages/*", ".", "!packages/x", ""]}', "web/packages/x/package.json": '{"name": "@w/x"}', "web/packages/y/package.json": '{"name": ""}', "web/packages/z/q/package.json": '{"name": "q"}',
+        "p/pnpm-workspace.yaml": "packages:\n  - 'libs/**'\n  - apps/one\n", "p/libs/m/n/package.json": '{"name": "n"}', "p/apps/one/package.json": '{"name": "one"}', "py/pyproject.toml": '[project]\nname = "my-py"\n', "l/package.json": "[1]",
+    }
+    found = {tuple(x) for x in project.workspace_names(spark.createDataFrame(sorted(files.items()), "path string, content string")).collect()}
+    own = {("", "top_crate"), ("crates/a", "crate_a"), ("crates/deep/in", "inner"), ("tools/cli", "cli"), ("tools/other", "other"), ("crates/js", "js"), ("web", "web"), ("web/packages/x", "@w/x"), ("web/packages/z/q", "q"), ("p/libs/m/n", "n"), ("p/apps/one", "one"), ("py", "my_py")}
+    assert found == own | {("", "crate_a"), ("", "cli"), ("", "inner"), ("web", "@w/x"), ("web", "web"), ("p", "n"), ("p", "one")}
