@@ -195,7 +195,9 @@ def _refined(items: DataFrame, around: DataFrame, most: int = 4096) -> DataFrame
                     new = new[ok].view(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(new), pa.array(np.full(len(new), batch.column(0)[k].as_py(), np.int64)), pa.array(at, pa.int64())], ["key", "id", "at"])
 
-    return items.join(around, "id").select("id", "text", "places").mapInArrow(run, "key bigint, id bigint, at bigint")
+    # Only the texts that hold such places are shuffled.
+    held = items.join(if_small(around.select("id")), "id", "left_semi").join(around, "id")
+    return held.select("id", "text", "places").mapInArrow(run, "key bigint, id bigint, at bigint")
 
 
 def digest(words: np.ndarray) -> int:
@@ -413,11 +415,10 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     open_keys = materialise(left.select("key").distinct())
     if open_keys.head(1):
         opened = often.join(if_small(open_keys), "key")
-        by_id = lambda df: df.groupBy("id").agg(F.collect_set(F.struct("at", "key")).alias("places"))
+        by_id = lambda df: materialise(df.groupBy("id").agg(F.collect_set(F.struct("at", "key")).alias("places")))
         # What stands beside a key in its first holder is of no use: that has been compared. In copies and common lines it is nearly all.
         first = materialise(_refined(items, by_id(opened.where("node = pivot"))).select("key").distinct())
-        # Made twice, as what is left is mostly in one document alone and need not be kept.
-        refined = nodes.of(_refined(items, materialise(by_id(opened))).join(if_small(first, FIRST_ROWS), "key", "left_anti"))
+        refined = materialise(nodes.of(_refined(items, by_id(opened)).join(if_small(first, FIRST_ROWS), "key", "left_anti")))
         done = pairs.select("id", "other", F.explode("places").alias("place")).select("id", "other", "place.shift", "place.cell")
         met = few_or_first(materialise(refined.join(held(refined), "key"))).distinct()
         more = pairs_of(met.join(done, ["id", "other", "shift", "cell"], "left_anti"))
