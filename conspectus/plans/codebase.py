@@ -20,7 +20,7 @@ from ..sources import tree
 from ..sources.changes import blob_pairs, enumerate_changes
 from ..sources.code import parse_files, symbol_definitions, symbol_imports
 from ..sources.diff import ALL, file_hunks
-from ..sources.project import markdown_sections, module_graph, workspace_names
+from ..sources.project import markdown_sections, module_graph, openapi_facts, schema_facts, workspace_names
 from ..sources.store import TableStore
 from ..streaming.incremental import ConventionState
 from ..streaming.watch import hot_tier
@@ -459,3 +459,36 @@ def SC11_workspace_names(spark: SparkSession, sf: str) -> DataFrame:
     each = [x for d in range(100) for x in ([f"apps/a*{d:02}"] if d % 20 >= 10 and d % 4 == 1 else [])] + [f"apps/a{d}" for d in range(10) if d % 20 >= 10]
     roots = [("Cargo.toml", '[workspace]\nmembers = ["crates/*", "tools/none", "/abs/*"]\n'), ("package.json", json.dumps({"name": "root", "workspaces": {"packages": [*each, "libs/**", "other/o3", "../out/*"]}}))]
     return workspace_names(s.select(path.alias("path"), content.alias("content")).unionAll(spark.createDataFrame(roots, "path string, content string")))
+
+
+@query(SQL + f""", u AS (SELECT list(DISTINCT f.path) AS importers FROM l JOIN f USING (k) WHERE l.kind = 0 AND {_NAMED.replace('name', 'l.name')} = 'load_item'),
+dd AS (SELECT path, kind, list_sort(list_filter(importers, lambda p: p <> path)) AS x FROM u, (SELECT path, 'function' AS kind FROM f WHERE s % 3 = 0 UNION ALL SELECT path, 'export' FROM f WHERE s % 6 = 0))
+SELECT path, kind, len(x) AS n_dependents, md5(array_to_string(x, ',')) AS dependents, CASE WHEN len(x) > 20 THEN 'high' WHEN len(x) >= 5 THEN 'medium' ELSE 'low' END AS blast_radius FROM dd""")
+def Q_PAT_dependents_of_symbols(spark: SparkSession, sf: str) -> DataFrame:
+    """Symbols of a name with the files that import it, all of them."""
+    named = F.transform("imports", lambda i: i.withField("names", F.transform(i["names"], lambda n: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for p in _NAMES.items() for x in p]), n), n))))
+    found = C.query_code_pattern(files(spark, sf).withColumn("imports", named), "load_item")
+    return found.select("path", "kind", F.size("dependent_files").cast("bigint").alias("n_dependents"), F.md5(F.array_join("dependent_files", ",")).alias("dependents"), "blast_radius")
+
+
+_SCHEMAS = """CASE c_custkey % 4 WHEN 0 THEN '{"$schema": "s", "properties": {"name": {"type": "string", "description": "Of ' || c_name || '"}, "p' || c_custkey || '": {"type": "integer"}}}'
+WHEN 1 THEN '{"type": "object", "title": "T", "properties": {"q' || c_custkey || '": {"description": "' || c_mktsegment || '"}}}' WHEN 2 THEN '{"type": "object"}' ELSE 'no {json' END"""
+
+
+@query("""SELECT c_custkey, 'name' AS element, 'string' AS type, 'Of ' || c_name AS description FROM customer WHERE c_custkey % 4 = 0 UNION ALL SELECT c_custkey, 'p' || c_custkey, 'integer', NULL FROM customer WHERE c_custkey % 4 = 0
+UNION ALL SELECT c_custkey, 'q' || c_custkey, NULL, c_mktsegment FROM customer WHERE c_custkey % 4 = 1""")
+def SC13_schema_properties(spark: SparkSession, sf: str) -> DataFrame:
+    """A document for each customer: schemas of two kinds, an object that is none, and one that cannot be read."""
+    return schema_facts(t(spark, sf, "customer").select("c_custkey", F.expr(_SCHEMAS.replace("c_custkey ||", "CAST(c_custkey AS STRING) ||")).alias("text")), "c_custkey", "text")
+
+
+_APIS = """CASE s_suppkey % 3 WHEN 0 THEN '{"openapi": "3.0", "info": {"title": "' || s_name || '", "version": "1"}, "paths": {"/a' || s_suppkey || '": {"get": {"summary": "Get"}, "post": {}, "parameters": []}}, "components": {"schemas": {"S' || s_suppkey || '": {"description": "d"}}}}'
+WHEN 1 THEN '{"swagger": "2.0", "definitions": {"D' || s_suppkey || '": {}}}' ELSE '{"info": {"title": "none"}}' END"""
+
+
+@query("""SELECT s_suppkey, 'api' AS kind, CASE s_suppkey % 3 WHEN 0 THEN s_name ELSE '' END AS name, CASE s_suppkey % 3 WHEN 0 THEN '1' ELSE '' END AS description FROM supplier WHERE s_suppkey % 3 < 2
+UNION ALL SELECT s_suppkey, 'endpoint', 'GET /a' || s_suppkey, 'Get' FROM supplier WHERE s_suppkey % 3 = 0 UNION ALL SELECT s_suppkey, 'endpoint', 'POST /a' || s_suppkey, '' FROM supplier WHERE s_suppkey % 3 = 0
+UNION ALL SELECT s_suppkey, 'schema', 'S' || s_suppkey, 'd' FROM supplier WHERE s_suppkey % 3 = 0 UNION ALL SELECT s_suppkey, 'schema', 'D' || s_suppkey, '' FROM supplier WHERE s_suppkey % 3 = 1""")
+def SC14_openapi_facts(spark: SparkSession, sf: str) -> DataFrame:
+    """A document for each supplier: interfaces of two versions, and one that describes none."""
+    return openapi_facts(t(spark, sf, "supplier").select("s_suppkey", F.expr(_APIS.replace("s_suppkey ||", "CAST(s_suppkey AS STRING) ||")).alias("text")), "s_suppkey", "text")
