@@ -59,7 +59,7 @@ def test_bursts_across_batches(spark, tmp_path):
 
     send(("a", 1, "create"), ("b", 1, "create"), ("a", 3, "modify"), ("a", 2, "modify"))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
-    query = incremental.debounced(stream, 4000).writeStream.format("memory").queryName("quiet").outputMode("append").option("checkpointLocation", f"{tmp_path}/c").trigger(processingTime="200 milliseconds").start()
+    query = incremental.debounced(stream, 12_000).writeStream.format("memory").queryName("quiet").outputMode("append").option("checkpointLocation", f"{tmp_path}/c").trigger(processingTime="200 milliseconds").start()
     try:
         for k in (4, 5):
             time.sleep(2)
