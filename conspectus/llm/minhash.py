@@ -230,6 +230,11 @@ def _placed(buckets: DataFrame, found: DataFrame) -> DataFrame:
     return buckets.join(if_small(found), "id", "left").select("key", "pivot", "id", F.coalesce("component", "id").alias("comp"))
 
 
+def _stars(found: DataFrame) -> DataFrame:
+    """Links (a, b) of what is linked so far, each id with its component alone."""
+    return found.where("id != component").select(F.col("component").alias("a"), F.col("id").alias("b"))
+
+
 def near_components(items: DataFrame, b: Banding = DOCUMENTS) -> tuple[DataFrame, DataFrame]:
     """(Rows (id, n) of all items (id bigint, text string); rows (id, component) of those that are linked with others)."""
     sig = materialise(signatures(items, b))
@@ -245,15 +250,13 @@ def near_components(items: DataFrame, b: Banding = DOCUMENTS) -> tuple[DataFrame
     buckets = materialise(keyed.join(materialise(met), "key"))
     star = materialise(buckets.where("id != pivot").groupBy(F.col("pivot").alias("a"), F.col("id").alias("b")).agg(F.count("*").alias("n")))
     likely = materialise(star.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b"))
-    links = materialise(verify(likely, items, b))
-    first = materialise(components(links))
+    first = materialise(components(materialise(verify(likely, items, b))))
     placed = _placed(buckets, first)
     strays = placed.groupBy("key").agg(F.min_by("comp", "id").alias("of_pivot"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("key", "of_pivot")
     strays = placed.join(materialise(strays), "key").where("comp != of_pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
     apart = materialise(strays.join(likely, ["a", "b"], "left_anti"))
     if apart.head(1):
-        links = materialise(links.unionAll(verify(apart, items, b)))
-        first = materialise(components(links))
+        first = materialise(components(_stars(first).unionAll(materialise(verify(apart, items, b)))))
         placed = _placed(buckets, first)
     # Second round: what is still divided in a bucket. Blocks are counted by members and their shingles.
     weighed = placed.join(one.select("id", "n", "keys"), "id").withColumn("w", F.lit(1) + F.floor(F.col("n") / WEIGHT))
@@ -267,8 +270,8 @@ def near_components(items: DataFrame, b: Banding = DOCUMENTS) -> tuple[DataFrame
         small_batches(items.sparkSession, 64)
         rest = rest.join(full, "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         rest = rest.select("key", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "id", "comp", "pivot", "keys", "full")
-        links = links.unionAll(materialise(_compare_blocks(rest, b)))
-    return sig.select("id", "n"), components(links.unionAll(copies))
+        copies = copies.unionAll(materialise(_compare_blocks(rest, b)))
+    return sig.select("id", "n"), components(_stars(first).unionAll(copies))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", b: Banding = DOCUMENTS) -> DataFrame:

@@ -69,6 +69,21 @@ def test_components_of_chains_and_hubs(spark):
     assert components.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
+def test_components_of_few_edges_take_few_jobs(spark, monkeypatch):
+    """Rounds over few edges are single plans; both ways give the same components."""
+    edges = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 100 + k) for k in range(1, 60)] + [(7, 130)], "a bigint, b bigint")
+    found, jobs = {}, {}
+    for few in (components.FEW_EDGES, 0):
+        monkeypatch.setattr(components, "FEW_EDGES", few)
+        spark.sparkContext.setJobGroup(f"components of {few}", "")
+        found[few] = sorted(tuple(r) for r in components.components(edges).collect())
+        jobs[few] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"components of {few}"))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    (few, one), (_, other) = found.items()
+    assert one == other and {c for _, c in one} == {0}
+    assert jobs[few] <= 0.75 * jobs[0]
+
+
 def test_divided_buckets_are_compared_exactly():
     """Members of one bucket in blocks: every link that joins components, none below the limit, each joined once."""
     r = np.random.default_rng(4)
