@@ -11,7 +11,8 @@ from conspectus.functions import text as T
 from conspectus.operators import graph as G
 from conspectus.operators import relational as R
 from conspectus.operators import search as S
-from conspectus.plans import catalog, kernels
+from conspectus.plans import catalog, codebase, kernels
+from conspectus.plans import conventions as C
 
 SF = "/root/testdata/sf0.001"
 
@@ -114,3 +115,27 @@ def test_numbers_in_order(spark):
     rows = spark.createDataFrame([(x,) for x in (5, 3, 9, 9, -1)], "x int")
     assert sorted((r.x, r.n) for r in R.numbered(rows, "x", "n").collect()) == [(-1, 1), (3, 2), (5, 3), (9, 4), (9, 5)]
     assert R.numbered(rows.where("false"), "x", "n").count() == 0
+
+
+def test_trailing_counts_are_running_sums(spark):
+    """Each row of a window is looked at once, at the windows' ends too; rows without a time count each other once."""
+    times = [0, 1, 5, 5, 9, 10, 11, 14, 15, 16, 26, 27, None, None]
+    found = R.trailing_count(spark.createDataFrame([("a", k, s) for k, s in enumerate(times)], "g string, k int, s bigint"), ["g"], F.col("s"), 10)
+    assert {r.k: r.trailing for r in found.collect()} == {k: sum(x is not None and s - 10 <= x <= s for x in times) if s is not None else 2 for k, s in enumerate(times)}
+    assert "-10" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_files_are_dealt_by_their_lines(spark):
+    """Costly work on each file has tasks for all cores, and more as the lines grow, though keys are short."""
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet")
+    n = R.tasks_for(lines)
+    assert n > 1 and R.tasks_for(lines, 100) == -(-lines.count() // 100)
+    assert codebase.files(spark, SF).select("path", "functions").rdd.getNumPartitions() == n
+
+
+def test_modules_are_looked_up_once(spark):
+    """What many files import is resolved once for a language, and a relative module once for each folder."""
+    files = codebase.files(spark, SF)
+    found = C.resolve_imports(files)
+    assert "posexplode" not in found._jdf.queryExecution().optimizedPlan().toString()  # candidates were looked up before
+    assert found.where("importer = target").isEmpty() and not found.isEmpty()
