@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_dir, ship_package
@@ -18,6 +18,8 @@ BATCH_ROWS = 256
 SLICE_BYTES = 1 << 20
 #: A side of at most this many narrow rows (ids or hashes, under 64 bytes each) is broadcast; a longer one is shuffled.
 BROADCAST_ROWS = 400_000
+#: Narrow rows that a task reads at least, of tables that have more than LEAST_PARTS partitions.
+TASK_ROWS, LEAST_PARTS = 4096, 8
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +38,21 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def parts_for(rows: int) -> int:
+    """Partitions for so many narrow rows."""
+    return max(LEAST_PARTS, -(-rows // TASK_ROWS))
+
+
+def materialise_narrow(df: DataFrame) -> DataFrame:
+    """As materialise, for rows of a few numbers: however many partitions made them, few rows are read by few tasks.
+
+    Each task that reads them and deals them on leaves files for its output, which for few rows are most of the disk.
+    """
+    seen = Observation()
+    kept = materialise(df.observe(seen, F.count(F.lit(1)).alias("rows")))
+    return kept.coalesce(parts_for(seen.get["rows"]))
+
+
 def new_folder(spark: SparkSession, what: str) -> str:
     """A fresh folder in the shared one."""
     return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import if_small, materialise, mix, row_slices, shingles_of, small_batches, space_table, text_buffer, words_of
+from .common import if_small, materialise, materialise_narrow, mix, row_slices, shingles_of, small_batches, space_table, text_buffer, words_of
 from .components import components
 
 #: Members of a block; buckets of more than BLOCKS such blocks have larger ones, up to MOST_ROWS.
@@ -139,8 +139,8 @@ def _full_sets(items: DataFrame, b: Banding) -> DataFrame:
 
 def verify(pairs: DataFrame, items: DataFrame, b: Banding) -> DataFrame:
     """Those of the pairs (a, b; materialised) whose full sets reach the similarity. a's set goes once to each chunk of its partners."""
-    ids = materialise(pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).distinct())
-    many = materialise(pairs.groupBy("a").agg(F.count("*").alias("m")).where(F.col("m") > CHUNK))
+    ids = materialise_narrow(pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).distinct())
+    many = materialise_narrow(pairs.groupBy("a").agg(F.count("*").alias("m")).where(F.col("m") > CHUNK))
     small_batches(items.sparkSession)
     full = _full_sets(items.join(if_small(ids), "id", "left_semi"), b)
     small_batches(items.sparkSession, 64)
@@ -241,36 +241,36 @@ def near_components(items: DataFrame, b: Banding = DOCUMENTS) -> tuple[DataFrame
     sized = sig.where("n > 0 AND id IS NOT NULL")
     # Equal sets: one class each, its smallest id stands for it.
     # (Tables of shared keys are materialised before they are joined back, so that adaptive execution can split a key that very many rows share.)
-    classes = materialise(sized.groupBy("h1", "h2", "n").agg(F.min("id").alias("b"), F.max("id").alias("top")).where("b != top").select("h1", "h2", "n", "b"))
-    copies = materialise(sized.select("id", "h1", "h2", "n").join(classes, ["h1", "h2", "n"]).where("id != b").select(F.col("id").alias("a"), "b").distinct())
+    classes = materialise_narrow(sized.groupBy("h1", "h2", "n").agg(F.min("id").alias("b"), F.max("id").alias("top")).where("b != top").select("h1", "h2", "n", "b"))
+    copies = materialise_narrow(sized.select("id", "h1", "h2", "n").join(classes, ["h1", "h2", "n"]).where("id != b").select(F.col("id").alias("a"), "b").distinct())
     one = sized.join(if_small(copies.select(F.col("a").alias("id"))), "id", "left_anti")
     # First round: each bucket's members with its smallest id; of the pivots of a member first that of most buckets.
     keyed = one.select("id", F.explode("keys").alias("key"))
     met = keyed.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("top")).where("pivot != top").select("key", "pivot")
-    buckets = materialise(keyed.join(materialise(met), "key"))
-    star = materialise(buckets.where("id != pivot").groupBy(F.col("pivot").alias("a"), F.col("id").alias("b")).agg(F.count("*").alias("n")))
-    likely = materialise(star.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b"))
-    first = materialise(components(materialise(verify(likely, items, b))))
+    buckets = materialise_narrow(keyed.join(materialise_narrow(met), "key"))
+    star = materialise_narrow(buckets.where("id != pivot").groupBy(F.col("pivot").alias("a"), F.col("id").alias("b")).agg(F.count("*").alias("n")))
+    likely = materialise_narrow(star.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b"))
+    first = materialise_narrow(components(materialise_narrow(verify(likely, items, b))))
     placed = _placed(buckets, first)
     strays = placed.groupBy("key").agg(F.min_by("comp", "id").alias("of_pivot"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("key", "of_pivot")
-    strays = placed.join(materialise(strays), "key").where("comp != of_pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    apart = materialise(strays.join(likely, ["a", "b"], "left_anti"))
+    strays = placed.join(materialise_narrow(strays), "key").where("comp != of_pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
+    apart = materialise_narrow(strays.join(likely, ["a", "b"], "left_anti"))
     if apart.head(1):
-        first = materialise(components(_stars(first).unionAll(materialise(verify(apart, items, b)))))
+        first = materialise_narrow(components(_stars(first).unionAll(materialise_narrow(verify(apart, items, b)))))
         placed = _placed(buckets, first)
     # Second round: what is still divided in a bucket. Blocks are counted by members and their shingles.
     weighed = placed.join(one.select("id", "n", "keys"), "id").withColumn("w", F.lit(1) + F.floor(F.col("n") / WEIGHT))
     size = F.greatest(F.lit(BLOCK_ROWS), F.least(F.lit(MOST_ROWS), F.ceil(F.col("m") / BLOCKS)))
     divided = weighed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m"), F.sum("w").alias("w")).where("lo != hi AND m > 2")
-    divided = materialise(divided.select("key", F.ceil(F.col("w") / size).cast("int").alias("blocks")))
+    divided = materialise_narrow(divided.select("key", F.ceil(F.col("w") / size).cast("int").alias("blocks")))
     if divided.head(1):
         rest = materialise(weighed.join(if_small(divided), "key").select("key", "pivot", "id", "comp", "keys", "blocks"))
         small_batches(items.sparkSession)
-        full = _full_sets(items.join(if_small(materialise(rest.select("id").distinct())), "id", "left_semi"), b)
+        full = _full_sets(items.join(if_small(materialise_narrow(rest.select("id").distinct())), "id", "left_semi"), b)
         small_batches(items.sparkSession, 64)
         rest = rest.join(full, "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         rest = rest.select("key", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "id", "comp", "pivot", "keys", "full")
-        copies = copies.unionAll(materialise(_compare_blocks(rest, b)))
+        copies = copies.unionAll(materialise_narrow(_compare_blocks(rest, b)))
     return sig.select("id", "n"), components(_stars(first).unionAll(copies))
 
 
@@ -285,4 +285,4 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", b: Banding = DOCUMENTS) -> DataFrame:
     """The documents of which each component keeps its smallest id; rows that repeat a kept id stay."""
     gone = near_duplicates(docs, id_col, text_col, b).where("NOT kept").select(id_col).distinct()
-    return docs.join(if_small(materialise(gone)), id_col, "left_anti").select(docs.columns)
+    return docs.join(if_small(materialise_narrow(gone)), id_col, "left_anti").select(docs.columns)

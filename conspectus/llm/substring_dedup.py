@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, if_small, materialise, mix, row_slices, shingles_of, small_batches, space_table, text_buffer, words_of
+from .common import fresh, if_small, materialise, materialise_narrow, mix, row_slices, shingles_of, small_batches, space_table, text_buffer, words_of
 from .components import components
 
 WORDS = 50
@@ -347,8 +347,8 @@ def _verified(pairs: DataFrame, items: DataFrame) -> DataFrame:
     """Passages (id, start_word, n_words, kept_doc_id, kept_start_word, digest) of pairs (id, other, places; materialised); other's words go once to each chunk of ids."""
     spark = items.sparkSession
     small_batches(spark)
-    ids = materialise(pairs.select("id").unionAll(pairs.select("other")).distinct())
-    many = materialise(pairs.groupBy("other").agg(F.count("*").alias("m")).where(F.col("m") > CHUNK))
+    ids = materialise_narrow(pairs.select("id").unionAll(pairs.select("other")).distinct())
+    many = materialise_narrow(pairs.groupBy("other").agg(F.count("*").alias("m")).where(F.col("m") > CHUNK))
     words = _word_hashes(items.join(if_small(ids), "id", "left_semi"))
     small_batches(spark, 64)
     dealt = pairs.join(if_small(many), "other", "left").withColumn("chunk", F.pmod(F.xxhash64("id"), F.coalesce(F.ceil(F.col("m") / CHUNK), F.lit(1))))
@@ -376,7 +376,7 @@ def _verified(pairs: DataFrame, items: DataFrame) -> DataFrame:
             take, (start, n, at, words) = pa.array(own, pa.int64()), [pa.array(c, pa.int64()) for c in others]
             yield pa.RecordBatch.from_arrays([batch.column(2).take(take), start, n, batch.column(0).take(take), at, words], ["id", "start_word", "n_words", "kept_doc_id", "kept_start_word", "digest"])
 
-    passages = materialise(rows.mapInArrow(run, "id bigint, start_word bigint, n_words bigint, kept_doc_id bigint, kept_start_word bigint, digest bigint").distinct())
+    passages = materialise_narrow(rows.mapInArrow(run, "id bigint, start_word bigint, n_words bigint, kept_doc_id bigint, kept_start_word bigint, digest bigint").distinct())
     small_batches(spark)
     return passages
 
@@ -391,7 +391,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     items = docs.select(docs[id_col].cast("bigint").alias("id"), docs[text_col].cast("string").alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
     nodes = Nodes(items)
     meeting = lambda df: df.select(nodes.id("node").alias("id"), nodes.id("pivot").alias("other"), (nodes.at("node") - nodes.at("pivot")).alias("shift"), F.floor(nodes.at("node") / CELL).alias("cell")).where("id != other")
-    held = lambda df: materialise(df.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("top"), F.count("*").alias("m")).where(nodes.id("pivot") != nodes.id("top")).select("key", "pivot", "m"))
+    held = lambda df: materialise_narrow(df.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("top"), F.count("*").alias("m")).where(nodes.id("pivot") != nodes.id("top")).select("key", "pivot", "m"))
     pairs_of = lambda met: materialise(met.groupBy("id", "other").agg(F.collect_set(F.struct("shift", "cell")).alias("places")))
 
     def few_or_first(shared: DataFrame) -> DataFrame:
@@ -401,29 +401,29 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         return meeting(shared.where(f"m = 2 OR m > {FEW}")).unionAll(meeting(every))
 
     keyed = nodes.of(_bands(items))
-    shared = materialise(keyed.join(held(keyed), "key"))
+    shared = materialise_narrow(keyed.join(held(keyed), "key"))
     often = shared.where(F.col("m") > FEW).select("key", "pivot", "node", nodes.id("node").alias("id"), nodes.at("node").alias("at"))
     # Many: all words around by their exact paragraphs too; equality is transitive, so that the first holder of each will do.
     around = often.groupBy("id").agg(F.collect_set("at").alias("places"))
-    exact = materialise(nodes.of(_paragraphs(items, around)))
+    exact = materialise_narrow(nodes.of(_paragraphs(items, around)))
     pairs = pairs_of(few_or_first(shared).unionAll(meeting(exact.join(held(exact), "key"))))
     passages = _verified(pairs, items)
     # What frequent keys leave: those with an occurrence, other than the first, that is in no passage yet are refined in all their occurrences.
     spans = passages.groupBy("id").agg(F.collect_set(F.struct("start_word", (F.col("start_word") + F.col("n_words")).alias("end_word"))).alias("spans"))
     inside = F.exists("spans", lambda s: (F.col("at") >= s.start_word) & (F.col("at") + BAND <= s.end_word))
     left = often.join(materialise(spans), "id", "left").where((F.col("id") != nodes.id("pivot")) & ~F.coalesce(inside, F.lit(False)))
-    open_keys = materialise(left.select("key").distinct())
+    open_keys = materialise_narrow(left.select("key").distinct())
     if open_keys.head(1):
         opened = often.join(if_small(open_keys), "key")
         by_id = lambda df: materialise(df.groupBy("id").agg(F.collect_set(F.struct("at", "key")).alias("places")))
         # What stands beside a key in its first holder is of no use: that has been compared. In copies and common lines it is nearly all.
-        first = materialise(_refined(items, by_id(opened.where("node = pivot"))).select("key").distinct())
-        refined = materialise(nodes.of(_refined(items, by_id(opened)).join(if_small(first, FIRST_ROWS), "key", "left_anti")))
+        first = materialise_narrow(_refined(items, by_id(opened.where("node = pivot"))).select("key").distinct())
+        refined = materialise_narrow(nodes.of(_refined(items, by_id(opened)).join(if_small(first, FIRST_ROWS), "key", "left_anti")))
         done = pairs.select("id", "other", F.explode("places").alias("place")).select("id", "other", "place.shift", "place.cell")
-        met = few_or_first(materialise(refined.join(held(refined), "key"))).distinct()
+        met = few_or_first(materialise_narrow(refined.join(held(refined), "key"))).distinct()
         more = pairs_of(met.join(done, ["id", "other", "shift", "cell"], "left_anti"))
         if more.head(1):
-            passages = materialise(passages.unionAll(_verified(more, items)).distinct())
+            passages = materialise_narrow(passages.unionAll(_verified(more, items)).distinct())
     return passages.withColumnRenamed("id", id_col)
 
 
@@ -437,7 +437,7 @@ def outermost(passages: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 def passage_clusters(passages: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The outermost passages with cluster_id, the smallest id of the documents that shared passages (all of them) connect, and n_links, the number of documents that the document is linked with."""
-    pairs = materialise(passages.select(F.col(id_col).alias("a"), F.col("kept_doc_id").alias("b")).distinct())
+    pairs = materialise_narrow(passages.select(F.col(id_col).alias("a"), F.col("kept_doc_id").alias("b")).distinct())
     linked = components(pairs).select(F.col("id").alias(id_col), F.col("component").alias("cluster_id"))
     links = pairs.select(F.col("a").alias(id_col)).unionAll(pairs.select("b")).groupBy(id_col).agg(F.count("*").alias("n_links"))
     return outermost(passages, id_col).join(linked, id_col).join(links, id_col)

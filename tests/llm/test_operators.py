@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conspectus.llm import bpe, components, decontaminate, html_extract, language_id, licenses, merkle, minhash, simple8b, substring_dedup, token_files, url_filter
+from conspectus.llm import bpe, common, components, decontaminate, html_extract, language_id, licenses, merkle, minhash, simple8b, substring_dedup, token_files, url_filter
 
 WORDS = [f"w{k}" for k in range(400)]
 
@@ -84,6 +84,24 @@ def test_components_of_few_edges_take_few_jobs(spark, monkeypatch):
     assert jobs[few] <= 0.75 * jobs[0]
 
 
+def test_components_of_few_edges_take_few_tasks(spark, request):
+    """However many partitions shuffles have, a round over few edges deals them to few tasks, and leaves few files."""
+    for key, value in (("spark.sql.shuffle.partitions", "64"), ("spark.sql.adaptive.coalescePartitions.enabled", "false")):
+        before = spark.conf.get(key)
+        request.addfinalizer(lambda key=key, before=before: spark.conf.set(key, before))
+        spark.conf.set(key, value)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(30)], "a bigint, b bigint")
+    spark.sparkContext.setJobGroup("tasks of components", "")
+    found = components.components(edges)
+    assert {tuple(r) for r in found.collect()} == {(i, 0) for i in range(31)}
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tracker = spark.sparkContext.statusTracker()
+    stages = {k for j in tracker.getJobIdsForGroup("tasks of components") for k in tracker.getJobInfo(j).stageIds}
+    tasks = sorted(x.numTasks for x in map(tracker.getStageInfo, stages) if x)
+    assert found.rdd.getNumPartitions() <= 2 * common.LEAST_PARTS
+    assert sum(n >= 64 for n in tasks) <= 2, tasks
+
+
 def test_divided_buckets_are_compared_exactly():
     """Members of one bucket in blocks: every link that joins components, none below the limit, each joined once."""
     r = np.random.default_rng(4)
