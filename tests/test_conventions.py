@@ -1,10 +1,15 @@
 """The convention pipeline on a small project with known answers; the store; decisions; streams."""
 
+import hashlib
+import re
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from conspectus.operators import detectors
+from conspectus.operators import relational as R
+from conspectus.plans import catalog
 from conspectus.plans import conventions as C
 from tests.sample import FILES
 from conspectus.sources import code, project
@@ -142,3 +147,23 @@ def test_scope_and_envelope():
         with pytest.raises(ValueError):
             resolve_scope(mounts, **bad)
     assert '"status": "error"' in Envelope.failure("t", "r", "NOT_FOUND", "no").to_json()
+
+
+def test_digests_of_lists_without_the_asker(spark):
+    """Against lists written out: places at the ends and on both sides of a chunk's, askers that are in no list, lists of one and of none, nulls, commas."""
+    names = [f"d{k % 7}/ü_{k},x" for k in range(60)]
+    lists = {"a": names[::2], "b": [names[3]], "d": ["", "a"], "e": names}
+    askers = [(key, own) for key in ("a", "b", "c") for own in [*names, None]] + [(None, "x"), ("d", ""), ("d", "a"), ("d", "z")]
+    rows = spark.createDataFrame([(k, m) for k, ms in lists.items() for m in ms], "key string, member string")
+    for size in (1, 40, R.CHUNK_BYTES):
+        found = [tuple(r) for r in R.list_digests(spark.createDataFrame(askers, "key string, own string"), rows, size).select("key", "own", "n", "digest").collect()]
+        assert len(found) == len(askers)
+        for key, own, n, digest in found:
+            rest = [m for m in sorted(lists.get(key, []), key=str.encode) if own is not None and m != own]
+            assert (n, digest) == (len(rest), hashlib.md5(",".join(rest).encode()).hexdigest()), (size, key, own)
+
+
+def test_dependents_of_symbols_are_not_written_out_for_each(spark, capsys):
+    """Q_PAT_dependents_of_symbols: no row of the plan holds the list of all importers."""
+    catalog.queries()["Q_PAT_dependents_of_symbols"](spark, "/root/testdata/sf0.001").explain("simple")
+    assert not re.search("importers|dependent_files", capsys.readouterr().out)
