@@ -183,3 +183,9 @@ def test_many_imports_of_a_file_are_looked_at_once(spark):
     found = detectors.detect(one.select("*", *rest)).collect()
     assert sorted(r.description for r in found if r.detector == "test_patterns") == sorted(f"Testing-related import (heuristic): test_{k}.m{k}" for k in range(1500))
     assert {r.description for r in found if r.detector == "import_organization"} == {"Python import style: exclusively from-import"}
+
+
+def test_evidence_is_limited_before_it_is_dealt(findings, capsys):
+    """D0_A1_conventions_of_all: no shuffle of all findings by their places."""
+    C.aggregate(findings).explain("simple")
+    assert not re.search(r"hashpartitioning\(detector#\d+, description#\d+, path", capsys.readouterr().out)
