@@ -2,6 +2,7 @@
 
 import math
 import os
+import random
 
 import duckdb
 import pytest
@@ -54,6 +55,19 @@ def test_dependents_of_a_cycle_and_a_diamond(spark):
         G.dependents(edges, edges.select(F.col("target").alias("node")), 11)
 
 
+def test_far_dependents_are_counted_without_chains(spark, monkeypatch):
+    """Q_DIFF_impact: numbers of dependents beyond the first step equal the rows with their chains, which are not made."""
+    rng = random.Random(4)
+    edges = spark.createDataFrame(sorted({(f"n{rng.randrange(60)}", f"n{min(rng.randrange(60), rng.randrange(60))}") for _ in range(150)}), "importer string, target string")
+    sources = spark.createDataFrame([(f"n{k}",) for k in range(0, 60, 2)] + [("none",)], "node string")
+    expected = {depth: {r[0]: r[1] for r in G.dependents(edges, sources, depth).where("depth > 1").groupBy("source").count().collect()} for depth in (1, 3)}
+    monkeypatch.setattr(G, "dependents", None)
+    for most in (2, 1 << 14):
+        monkeypatch.setattr(G, "NODES", most)
+        assert {r.source: r.far for r in G.count_far_dependents(edges, sources, 3).collect()} == expected[3]
+    assert G.count_far_dependents(edges, sources, 1).collect() == [] and not expected[1] and max(expected[3].values()) > 5
+
+
 def test_weights_belong_to_the_lower_tier(spark):
     rows = spark.createDataFrame([(0.86,), (0.85,), (0.5,), (0.2,)], "c double").select(T.weight("c").alias("w")).collect()
     assert [r.w for r in rows] == ["strong", "moderate", "weak", "info"]
